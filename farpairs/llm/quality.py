@@ -33,7 +33,7 @@ REPEAT_PERCENT = 50
 #: Width of the fence in quartile distances, and what is added in bins.
 SPREAD = 6
 #: Measures: slack in bins above q75, and below q25 (None: no lower fence).
-MEASURES = {"symbol_pm": (40, None), "dup_line_pm": (150, None), "repeat_pm": (100, None), "word_len_x10": (30, 20)}
+MEASURES = {"symbol_pm": (40, None), "dup_line_pm": (350, None), "repeat_pm": (300, None), "word_len_x10": (30, 20)}
 BINS = 1000
 
 

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farpairs.llm import quality
+from farpairs.llm import quality, shards, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_quality_rules": quality.op7_quality_rules}
+    return {
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op8_shards": shards.op8_shards,
+        "op9_urls": urls.op9_urls,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.OP7_SQL}
+    return {"op7_quality_rules": quality.OP7_SQL, "op9_urls": urls.OP9_SQL}
