@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farpairs.llm import quality, shards, urls
+from farpairs.llm import neardup, quality, shards, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_neardup": neardup.op4_neardup,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_shards": shards.op8_shards,
         "op9_urls": urls.op9_urls,
