@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farpairs.llm import neardup, quality, shards, urls
+from farpairs.llm import bpe, licenses, neardup, quality, shards, tokenids, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_licenses": licenses.op1_licenses,
+        "op3_bpe": bpe.op3_bpe,
         "op4_neardup": neardup.op4_neardup,
+        "op5_token_ids": tokenids.op5_token_ids,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_shards": shards.op8_shards,
         "op9_urls": urls.op9_urls,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.OP7_SQL, "op9_urls": urls.OP9_SQL}
+    return {"op7_quality_rules": quality.OP7_SQL, "op9_urls": urls.OP9_SQL, "op10_warc": warc.OP10_SQL}
