@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farpairs.llm.words import plain_words as words
 from farpairs.tables import table
 
 #: Base phrases: label -> words that must stand consecutively.
@@ -53,14 +54,6 @@ TEMPLATES = {
 #: Least IDF-weighted share of a template, and rare words looked up for each template.
 MIN_SCORE, RARE = 0.6, 3
 
-# A-Z to lower case; every other ASCII character but digits and letters to a space
-_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
-
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
-
-
 def _vocabulary(base: dict, templates: dict) -> frozenset[bytes]:
     return frozenset(w for t in [*base.values(), *(x for x, _ in templates.values())] for w in words(t))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farpairs.llm import bpe, licenses, neardup, quality, shards, tokenids, urls, warc
+from farpairs.llm import bpe, decontaminate, licenses, neardup, quality, shards, tokenids, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_licenses": licenses.op1_licenses,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_bpe": bpe.op3_bpe,
         "op4_neardup": neardup.op4_neardup,
         "op5_token_ids": tokenids.op5_token_ids,

@@ -52,3 +52,12 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     """The distinct shingles, sorted."""
     return np.unique(shingles(hashes, n))
+
+
+# A-Z to lower case; every other ASCII character but digits and letters to a space
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Runs of ASCII letters and digits (lower case) and of all other code points, as UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
