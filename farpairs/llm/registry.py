@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farpairs.llm import bpe, decontaminate, licenses, neardup, quality, shards, tokenids, urls, warc
+from farpairs.llm import bpe, decontaminate, licenses, neardup, ngrams, quality, shards, tokenids, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_bpe": bpe.op3_bpe,
         "op4_neardup": neardup.op4_neardup,
         "op5_token_ids": tokenids.op5_token_ids,
+        "op6_lm_score": ngrams.op6_lm_score,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_shards": shards.op8_shards,
         "op9_urls": urls.op9_urls,
