@@ -8,7 +8,9 @@
    g - 1 pairs. Pairs whose sizes differ too much to reach the threshold go.
 3. A pair's signatures are compared batch by batch; it is dropped as soon as the
    posterior probability (uniform prior) that its similarity reaches the threshold
-   falls below ``MISS``. Survivors are verified on their full sets.
+   falls below ``MISS``. The first batches hold one bit of each minimum and are part
+   of the join's condition, so pruned pairs never become rows; then whole minima are
+   compared. Survivors are verified on their full sets.
 4. Verified links form components. Buckets that still hold more than one component
    are worked on in rounds: in each round more members act as pivots against the
    members of other components, until all pairs across components have been
@@ -48,7 +50,9 @@ BATCH = 40
 MISS = 1e-6
 PERCENT = 80
 #: Expected pivots of a bucket in the first round after the stars; doubles each round.
-PIVOTS = 16
+PIVOTS = 256
+#: Bits of a signature in each of the longs that a join's condition compares.
+WORD = 60
 
 
 def _family(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -82,25 +86,61 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> dict[int, int]:
     return out
 
 
+def sketch_bits(sig: np.ndarray) -> list[int]:
+    """One bit of each minimum, ``WORD`` to a long."""
+    bits = ((sig >> np.uint32(9)) & np.uint32(1)).astype(np.int64).reshape(-1, WORD)
+    return (bits << np.arange(WORD, dtype=np.int64)).sum(axis=1).tolist()
+
+
+def least_equal_bits(percent: int = PERCENT, miss: float = MISS) -> dict[int, int]:
+    """As ``least_matches`` for single bits, which agree with probability (1 + s) / 2."""
+    s = (np.arange(4000) + 0.5) / 4000
+    agree, over = (1 + s) / 2, s >= percent / 100
+    out = {}
+    for n in range(WORD, ROWS * BANDS + 1, WORD):
+        for m in range(n + 1):
+            log = m * np.log(agree) + (n - m) * np.log1p(-agree)
+            w = np.exp(log - log.max())
+            if w[over].sum() >= miss * w.sum():
+                out[n] = m
+                break
+    return out
+
+
+def alike(percent: int, a: str = "bits", b: str = "other_bits"):
+    """The first batches of the sequential test, as a condition on two bit columns."""
+    fits, equal = F.lit(True), F.lit(0)
+    for k, (n, m) in enumerate(least_equal_bits(percent).items()):
+        equal = equal + WORD - F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")))
+        fits &= equal >= m
+    return fits
+
+
+_BITS = [f"bits{k}" for k in range(ROWS * BANDS // WORD)]
+_OTHER = [f"other_bits{k}" for k in range(ROWS * BANDS // WORD)]
+
+
 def signatures(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
-    """(id, n_shingles, set_key, sig) for each row; set_key and sig null for an empty set."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
+    """(id, n_shingles, set_key, sig, bits...) for each row; null from set_key on for an empty set."""
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), *((b, pa.int64()) for b in _BITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
             for part in range(0, batch.num_rows, 1000):
                 rows = batch.slice(part, 1000)
-                n, keys, sigs = [], [], []
+                n, keys, sigs, bits = [], [], [], []
                 for x in rows.column(1):
                     found = shingle_set(hashes.of(lower_words(x.as_py())), shingle)
                     n.append(len(found))
                     keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                    sigs.append(signature(found).tobytes() if len(found) else None)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+                    sig = signature(found) if len(found) else None
+                    sigs.append(None if sig is None else sig.tobytes())
+                    bits.append([None] * len(_BITS) if sig is None else sketch_bits(sig))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), *(pa.array(b, pa.int64()) for b in zip(*bits))], schema=schema)
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary")
+    return narrow.mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def probable(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -161,31 +201,36 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", s
 
     width = 4 * ROWS
     keys = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * width + 1, F.lit(width))))).alias("key")
-    banded = sigs.select("id", "n_shingles", keys)
+    banded = sigs.select("id", keys)
     buckets = banded.groupBy("key").agg(F.count("*").alias("g"), F.min("id").alias("pivot")).where("g > 1")
-    members = materialize(banded.join(buckets, "key").select("key", "g", "pivot", "id", "n_shingles"))
+    members = materialize(banded.join(buckets, "key").select("key", "g", "pivot", "id"))
 
     def tested(pairs: DataFrame) -> DataFrame:
         return materialize(linked(materialize(probable(pairs, sigs, percent)), texts, shingle, percent))
 
-    sizes = sigs.select(F.col("id").alias("pivot"), F.col("n_shingles").alias("pivot_n"))
-    stars = members.where("id <> pivot").select(F.col("pivot"), "id", "n_shingles").distinct().join(semi_join(sizes, members.select("pivot").distinct(), "pivot"), "pivot")
-    stars = materialize(stars.where(f"100 * least(n_shingles, pivot_n) >= {percent} * greatest(n_shingles, pivot_n)").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    def near(n: str, other: str):
+        return (100 * F.least(n, other) >= percent * F.greatest(n, other)) & alike(percent)
+
+    of_member = materialize(semi_join(sigs, members.select("id").distinct(), "id").select("id", "n_shingles", *_BITS))
+    of_other = of_member.toDF("other", "other_n", *_OTHER)
+    stars = members.where("id <> pivot").select(F.col("pivot").alias("other"), "id").distinct().join(of_member, "id").join(of_other, "other")
+    stars = materialize(stars.where(near("n_shingles", "other_n")).select(F.col("other").alias("a"), F.col("id").alias("b")))
     seen, edges = stars, tested(stars)
     comps = connected_components(edges)
 
+    top = members.agg(F.max("g")).first()[0] or 0
     start, wide = 0, PIVOTS
-    while True:
-        # members of buckets of three or more that are not yet one component
-        named = members.where(f"g > greatest(2, {start})").join(comps, members.id == comps.node, "left").select("key", "g", "id", "n_shingles", F.coalesce("component", "id").alias("c"))
+    while start < top and top > 2:  # buckets of two are fully compared by their star
+        named = members.where(f"g > greatest(2, {start})").join(comps, members.id == comps.node, "left").select("key", "g", "id", F.coalesce("component", "id").alias("c"))
         mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        open_ = materialize(named.join(mixed, "key"))
+        open_ = materialize(named.join(mixed, "key").join(of_member, "id"))
         if open_.isEmpty():
             break
         place = F.pmod(F.xxhash64("id", "key"), F.col("g"))
-        pivots = open_.where((place >= start) & (place < start + wide)).select("key", F.col("id").alias("p"), F.col("n_shingles").alias("pn"), F.col("c").alias("pc"))
-        met = open_.join(pivots, "key").where(f"c <> pc and 100 * least(n_shingles, pn) >= {percent} * greatest(n_shingles, pn)")
-        pairs = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        pivots = open_.where((place >= start) & (place < start + wide)).select("key", F.col("id").alias("other"), F.col("n_shingles").alias("other_n"), F.col("c").alias("other_c"), *[F.col(b).alias(o) for b, o in zip(_BITS, _OTHER)])
+        # pruned within the join: only pairs that pass the first batches become rows
+        met = open_.join(pivots, (open_["key"] == pivots["key"]) & (F.col("c") != F.col("other_c")) & near("n_shingles", "other_n"))
+        pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             more = tested(pairs)
