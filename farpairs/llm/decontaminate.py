@@ -9,8 +9,9 @@ weighted-shingle (Dice) similarity: a shingle weighs 1 + ln(items / items with i
 one that no item has weighs as much as the rarest.
 
 Windows that cannot reach the threshold are skipped without loss: a bitmap of fixed
-size holds (shingle, item length), and a window needs so many hits that, even at the
-largest weight, the threshold can be met.
+size holds every item shingle, alone and with its item's length. A document without
+any item shingle has no windows to look at; a window needs so many hits for its
+length that, even at the largest weight, the threshold can be met.
 
 Defined results: null and empty texts, and items without words, match nothing;
 items of under five words are one shingle; a document shorter than an item is one
@@ -61,7 +62,7 @@ def near_keys(value: int, bits: int, flips: int = FLIPS) -> list[int]:
 
 
 def _slot(found: np.ndarray, length: int) -> np.ndarray:
-    """Bit of the screen of each shingle of an item of this length."""
+    """Bit of the screen of each shingle of an item of this length (0: of any item)."""
     return (mix(found ^ np.uint64(length * 0x9E3779B1)) >> np.uint64(64 - SCREEN)).astype(np.int64)
 
 
@@ -77,7 +78,7 @@ def indexed_items(items: DataFrame, id_col: str, text: str) -> DataFrame:
                 if len(own):
                     found = shingles(own, SHINGLE)
                     fp = fingerprints(found, np.array([0]), np.array([len(found)]))[0]
-                    out.append((i.as_py(), len(own), int(fp), found.view(np.int64).tolist(), _slot(found, len(own)).tolist()))
+                    out.append((i.as_py(), len(own), int(fp), found.view(np.int64).tolist(), [*_slot(found, 0).tolist(), *_slot(found, len(own)).tolist()]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])], ["item_id", "length", "fp", "shingles", "slots"])
 
@@ -88,17 +89,23 @@ def indexed_items(items: DataFrame, id_col: str, text: str) -> DataFrame:
 def windows(docs: DataFrame, id_col: str, text: str, lengths: list[int], screen: np.ndarray, share: float) -> DataFrame:
     """(doc_id, start, length, fp, shingles) of each window that may reach the threshold."""
 
+    def met(found: np.ndarray, length: int) -> np.ndarray:
+        slot = _slot(found, length)
+        return (screen[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+
     def of_document(own: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-        by_size: dict[int, np.ndarray] = {}
+        by_size: dict[int, np.ndarray | None] = {}
         for length in lengths:
             size = min(SHINGLE, length)
             if len(own) < size:
                 continue
             if size not in by_size:
-                by_size[size] = shingles(own, size)
+                found = shingles(own, size)
+                by_size[size] = found if met(found, 0).any() else None
             found = by_size[size]
-            slot = _slot(found, length)
-            hits = (screen[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+            if found is None:
+                continue
+            hits = met(found, length)
             if not hits.any():
                 continue
             m = min(length - size + 1, len(found))
