@@ -9,13 +9,13 @@ shared dictionary and writes a shard file:
     place of its frame (u64), its bytes (u64), tokens (u64), null-id flag (u8),
     and at the very end the index's place (u64).
 
-The dictionary is trained on at most ``SAMPLE`` documents (those of least id hash);
+The dictionary is trained on about ``SAMPLE`` documents (those of least id hash);
 any document can be read without its neighbours by the index. Tasks write under
 unique names and report them, so only successful attempts' files are read. A
 shard's first token is the sum of the shards before it (one row per shard).
 
-White-space runs split a text for the tokenizer exactly (it drops white space), so
-each worker remembers the ids of recent chunks, at most ``CACHE``.
+White space splits a text for the tokenizer exactly (it drops white space), so each
+worker remembers the ids of recent chunks, about ``CACHE`` of them.
 
 Defined results: null and empty texts hold the end id only; a null id sorts first;
 rows that share an id are ordered by text; an empty table gives an empty result.
@@ -25,6 +25,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -44,17 +45,24 @@ from farpairs.tables import table
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: Documents that train the dictionary, its bytes, and the level of compression.
 SAMPLE, DICTIONARY, LEVEL = 1000, 64 * 1024, 3
-#: Remembered chunks of a worker; longer chunks are not remembered.
-CACHE, CHUNK = 300_000, 64
+#: Chunks that a worker remembers before it starts anew; closing marks cut off.
+CACHE, MARKS = 600_000, ".,;:!?"
 _HEAD = "<4sI32sQ"
 HEAD_BYTES = struct.calcsize(_HEAD)
 _INDEX = np.dtype([("id", "<i8"), ("at", "<u8"), ("bytes", "<u8"), ("tokens", "<u8"), ("null", "u1")])
 
 
 class Encoder:
-    """Ids of whole texts as little-endian u32 bytes, with the end id."""
+    """Ids of whole texts as little-endian u32 bytes, with the end id.
+
+    Texts are cut at spaces and line feeds, which the tokenizer drops in any place, and
+    a chunk's closing marks are cut off after an ASCII letter, where a new token always
+    begins. New letter-only chunks are encoded in one call, since each is one word to
+    the tokenizer; if its word count says otherwise, they are encoded one by one.
+    """
 
     def __init__(self, path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,24 +70,59 @@ class Encoder:
         self.end = struct.pack("<I", end)
         self.seen: dict[str, bytes] = {}
 
+    def _alone(self, chunks: list[str]) -> None:
+        for k in range(0, len(chunks), 1000):
+            part = chunks[k : k + 1000]
+            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                self.seen[c] = np.asarray(e.ids, "<u4").tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if c.isascii() and c.isalpha()]
+        self._alone([c for c in chunks if not (c.isascii() and c.isalpha())])
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids, np.int64)
+            cuts = np.searchsorted(of, np.arange(len(part) + 1))
+            if len(of) == 0 or of[-1] != len(part) - 1 or (np.diff(cuts) == 0).any():
+                self._alone(part)
+                continue
+            self.seen.update((c, ids[a:b].tobytes()) for c, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
+
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        # plain spaces and line feeds are white space to the tokenizer in any place
+        if len(self.seen) > CACHE:
+            self.seen.clear()
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({c for own in split for c in own if c not in self.seen})
-        if len(self.seen) + len(new) > CACHE:
-            self.seen = {}
-            new = list({c for own in split for c in own})
-        ids = {c: np.asarray(e.ids, "<u4").tobytes() for k in range(0, len(new), 5000) for c, e in zip(new[k : k + 5000], self.tokenizer.encode_batch(new[k : k + 5000], add_special_tokens=False))}
-        self.seen.update((c, b) for c, b in ids.items() if len(c) <= CHUNK)
-        found = self.seen if len(ids) == 0 else {**ids} if not self.seen else None
-        get = (lambda c: self.seen[c] if c in self.seen else ids[c]) if found is None else found.__getitem__
+        new = {c for c in set().union(*split) if c not in self.seen}
+        marked, learn = [], set()
+        for c in new:
+            base = c.rstrip(MARKS)
+            if base and len(base) < len(c) and base[-1].isascii() and base[-1].isalpha():
+                marked.append((c, base, c[len(base) :]))
+                learn.update((base, c[len(base) :]))
+            else:
+                learn.add(c)
+        self._learn([c for c in learn if c not in self.seen])
+        self.seen.update((c, self.seen[a] + self.seen[b]) for c, a, b in marked)
+        get = self.seen.__getitem__
         return [b"".join(map(get, own)) + self.end for own in split]
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end: int) -> Encoder:
+    """The worker's own encoder, kept for its next tasks."""
+    if (path, end) not in _ENCODERS:
+        _ENCODERS[path, end] = Encoder(path, end)
+    return _ENCODERS[path, end]
+
+
 def train_dictionary(docs: DataFrame, id_col: str, text: str, tokenizer: str, end: int = END, sample: int = SAMPLE) -> bytes:
-    """A dictionary from the ids of at most ``sample`` documents; empty if too few to train."""
-    few = docs.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).orderBy(F.xxhash64("i"), "i", F.xxhash64("t")).limit(sample)
-    samples = Encoder(tokenizer, end).texts([r["t"] for r in few.collect()])
+    """A dictionary from the ids of about ``sample`` documents, twice as many at most; empty if too few to train."""
+    share = min(1.0, sample / max(docs.count(), 1))
+    few = docs.where(F.xxhash64(F.col(f"`{id_col}`").cast("string")) <= min(int(-(2**63) + share * 2**64), 2**63 - 1)).select(F.col(f"`{text}`").cast("string").alias("t"))
+    samples = Encoder(tokenizer, end).texts([r["t"] for r in few.limit(2 * sample).collect()])
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
@@ -92,14 +135,14 @@ def write_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text: str =
     write_bytes(f"{path}/dictionary", [trained])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end)
+        encode = encoder(tokenizer, end).texts
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
         frames, index, at, shard = [], [], HEAD_BYTES, 0
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 rows = batch.slice(part, 500)
                 shard = rows.column(2)[0].as_py()
-                for i, ids in zip(rows.column(0).to_pylist(), encoder.texts(rows.column(1).to_pylist())):
+                for i, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
                     frame = pack.compress(ids)
                     frames.append(frame)
                     index.append((0 if i is None else i, at, len(frame), len(ids) // 4, i is None))
