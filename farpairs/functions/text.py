@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Symbols with the words that stand for them, applied in this order.
 SYMBOLS = [
@@ -42,7 +43,7 @@ def without_line_comments(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<![-/])--(?!-)[^\n]*", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_comments(text: pd.Series) -> pd.Series:
     """All comments go, nested block comments too; line ends within them stay."""
     import re

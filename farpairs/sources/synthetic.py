@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from farpairs.tables import table
 
-_K = F.col("p_partkey")
-
-
 def _statement():
+    key = F.col("p_partkey")
     size = F.col("p_size").cast("string")
     of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    name = of("t", _K.cast("string"))
+    name = of("t", key.cast("string"))
     head = F.concat(F.lit("theorem "), name)
     forms = [
         of(head, " (n : Nat) : n + ", size, " = ", size, " + n := by simp\n"),
@@ -26,13 +24,13 @@ def _statement():
         of("/-- the square form -/\n", head, " (n : ℤ) : IsSquare (-1 : ZMod n.natAbs) := by simp\n"),
         of("lemma ", name, " (n : ℤ) : ∃ r : ℤ, r ^ 2 ≡ -1 [ZMOD n] := by simp\n"),
         of("private ", head, " : ", size, " = ", size, " := rfl\n"),
-        of("@[deprecated t", (_K - 5).cast("string"), ' (since := "2026-0', (1 + F.col("p_size") % 9).cast("string"), '-01")]\n', head, "  (a : Nat) : a + ", size, " = a := by simp\n"),
+        of("@[deprecated t", (key - 5).cast("string"), ' (since := "2026-0', (1 + F.col("p_size") % 9).cast("string"), '-01")]\n', head, "  (a : Nat) : a + ", size, " = a := by simp\n"),
         of("@[to_additive add_", name, "]\n", head, " (a : G) : a * ", size, " = ", size, " * a := by simp\n"),
         of("def ", name, " (n : Nat) : ", size, " ∣ n := by simp -- open\n"),
     ]
     out = F.lit(None).cast("string")
     for k, form in enumerate(forms):
-        out = F.when(_K % 8 == k, form).otherwise(out)
+        out = F.when(key % 8 == k, form).otherwise(out)
     return out
 
 
@@ -40,7 +38,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(corpus, module, path, text), one row for each supplier."""
     suppliers, parts = table(spark, sf_dir, "supplier").select("s_suppkey"), table(spark, sf_dir, "part").select("p_partkey", "p_size")
     n = suppliers.count()
-    bodies = parts.select((_K % n).alias("at"), F.struct(_K.alias("k"), _statement().alias("s")).alias("x")).groupBy("at").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n").alias("body"))
+    bodies = parts.select((F.col("p_partkey") % n).alias("at"), F.struct(F.col("p_partkey").alias("k"), _statement().alias("s")).alias("x")).groupBy("at").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n").alias("body"))
     key = F.col("s_suppkey")
     to = F.concat(F.lit("import Corpus.S"), F.floor(key / 2).cast("string"), F.lit("\n"))
     imports = F.when(key % 7 == 0, F.lit("")).when(key % 3 == 0, F.concat(F.lit("public "), to)).otherwise(to)
