@@ -3,10 +3,12 @@
 Texts are split by the tokenizer's pattern. Each block of texts keeps its distinct
 words once, with a code for every occurrence; no text is shuffled. Spark's
 higher-order functions then encode each distinct word: its bytes become an array of
-one-byte pieces, and a fold merges the leftmost adjacent pair of least rank until no
-pair has a rank. Ranks come from a literal map in the plan (a bounded table, split
-into hash buckets since a map literal is searched in order). Decoding looks up each
-id's bytes in a literal array and concatenates the pieces.
+one-byte ids, and a fold merges the leftmost adjacent pair of least rank until no
+pair has a rank. Ranks come from a literal map in the plan, a bounded table. Spark
+searches a map literal in order, so it is laid out by hash: words in buckets, and
+pairs of ids in two arrays where each pair has one of two places. The place of the
+least rank is found by a transform, as ``array_position`` takes ten times as long
+here. Decoding looks up each id's bytes in a literal array and concatenates them.
 
 A match of over ``LONG`` bytes would make the fold quadratic, so such a word (a
 text without spaces) is encoded by the tiktoken library with the same ranks.
@@ -72,34 +74,93 @@ def rank_of(table_: Column, piece: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0))["r"], F.lit(_NONE))
 
 
-def encode_word(word: Column, table_: Column) -> Column:
-    """array<int>: ids of one binary word, by folding ranked merges over its bytes."""
-    n = F.octet_length(word)
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    ranks = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank_of(table_, F.substring(word, i, F.lit(2))))
-    ranks = F.when(n > 1, ranks).otherwise(F.array().cast("array<int>"))
+def pair_slots(pairs: dict[int, int]) -> tuple[list[int], list[int], int, int]:
+    """(keys, ranks, n, m): ``pairs`` placed so that key k lies at k % n or at n + k % m."""
+    n = _prime(2 * len(pairs) + 3)
+    while True:
+        m = _prime(n + 2)
+        at: dict[int, int] = {}
+        for key in pairs:
+            place, moves = key % n, 0
+            while key is not None and moves < 200:
+                key, at[place] = at.get(place), key
+                if key is not None:
+                    place, moves = (n + key % m if place < n else key % n), moves + 1
+            if key is not None:
+                break
+        else:
+            keys = [at.get(i, -1) for i in range(n + m)]
+            return keys, [pairs.get(k, _NONE) for k in keys], n, m
+        n = _prime(n + n // 4)
+
+
+def _prime(n: int) -> int:
+    """The least odd prime from ``n`` on."""
+    n |= 1
+    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
+class Merges:
+    """The literals of a rank map: whole words by bytes, and pairs of neighbours by ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.words = rank_literal(ranks)
+        self.base = max(ranks.values(), default=0) + 1
+        pairs = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    pairs[left * self.base + right] = rank
+        keys, found, self.n, self.m = pair_slots(pairs)
+        literal = lambda v, t: F.from_json(F.lit(json.dumps(v, separators=(",", ":"))), f"array<{t}>")
+        self.keys, self.ranks = literal(keys, "bigint"), literal(found, "int")
+        self.bytes = literal([ranks.get(bytes([i]), -1) for i in range(256)], "int")
+
+    def of_pair(self, left: Column, right: Column) -> Column:
+        """The rank, and so the id, of two neighbours joined, else a number above all ranks."""
+
+        def look(k: Column) -> Column:
+            first, second = (k % self.n).cast("int"), (k % self.m + self.n).cast("int")
+            hit = lambda at: F.when(F.get(self.keys, at) == k, F.get(self.ranks, at))
+            return F.coalesce(hit(first), hit(second))
+
+        return F.coalesce(F.when((left >= 0) & (right >= 0), _let(left.cast("long") * self.base + right, look)), F.lit(_NONE))
+
+
+def encode_word(word: Column, merges: Merges) -> Column:
+    """array<int>: ids of one binary word, by folding ranked merges over its bytes.
+
+    The state holds ids ``t`` after a first -1, and ``r``, the rank of each id with the next.
+    """
+    bytes_ = F.split(F.decode(word, "ISO-8859-1"), "")
+    ids = F.concat(F.array(F.lit(-1)), F.transform(bytes_, lambda c: F.get(merges.bytes, F.ascii(c))))
 
     def merge(state: Column, _: Column) -> Column:
         t, r = state["t"], state["r"]
 
-        def at(x: Column) -> Column:
-            p = x["p"]
-            joined = F.concat(t[p - 1], t[p])
-            left = F.when(p > 1, F.array(rank_of(table_, F.concat(t[p - 2], joined)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p < F.size(r), F.array(rank_of(table_, F.concat(joined, t[p + 1])))).otherwise(F.array().cast("array<int>"))
+        def at(m: Column, p: Column) -> Column:  # ids p and p + 1 (from 0) become m
+            left, right = merges.of_pair(F.get(t, p - 1), m), merges.of_pair(m, F.get(t, p + 2))
             return F.struct(
-                F.concat(F.slice(t, 1, p - 1), F.array(joined), F.slice(t, p + 2, F.size(t))).alias("t"),
-                F.concat(F.slice(r, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(r) + 1)).alias("r"),
+                F.concat(F.slice(t, F.lit(1), p), F.array(m), F.slice(t, p + 3, F.size(t))).alias("t"),
+                F.concat(F.slice(r, F.lit(1), p - 1), F.array(left, right), F.slice(r, p + 3, F.size(r))).alias("r"),
             )
 
-        low = F.coalesce(F.array_min(r), F.lit(_NONE))
-        return _let(low, lambda m: F.when(m == _NONE, state).otherwise(_let(F.struct(F.array_position(r, m).cast("int").alias("p")), at)))
+        def least(m: Column) -> Column:
+            leftmost = F.array_min(F.transform(r, lambda x, i: F.when(x == m, i)))
+            return F.when(m == _NONE, state).otherwise(_let(leftmost, lambda p: at(m, p)))
 
-    start = F.struct(pieces.alias("t"), ranks.alias("r"))
-    merged = F.aggregate(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), start, merge)["t"]
-    whole = rank_of(table_, word)
-    folded = F.transform(merged, lambda p: rank_of(table_, p))
-    return F.when(n == 0, F.array().cast("array<int>")).when(whole < _NONE, F.array(whole)).otherwise(folded)
+        return _let(F.array_min(r), least)
+
+    def fold(t: Column) -> Column:
+        start = F.struct(t.alias("t"), F.transform(t, lambda x, i: merges.of_pair(x, F.get(t, i + 1))).alias("r"))
+        return F.aggregate(F.slice(t, 3, F.size(t)), start, merge)["t"]
+
+    folded = _let(_let(ids, fold), lambda t: F.slice(t, 2, F.size(t)))
+    whole = rank_of(merges.words, word)
+    return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(_let(whole, lambda w: F.when(w < _NONE, F.array(w)).otherwise(folded)))
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
@@ -151,8 +212,8 @@ def _assembled(docs: DataFrame, id_col: str, text: str, ranks_path: str, pattern
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     dealt = narrow.mapInArrow(split, "doc_ids array<bigint>, lengths binary, codes binary, words array<binary>")
-    rank_table, pieces = rank_literal(ranks), piece_literal(ranks)
-    one = lambda w: F.when(F.octet_length(w) > LONG, F.lit(None)).otherwise(encode_word(w, rank_table))
+    merges, pieces = Merges(ranks), piece_literal(ranks)
+    one = lambda w: F.when(F.octet_length(w) > LONG, F.lit(None)).otherwise(encode_word(w, merges))
     encoded = dealt.select("doc_ids", "lengths", "codes", F.transform("words", one).alias("ids"), F.transform("words", lambda w: F.when(F.octet_length(w) > LONG, w)).alias("long"))
     encoded = encoded.select("doc_ids", "lengths", "codes", "ids", F.transform("ids", lambda x: F.when(x.isNotNull(), decode_ids(x, pieces))).alias("bytes"), "long")
 
