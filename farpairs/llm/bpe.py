@@ -21,6 +21,7 @@ texts are blocks of their own. Extra columns are ignored by ``encode``.
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 import json
 import zlib
@@ -119,6 +120,18 @@ class Merges:
         self.keys, self.ranks = literal(keys, "bigint"), literal(found, "int")
         self.bytes = literal([ranks.get(bytes([i]), -1) for i in range(256)], "int")
 
+    def bound(self, then) -> Column:
+        """``then`` of these literals, named once, so that the plan holds one copy of each."""
+        names = ["words", "keys", "ranks", "bytes"]
+
+        def named(x: Column) -> Column:
+            own = copy.copy(self)
+            for name in names:
+                setattr(own, name, x[name])
+            return then(own)
+
+        return _let(F.struct(*[getattr(self, n).alias(n) for n in names]), named)
+
     def of_pair(self, left: Column, right: Column) -> Column:
         """The rank, and so the id, of two neighbours joined, else a number above all ranks."""
 
@@ -213,8 +226,9 @@ def _assembled(docs: DataFrame, id_col: str, text: str, ranks_path: str, pattern
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     dealt = narrow.mapInArrow(split, "doc_ids array<bigint>, lengths binary, codes binary, words array<binary>")
     merges, pieces = Merges(ranks), piece_literal(ranks)
-    one = lambda w: F.when(F.octet_length(w) > LONG, F.lit(None)).otherwise(encode_word(w, merges))
-    encoded = dealt.select("doc_ids", "lengths", "codes", F.transform("words", one).alias("ids"), F.transform("words", lambda w: F.when(F.octet_length(w) > LONG, w)).alias("long"))
+    one = lambda w, own: F.when(F.octet_length(w) > LONG, F.lit(None)).otherwise(encode_word(w, own))
+    ids = merges.bound(lambda own: F.transform("words", lambda w: one(w, own)))
+    encoded = dealt.select("doc_ids", "lengths", "codes", ids.alias("ids"), F.transform("words", lambda w: F.when(F.octet_length(w) > LONG, w)).alias("long"))
     encoded = encoded.select("doc_ids", "lengths", "codes", "ids", F.transform("ids", lambda x: F.when(x.isNotNull(), decode_ids(x, pieces))).alias("bytes"), "long")
 
     out = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
