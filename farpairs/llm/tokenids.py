@@ -17,6 +17,10 @@ shard's first token is the sum of the shards before it (one row per shard).
 White space splits a text for the tokenizer exactly (it drops white space), so each
 worker remembers the ids of recent chunks, about ``CACHE`` of them.
 
+The tokenizer's own markers (<|startoftext|>, <|endoftext|>) in a text get their single
+ids, as the library gives them by default; they hold no white space, so the cuts stay
+exact.
+
 Defined results: null and empty texts hold the end id only; a null id sorts first;
 rows that share an id are ordered by text; an empty table gives an empty result.
 Extra columns are ignored.
@@ -66,7 +70,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end = struct.pack("<I", end)
         self.seen: dict[str, bytes] = {}
 

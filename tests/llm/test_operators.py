@@ -158,6 +158,18 @@ def test_token_ids(spark, odd, none):
     assert tokenids.read_ids(tokenids.write_ids(none, empty, tokenizer=path), empty).count() == 0
 
 
+def test_token_ids_of_marker_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenids.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "glued<|endoftext|>word <|startoftext|>a.", "end <|endoftext|>. Then\n<|startoftext|>x, <|ENDOFTEXT|>!"]
+    where = shared_dir(spark)
+    written = tokenids.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), where, tokenizer=path)
+    got = [np.frombuffer(r["ids"], "<u4").tolist() for r in tokenids.read_ids(written, where).orderBy("start").collect()]
+    assert got == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts] and got[0] == [3306, 49407, 1002, 2]
+
+
 @pytest.mark.parametrize("n,universe", [(0, 10), (1, 1), (5, 100), (1000, 10**12), (20_000, 25_000), (3000, 2**63 - 1)])
 def test_elias_fano(n, universe):
     r = np.random.RandomState(1)
