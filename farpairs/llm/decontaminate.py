@@ -8,10 +8,17 @@ all fingerprints within ``RADIUS`` (19) meet. Candidates are verified by the exa
 weighted-shingle (Dice) similarity: a shingle weighs 1 + ln(items / items with it),
 one that no item has weighs as much as the rarest.
 
+Fingerprints beyond ``RADIUS`` can still reach the threshold (edited passages, items
+with boilerplate), so such pairs meet by shingles. A similarity of t takes a common
+weight of at least t / (2 - t) of the item's, so a window must hold one of the item's
+heads: its rarest shingles, up to where the rest weighs less than that. No pair at or
+above the threshold is lost.
+
 Windows that cannot reach the threshold are skipped without loss: a bitmap of fixed
 size holds every item shingle, alone and with its item's length. A document without
 any item shingle has no windows to look at; a window needs so many hits for its
-length that, even at the largest weight, the threshold can be met.
+length that, even at the largest weight, the threshold can be met, and one hit in a
+second bitmap, of the items' heads.
 
 Defined results: null and empty texts, and items without words, match nothing;
 items of under five words are one shingle; a document shorter than an item is one
@@ -86,14 +93,47 @@ def indexed_items(items: DataFrame, id_col: str, text: str) -> DataFrame:
     return narrow.mapInArrow(run, "item_id long, length int, fp long, shingles array<long>, slots array<long>")
 
 
-def windows(docs: DataFrame, id_col: str, text: str, lengths: list[int], screen: np.ndarray, share: float) -> DataFrame:
-    """(doc_id, start, length, fp, shingles) of each window that may reach the threshold."""
+def with_heads(weighted: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, length, fp, heads, slots): shingles of which a window at the threshold holds one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for length, shingle, weight in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                own, first, n = np.unique(np.asarray(shingle, np.int64), return_index=True, return_counts=True)
+                w = np.asarray(weight, np.float64)[first]
+                order = np.lexsort((own, -w))
+                before = np.concatenate([[0.0], np.cumsum((w * n)[order])])
+                # the margin is for rounding; it can only lengthen the heads
+                rest = before[-1] - before[:-1] >= (threshold / (2 - threshold) - 1e-9) * before[-1]
+                heads = own[order][rest]
+                out.append((heads.tolist(), _slot(heads.view(np.uint64), length).tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, pa.list_(pa.int64())) for c in zip(*out)]], ["item_id", "length", "fp", "heads", "slots"])
+
+    narrow = weighted.select("item_id", "length", "fp", "item_shingles", "item_weights")
+    return narrow.mapInArrow(run, "item_id long, length int, fp long, heads array<long>, slots array<long>")
 
-    def met(found: np.ndarray, length: int) -> np.ndarray:
-        slot = _slot(found, length)
-        return (screen[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
 
-    def of_document(own: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+def bitmap(items: DataFrame) -> np.ndarray:
+    """The bits ``slots`` of all items; at most 2^18 rows come back, whatever the benchmark's size."""
+    bits = items.select(F.explode("slots").alias("b")).groupBy(F.shiftright("b", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v")).collect()
+    out = np.zeros(1 << (SCREEN - 6), np.int64)
+    for r in bits:
+        out[r["slot"]] = r["v"]
+    return out.view(np.uint64)
+
+
+def windows(docs: DataFrame, id_col: str, text: str, lengths: list[int], screen: np.ndarray, heads: np.ndarray, share: float) -> DataFrame:
+    """(doc_id, start, length, fp, shingles, keys) of each window that may reach the threshold.
+
+    ``keys`` are its distinct shingles that may be heads of an item of its length.
+    """
+
+    def held(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+
+    def of_document(own: np.ndarray) -> Iterator[tuple[int, int, int, bytes, list[int]]]:
         by_size: dict[int, np.ndarray | None] = {}
         for length in lengths:
             size = min(SHINGLE, length)
@@ -101,19 +141,26 @@ def windows(docs: DataFrame, id_col: str, text: str, lengths: list[int], screen:
                 continue
             if size not in by_size:
                 found = shingles(own, size)
-                by_size[size] = found if met(found, 0).any() else None
+                by_size[size] = found if held(screen, _slot(found, 0)).any() else None
             found = by_size[size]
             if found is None:
                 continue
-            hits = met(found, length)
+            slot = _slot(found, length)
+            hits = held(screen, slot)
             if not hits.any():
                 continue
             m = min(length - size + 1, len(found))
             total = np.concatenate([[0], np.cumsum(hits.astype(np.int64))])
             starts = np.flatnonzero(total[m:] - total[:-m] >= max(1.0, share * m - 1e-9))
+            if not len(starts):
+                continue
+            at = np.flatnonzero(held(heads, slot))
+            first, last = np.searchsorted(at, starts), np.searchsorted(at, starts + m)
+            starts, first, last = starts[last > first], first[last > first], last[last > first]
             if len(starts):
-                for s, fp in zip(starts.tolist(), fingerprints(found, starts, starts + m).tolist()):
-                    yield s, length, fp, found[s : s + m].tobytes()
+                keys = found[at].view(np.int64)
+                for s, fp, a, b in zip(starts.tolist(), fingerprints(found, starts, starts + m).tolist(), first.tolist(), last.tolist()):
+                    yield s, length, fp, found[s : s + m].tobytes(), list(dict.fromkeys(keys[a:b].tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -128,12 +175,12 @@ def windows(docs: DataFrame, id_col: str, text: str, lengths: list[int], screen:
                 yield _batch(out)
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
-    return narrow.mapInArrow(run, "doc_id long, start int, length int, fp long, shingles binary")
+    return narrow.mapInArrow(run, "doc_id long, start int, length int, fp long, shingles binary, keys array<long>")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "start", "length", "fp", "shingles"])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "start", "length", "fp", "shingles", "keys"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -149,11 +196,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: st
     least = weighted.agg(F.min(F.array_min("item_weights"))).first()[0] or 1.0
     most = 1.0 + math.log(max(n_items, 1))
     lengths = [r["length"] for r in known.select("length").distinct().orderBy("length").collect()]
-    bits = known.select(F.explode("slots").alias("b")).groupBy(F.shiftright("b", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v")).collect()
-    screen = np.zeros(1 << (SCREEN - 6), np.int64)
-    for r in bits:  # at most 2^18 rows, whatever the benchmark's size
-        screen[r["slot"]] = r["v"]
-    met = materialize(windows(docs, id_col, text, lengths, screen.view(np.uint64), threshold * least / most))
+    headed = materialize(with_heads(weighted, threshold))
+    met = materialize(windows(docs, id_col, text, lengths, bitmap(known), bitmap(headed), (threshold - 1e-9) * least / most))
 
     key = lambda fp, shift, n: F.shiftrightunsigned(fp, shift).bitwiseAND((1 << n) - 1)
     mine = met.withColumn("b", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), key(F.col("fp"), s, n).alias("key")) for k, (s, n) in enumerate(BLOCKS)])))
@@ -173,6 +217,11 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: st
         earlier &= (F.col("block") <= k) | (F.bit_count(key(differ, s, n)) > FLIPS)
     pairs = mine.join(theirs, ["length", "block", "key"]).where(earlier & (F.bit_count(differ) <= RADIUS))
     pairs = pairs.select("doc_id", "start", "length", "shingles", "item_id", F.bit_count(differ).alias("hamming"))
+    # the pairs that the fingerprints cannot bring together; one of several common heads counts
+    held_by = headed.select("item_id", "length", F.col("fp").alias("item_fp"), "heads", F.explode("heads").alias("head"))
+    beyond = met.select("doc_id", "start", "length", "fp", "shingles", "keys", F.explode("keys").alias("head")).join(held_by, ["length", "head"])
+    beyond = beyond.where((F.bit_count(differ) > RADIUS) & (F.col("head") == F.array_intersect("keys", "heads")[0]))
+    pairs = pairs.unionByName(beyond.select("doc_id", "start", "length", "shingles", "item_id", F.bit_count(differ).alias("hamming")))
 
     @F.pandas_udf("double")
     def similarity(window: pd.Series, item: pd.Series, weight: pd.Series) -> pd.Series:
@@ -188,7 +237,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: st
         return pd.Series(out, dtype="float64")
 
     checked = pairs.join(weighted.select("item_id", "item_shingles", "item_weights"), "item_id").select("doc_id", "item_id", "start", "length", "hamming", similarity("shingles", "item_shingles", "item_weights").alias("similarity"))
-    best = checked.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"), "length", "hamming")).alias("m"))
+    best = checked.where(F.round("similarity", 9) >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"), "length", "hamming")).alias("m"))
     return best.select("doc_id", "item_id", (-F.col("m.at")).cast("int").alias("start"), F.col("m.length").alias("n_words"), F.round("m.similarity", 9).alias("similarity"), F.col("m.hamming").alias("hamming"))
 
 

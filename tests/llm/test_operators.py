@@ -87,6 +87,44 @@ def test_decontamination(spark, sf_dir, odd, none):
     assert exact == set(rows(decontaminate.op2_decontaminate(spark, sf_dir).select("doc_id", "item_id")))
 
 
+def test_decontamination_of_edited_passages(spark):
+    """Every pair that brute force finds by the weighted Dice, near the threshold too."""
+    tail = " ".join(f"common{k}" for k in range(14))
+    items = {i: " ".join(f"i{i}w{k}" for k in range(10 + i % 40)) + (" " + tail if i % 2 else "") for i in range(120)}
+    docs = {}
+    for i, t in items.items():
+        for d in range(6):
+            w = t.split()
+            if i % 2 and d < 3:
+                w[-14:] = [f"d{i}x{d}x{k}" for k in range(14 - d)]
+            else:
+                w[-1 - d] = w[d % 2 * len(w) // 2] = f"e{i}x{d}"
+            docs[10 * i + d] = " ".join(["a", "b", *w, "c", "d"])
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    of = {i: grams(t.split()) for i, t in items.items()}
+    df = Counter(s for x in of.values() for s in x)
+    want = {}
+    for d, t in docs.items():
+        w = t.split()
+        for i, b in of.items():
+            size, best = len(items[i].split()), 0.0
+            for s in range(max(1, len(w) - size + 1)):
+                a = grams(w[s : s + size])
+                weight = lambda x: 1 + math.log(len(items) / df[x]) if x in b else 1 + math.log(len(items))  # noqa: E731, B023
+                common = sum(weight(x) * min(n, b[x]) for x, n in a.items() if x in b)
+                if common:
+                    best = max(best, 2 * common / (sum(weight(x) * n for x, n in a.items()) + sum(weight(x) * n for x, n in b.items())))
+            if best >= 0.8:
+                want[d, i] = round(best, 9)
+    made = lambda x, name: spark.createDataFrame(list(x.items()), f"{name} long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.leaks(made(docs, "doc_id"), made(items, "item_id")).collect()}
+    close = [k for k, v in want.items() if v < 0.85]
+    found = sum(k in got for k in close)
+    assert len(close) > 50 and found == len(close), f"{found} of {len(close)} below 0.85, {len(got)} of {len(want)} in all"
+    assert {k: x["similarity"] for k, x in got.items()} == pytest.approx(want, abs=1e-8)
+    assert any(x["hamming"] > decontaminate.RADIUS for x in got.values())
+
+
 def test_keys_within_radius():
     r = np.random.RandomState(3)
     for _ in range(50):
