@@ -42,9 +42,14 @@ def top_per_bucket(pairs: DataFrame, k: int, order: list) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def min_max(pairs: DataFrame, column: str) -> DataFrame:
-    """``column``_norm over all pairs; a constant column is 0."""
-    ends = pairs.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+def min_max(pairs: DataFrame, column: str, of: int = 0) -> DataFrame:
+    """``column``_norm over all pairs; a constant column is 0.
+
+    If there are more pairs (``of``) than rows, those left out have the value 0.
+    """
+    lo, hi = F.min(column), F.max(column)
+    more = F.count("*") < of
+    ends = pairs.agg(F.when(more, F.least(lo, F.lit(0.0))).otherwise(lo).alias("lo"), F.when(more, F.greatest(hi, F.lit(0.0))).otherwise(hi).alias("hi"))
     out = F.when(F.col("hi") > F.col("lo"), (F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     return pairs.crossJoin(F.broadcast(ends)).withColumn(f"{column}_norm", out).drop("lo", "hi")
 

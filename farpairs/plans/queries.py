@@ -193,8 +193,7 @@ def j2_dependency_pairs(spark, sf_dir):
 n as (select count(distinct entry) as n from deps) select (select count(*) from t, o where t.q > o.q or t.q = o.q and (l > 1 or l = 1 and r > 2)) + 1 as "rank", n * (n - 1) // 2 as "of", (select q from o) as score from n""")
 def w5_pair_rank(spark, sf_dir):
     deps = materialize(_deps(spark, sf_dir))
-    n = deps.select("entry").distinct().count()
-    return views.pair_rank(materialize(views.jaccard_pairs(deps).withColumn("score", F.round("score", 6))), 1, 2, n * (n - 1) // 2)
+    return views.pair_rank(materialize(views.jaccard_pairs(deps).withColumn("score", F.round("score", 6))), deps.select("entry").distinct(), 1, 2)
 
 
 @query(f"""with {_DEPS_SQL}, s as (select entry, list_sort(list(constant)) as c from deps group by entry)
@@ -308,8 +307,9 @@ def a15_match_fractions(spark, sf_dir):
 
 @query(f"""with {_PAIRS_SQL}, e as (select min(score) as lo, max(score) as hi from scored) select l as "left", r as "right", round((score - lo) / (hi - lo), 6) as score_norm from scored, e""")
 def a9_min_max(spark, sf_dir):
-    found = materialize(views.jaccard_pairs(_deps(spark, sf_dir)))
-    return pairs.min_max(found, "score").select("left", "right", F.round("score_norm", 6).alias("score_norm"))
+    deps = materialize(_deps(spark, sf_dir))
+    n = deps.select("entry").distinct().count()
+    return pairs.min_max(materialize(views.jaccard_pairs(deps)), "score", n * (n - 1) // 2).select("left", "right", F.round("score_norm", 6).alias("score_norm"))
 
 
 _WINDOWS_SQL = f"""w as (select o_orderkey, m as months, o_orderstatus, o_orderkey % 60 + 1 as rnk from orders, (values (1), (3), (6), (12)) v(m)

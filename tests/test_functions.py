@@ -3,7 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from farpairs.functions import text as T
-from farpairs.operators import evaluate, extract, graph, pairs
+from farpairs.operators import evaluate, extract, graph, pairs, views
 from farpairs.sources import trees
 
 
@@ -59,6 +59,20 @@ def test_graph_and_classes(spark):
     assert {tuple(r) for r in found} == {("x1", "x2", "ge4"), ("x2", "x4", "ge4"), ("x1", "x3", "no_path"), ("x2", "x3", "no_path"), ("x3", "x4", "no_path")}
 
 
+def test_pairs_of_score_zero(spark):
+    deps = spark.createDataFrame([(1, "a"), (1, "z"), (2, "b"), (3, "a"), (3, "b"), (4, "c"), (5, "c"), (5, "b")], "entry long, constant string")
+    found = views.jaccard_pairs(deps)
+    score = {(r["left"], r["right"]): r["score"] for r in found.collect()}
+    ordered = sorted(((score.get((i, j), 0.0), i, j) for i in range(1, 6) for j in range(i + 1, 6)), reverse=True)
+    assert 0 < len(score) < len(ordered)
+    for at, (s, i, j) in enumerate(ordered, 1):
+        assert [tuple(r) for r in views.pair_rank(found, deps.select("entry").distinct(), i, j).collect()] == [(at, 10, s)]
+    assert [tuple(r) for r in views.pair_rank(found, deps.select("entry").distinct(), 1, 9).collect()] == [(None, 10, None)]
+    normed = {(r["left"], r["right"]): r["score_norm"] for r in pairs.min_max(found, "score", 10).collect()}
+    assert normed == {k: s / max(score.values()) for k, s in score.items()}
+    assert min(r["score_norm"] for r in pairs.min_max(found, "score").collect()) == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "Pkg" / "Sub").mkdir(parents=True)
     (tmp_path / "Pkg" / "Sub" / "A.lean").write_text("theorem a :\n x := y")
