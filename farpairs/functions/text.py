@@ -1,4 +1,4 @@
-"""Column functions over source text and statements."""
+"""Column functions over source text and statements."""
 
 from __future__ import annotations
 
@@ -26,6 +26,8 @@ BRIDGE = [
     ("IsSquare (-1 : ZMod m.natAbs)", "∃ r : ℤ, r ^ 2 ≡ -1 [ZMOD m]"),
     ("IsSquare (-1 : ZMod n.markovNumber.natAbs)", "∃ r : ℤ, r ^ 2 ≡ -1 [ZMOD n.markovNumber]"),
 ]
+# Names of the theorems at the two ends of a bridge.
+ENDS = ("isSquare_neg_one_mod_markovNumber", "exists_sq_modEq_neg_one_markovNumber")
 
 
 def one_spaced(text: Column) -> Column:
@@ -33,51 +35,46 @@ def one_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of the one-spaced text."""
     return F.sha2(one_spaced(text), 256)
 
 
 def without_line_comments(text: Column) -> Column:
-    """What follows `--` goes, unless a slash or dash stands before or a dash after it."""
-    return F.regexp_replace(text, r"(?<![-/])--(?!-)[^\n]*", "")
+    """Two dashes and the rest of their line go, unless a slash or dash stands before or a dash after them."""
+    return F.regexp_replace(text, r"(?<!/)(?<!-)-{2}(?!-).*", "")
 
 
 @F.pandas_udf(StringType())
 def without_comments(text: pd.Series) -> pd.Series:
-    """All comments go, nested block comments too; line ends within them stay."""
+    """All comments go, nested block comments too; line ends within them stay.
+
+    Inside a block comment only its own opening and closing signs count, so that two
+    dashes before a closing sign do not hide it. An open one hides the rest.
+    """
     import re
 
-    mark = re.compile(r"/-|-/|--|\n")
-
-    def one(s: str | None) -> str | None:
-        if s is None or "-" not in s:
-            return s
-        kept, depth, at, skip = [], 0, 0, False
-        for m in mark.finditer(s):
-            if m.start() < at and not skip:
-                continue
-            sign = m.group()
-            if skip:
-                if sign == "\n":
-                    skip, at = False, m.start()
-            elif sign == "/-":
-                if depth == 0:
-                    kept.append(s[at : m.start()])
-                depth, at = depth + 1, m.end()
-            elif sign == "-/" and depth:
-                depth, at = depth - 1, m.end()
-            elif sign == "--" and not depth:
-                kept.append(s[at : m.start()])
-                skip = True
-            elif sign == "\n" and depth:
-                kept.append("\n")
-                at = m.end()
-        if not skip and not depth:
-            kept.append(s[at:])
-        return "".join(kept)
-
-    return text.map(one, na_action="ignore")
+    outside, inside = re.compile(r"--[^\n]*|/-"), re.compile(r"-/|/-|\n")
+
+    def one(s: str) -> str:
+        kept, depth, at = [], 0, 0
+        while found := (inside if depth else outside).search(s, at):
+            sign = found[0]
+            if not depth:
+                kept.append(s[at : found.start()])
+            elif sign == "\n":
+                kept.append(sign)
+            depth += (sign == "/-") - (sign == "-/" and depth > 0)
+            at = found.end()
+        return "".join(kept) + ("" if depth else s[at:])
+
+    marked = text.str.contains("--|/-", regex=True, na=False)
+    return text.where(~marked, text[marked].map(one))
 
 
 def mapped_symbols(text: Column) -> Column:
@@ -109,16 +106,22 @@ def module_matches(module: Column, suffix: Column) -> Column:
     return (module == suffix) | module.endswith(F.concat(F.lit("."), suffix))
 
 
+def qualifier(name: Column) -> Column:
+    """what stands before the last dot, else null."""
+    return F.when(name.contains("."), F.regexp_replace(name, r"\.[^.]*$", ""))
+
+
 def additive_name(name: Column) -> Column:
-    """humps that are a listed segment are replaced; the first letter keeps its case."""
-    pieces = F.regexp_extract_all(name, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^A-Za-z]+"), F.lit(0))
+    """humps that are a listed segment are replaced; the first letter keeps its case.
+
+    Dots and underscores part an identifier; digits belong to the hump before them.
+    """
+    pieces = F.regexp_extract_all(name, F.lit(r"[._]|[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+|[^A-Za-z0-9._]+"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for pair in SEGMENTS for x in pair])
 
     def one(p: Column) -> Column:
-        out = p
-        for a, b in reversed(SEGMENTS):
-            upper = F.substring(p, 1, 1) == F.upper(F.substring(p, 1, 1))
-            out = F.when(F.lower(p) == a, F.when(upper, F.lit(b[0].upper() + b[1:])).otherwise(F.lit(b))).otherwise(out)
-        return out
+        other = known[F.lower(p)]
+        return F.coalesce(F.when(p.rlike("^[A-Z]"), F.concat(F.upper(F.substring(other, 1, 1)), F.substring(other, 2, 100))).otherwise(other), p)
 
     return F.array_join(F.transform(pieces, one), "")
 
@@ -130,21 +133,44 @@ def additive_signature(signature: Column) -> Column:
     return F.replace(F.replace(named, F.lit(" * "), F.lit(" + ")), F.lit(" / "), F.lit(" - "))
 
 
-def _loose(phrase: str) -> str:
-    """A pattern for the phrase with any white space between its words."""
-    import re
+def once(text: Column, pattern: str, other: str) -> Column:
+    """The first match of ``pattern`` replaced by ``other``; null without one."""
+    ahead = F.regexp_extract(text, f"(?sU)^(.*?)(?:{pattern})", 1)
+    behind = F.regexp_extract(text, f"(?sU)^.*?(?:{pattern})(.*)$", 1)
+    return F.when(text.rlike(f"(?U){pattern}"), F.concat(ahead, F.lit(other), behind))
 
-    return r"(?U)\s+".join(re.escape(p) for p in phrase.split()).replace(r"(?U)", "")
 
+def across_bridge(signature: Column, bridge: list[tuple[str, str]] = BRIDGE, ends: tuple[str, str] = ENDS) -> Column:
+    """the first side that stands in the signature is replaced once by the other.
 
-def across_bridge(signature: Column, bridge: list[tuple[str, str]] = BRIDGE) -> Column:
-    """the first side that stands in the signature is replaced once by the other; else null."""
-    out = F.lit(None).cast("string")
-    steps = []
-    for left, right in bridge:
-        for a, b in ((left, right), (right, left)):
-            steps.append(F.when(signature.rlike(_loose(a)), F.concat(F.regexp_extract(signature, f"(?s)^(.*?)(?:{_loose(a)})", 1), F.lit(b), F.regexp_extract(signature, f"(?s)^.*?(?:{_loose(a)})(.*)$", 1))))
-    return F.coalesce(*steps, out)
+    White space in a side is flexible. Without a side, the name of an end is replaced by
+    the other end's; without that too the result is null.
+    """
+    quoted = lambda x: r"\Q" + x + r"\E"
+    flexible = lambda side: r"\s+".join(map(quoted, side.split()))
+    both_ways = [way for pair in bridge for way in (pair, pair[::-1])]
+    names = [(rf"(?<![\w.]){quoted(a)}(?!\w)", b) for a, b in (ends, ends[::-1])]
+    return F.coalesce(*[once(signature, flexible(a), b) for a, b in both_ways], *[once(signature, a, b) for a, b in names])
+
+
+def textual_proposition(signature: Column) -> Column:
+    """what stands before the last colon outside brackets is bound, the rest is the body.
+
+    Without such a colon all is the body; an empty body is null. A closing bracket too many
+    does not count.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("cut"))
+
+    def step(x: Column, c: Column) -> Column:
+        depth = F.when(c.isin("(", "[", "{"), x["depth"] + 1).when(c.isin(")", "]", "}"), F.greatest(x["depth"] - 1, F.lit(0))).otherwise(x["depth"])
+        at = x["at"] + 1
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((c == ":") & (x["depth"] == 0), at).otherwise(x["cut"]).alias("cut"))
+
+    def said(cut: Column) -> Column:
+        binders, body = one_spaced(F.substring(signature, F.lit(1), cut - 1)), one_spaced(F.substring(signature, cut + 1, F.length(signature)))
+        return F.when(cut == 0, F.nullif(one_spaced(signature), F.lit(""))).when(body == "", F.lit(None)).when(binders == "", body).otherwise(F.concat(F.lit("∀ "), binders, F.lit(", "), body))
+
+    return F.transform(F.array(F.aggregate(F.split(signature, ""), start, step)["cut"]), said)[0]
 
 
 def goals(left: Column, right: Column) -> Column:
@@ -163,14 +189,22 @@ def since_date(attribute: Column) -> Column:
     return F.to_date(F.nullif(F.regexp_extract(attribute, r'since\s*:=\s*"([0-9]{4}-[0-9]{2}-[0-9]{2})"', 1), F.lit("")))
 
 
+#: An identifier with dots and primes.
+IDENTIFIER = r"([A-Za-z_][\w.']*)"
+
+
+def first_identifier(text: Column, blanked: list[str]) -> Column:
+    """The first identifier once every match of ``blanked`` is a space; null without one."""
+    for pattern in blanked:
+        text = F.regexp_replace(text, pattern, " ")
+    return F.nullif(F.regexp_extract(text, f"(?U){IDENTIFIER}", 1), F.lit(""))
+
+
 def replacement_name(attribute: Column) -> Column:
-    """The first identifier once strings and since clauses are blanked."""
-    bare = F.regexp_replace(attribute, r'"[^"]*"', " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\(\s*since\s*:=[^)]*\)", " "), r"since\s*:=", " ")
-    return F.nullif(F.regexp_extract(bare, r"([A-Za-z_][\w.']*)", 1), F.lit(""))
+    """Strings and since clauses, in brackets or bare up to a comma, are blanked."""
+    return first_identifier(attribute, [r'"[^"]*"', r"\(since\s*:=[^)]*\)", r"\bsince\s*:=[^,\]]*"])
 
 
 def explicit_name(attribute: Column) -> Column:
-    """The first identifier after groups of further attributes and doc blocks."""
-    bare = F.regexp_replace(F.regexp_replace(attribute, r"\(\s*attr\s*:=[^)]*\)", " "), r"(?s)/--.*?-/", " ")
-    return F.nullif(F.regexp_extract(bare, r"([A-Za-z_][\w.']*)", 1), F.lit(""))
+    """Groups of further attributes and doc blocks are blanked."""
+    return first_identifier(attribute, [r"(?s)\(attr\s*:=.*?\)", r"(?s)/--.*?-/"])

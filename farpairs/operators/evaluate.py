@@ -1,4 +1,4 @@
-"""Freezes, windows, recall, precision, controls, intervals, probes."""
+"""Freezes, windows, recall, precision, controls, intervals, probes."""
 
 from __future__ import annotations
 
@@ -14,12 +14,15 @@ MONTHS = [1, 3, 6, 12]
 
 
 def freeze(deprecations: DataFrame, decls: DataFrame) -> DataFrame:
-    """Deprecations with their class: alias, no_replacement, unresolved, identical or kept."""
-    known = resolved(deprecations.where("replacement is not null").select(F.col("replacement").alias("name")), decls)
-    joined = deprecations.join(known, deprecations["replacement"] == known["name"], "left")
-    old = T.one_spaced(F.col("old_sig"))
-    kind = F.coalesce(F.col("class"), F.when(F.coalesce("hits", F.lit(0)) != 1, "unresolved"), F.when(old == F.col("statement"), "identical"), F.lit("kept"))
-    return joined.select("old", F.col("replacement").alias("new"), "since", old.alias("old_statement"), F.col("statement").alias("new_statement"), kind.alias("class"))
+    """Deprecations with their class: alias, no_replacement, unresolved, identical or kept.
+
+    ``old`` and ``new`` are full names; ``new`` is null where nothing was resolved.
+    """
+    known = resolved(deprecations.where("class is null and replacement is not null").select(F.col("replacement").alias("name")), decls)
+    joined = deprecations.withColumnRenamed("module", "old_module").join(known, (F.col("replacement") == known["name"]) & F.col("class").isNull(), "left")
+    old, new = T.one_spaced(F.col("old_sig")), T.one_spaced(F.col("statement"))
+    kind = F.coalesce(F.col("class"), F.when(F.coalesce("hits", F.lit(0)) != 1, "unresolved"), F.when(old == new, "identical"), F.lit("kept"))
+    return joined.select(F.concat_ws(".", "old_module", "old").alias("old"), F.col("full_name").alias("new"), "since", old.alias("old_statement"), new.alias("new_statement"), kind.alias("class"))
 
 
 def freeze_counts(frozen: DataFrame) -> DataFrame:
@@ -61,6 +64,37 @@ def precision_at(ranked: DataFrame, by: list[str], ks: list[int] = PREFIXES) ->
     return within.groupBy(*by, "k").agg(F.count("*").alias("rows"), F.avg(F.col("flag").cast("double")).alias("precision"))
 
 
+def random_recall(views: DataFrame, by: list[str], k: int = 10) -> DataFrame:
+    """(by, parsed, random_recall): k places among all other parsed rows; null for one row or none."""
+    return views.groupBy(*by).agg(F.count_if("parsed").alias("parsed")).withColumn("random_recall", F.when(F.col("parsed") > 1, F.lit(float(k)) / (F.col("parsed") - 1)))
+
+
+def linked_within(pairs: DataFrame, links: DataFrame, start: str, months: list[int] = MONTHS) -> DataFrame:
+    """Each pair in each window with a flag: a link's last date lies in start < since <= start + m months."""
+    dated = later_linked(pairs, links)
+    first = F.lit(start).cast("date")
+    each = dated.withColumn("months", F.explode(F.array(*[F.lit(m) for m in months])))
+    flag = (F.col("since") > first) & (F.col("since") <= F.add_months(first, F.col("months")))
+    return each.withColumn("flag", F.coalesce(flag, F.lit(False)))
+
+
+def targets(gaps: DataFrame, rollup: DataFrame) -> DataFrame:
+    """Gaps (query) whose direct probe (query, outcome) did not close; one never tried is a target."""
+    return gaps.join(rollup.where("outcome = 'closed'").select("query").distinct(), "query", "left_anti")
+
+
+def unportable(rows: DataFrame, closed: list[str]) -> DataFrame:
+    """Every row of the neighbourhood once for each corpus that cannot be elaborated, given by name."""
+    return rows.withColumn("corpus", F.explode(F.array(*[F.lit(c) for c in sorted(set(closed))]).cast("array<string>")))
+
+
+def probe_jobs(recovered: DataFrame, frozen: DataFrame) -> DataFrame:
+    """(old, new) with both statements of the frozen set; a job that reads a pair that is not frozen fails."""
+    kept = frozen.where("class = 'kept'").groupBy("old", "new").agg(F.min(F.struct("old_statement", "new_statement")).alias("x"))
+    told = F.raise_error(F.concat_ws(" ", F.lit("not frozen:"), "old", "new")).cast("string")
+    return recovered.select("old", "new").join(kept, ["old", "new"], "left").select("old", "new", F.when(F.col("x").isNull(), told).otherwise(F.col("x.old_statement")).alias("old_statement"), F.col("x.new_statement").alias("new_statement"))
+
+
 def later_linked(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs with the last date of an (unordered) link between them, or null."""
     dated = links.groupBy(F.least("old", "new").alias("a"), F.greatest("old", "new").alias("b")).agg(F.max("since").alias("since"))

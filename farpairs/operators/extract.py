@@ -1,28 +1,54 @@
-"""Declarations, imports and attributes out of source text."""
+"""Declarations, imports and attributes out of source text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farpairs.functions import text as T
 
-#: Doc block, attributes, modifiers (the last one is captured), kind, name, and the lazy signature.
-_DECL = r"(?s)(?:/--(.*?)-/\s*)?(?:@\[[^\]]*\]\s*)*(private\s+|protected\s+|noncomputable\s+)*(theorem|lemma|def|abbrev)\s+([^\s:({\[]+)(.*?)(?::=|\bwhere\b|\n\s*\|)"
-_MODS = r"(?:private\s+|protected\s+|noncomputable\s+|scoped\s+)*"
+# Words that open a declaration, and words that may stand before them.
+KINDS = ["theorem", "lemma", "def", "abbrev"]
+MODIFIERS = ["private", "protected", "noncomputable"]
+#: What ends a signature.
+ENDS = [":=", r"\bwhere\b", r"\n\s*\|"]
+#: White space and word ends are Unicode's; a dot is any character.
+FLAGS = "(?sU)"
 
 
-def declarations(sources: DataFrame, *, blank_comments: bool = False) -> DataFrame:
+def any_of(words: list[str]) -> str:
+    return f"(?:{'|'.join(words)})"
+
+
+_MODIFIER = rf"{any_of(MODIFIERS)}\s+"
+_ATTRIBUTES = r"(?:@\[[^\]]*\]\s*)*"
+_NAME = r"[^\s:({\[]+"
+_OPENING = rf"{_ATTRIBUTES}(?:{_MODIFIER})*{any_of(KINDS)}\s+{_NAME}"
+_WHOLE = rf"{FLAGS}(?:/--.*?-/\s*)?{_OPENING}.*?{any_of(ENDS)}"
+
+
+def part(hit: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract(hit, FLAGS + pattern, group)
+
+
+def declarations(sources: DataFrame, *, blank_comments: bool = False, strict_private: bool = False) -> DataFrame:
     """(corpus, module, name, kind, statement, docstring, raw_doc, raw_sig, ordinal).
 
-    A declaration is dropped if its last modifier is private; an earlier one is not
-    seen, since a repeated group keeps its last match.
+    Each hit is taken apart in steps: its doc block, its opening (attributes, modifiers,
+    kind, name), and the rest up to what ends a signature. A declaration is dropped if the
+    modifier next to its kind is private; with ``strict_private`` if any is.
     """
     text = T.without_comments("text") if blank_comments else T.without_line_comments(F.col("text"))
-    hits = sources.select("corpus", "module", F.posexplode(F.regexp_extract_all(text, F.lit(_DECL), F.lit(0))).alias("ordinal", "hit"))
-    group = lambda k: F.regexp_extract("hit", _DECL, k)
-    found = hits.select("corpus", "module", group(4).alias("name"), group(3).alias("kind"), F.trim(T.one_spaced(group(5))).alias("statement"), F.trim(group(1)).alias("docstring"), group(1).alias("raw_doc"), group(5).alias("raw_sig"), F.col("ordinal").cast("long").alias("ordinal"), group(2).alias("mod"))
-    return found.where(~F.col("mod").contains("private")).drop("mod")
+    hits = sources.select("corpus", "module", F.posexplode(F.regexp_extract_all(text, F.lit(_WHOLE), F.lit(0))).alias("ordinal", "hit"))
+    doc = hits.withColumn("raw_doc", part(F.col("hit"), rf"^/--(.*?)-/\s*{_OPENING}"))
+    rest = F.when(F.col("hit").startswith("/--"), F.expr("substring(hit, length(raw_doc) + 6)")).otherwise(F.col("hit"))
+    opened = doc.withColumn("rest", T.stripped(rest)).withColumn("opening", part(F.col("rest"), rf"^({_OPENING})"))
+    plain = opened.withColumn("words", F.regexp_replace("opening", FLAGS + "^" + _ATTRIBUTES, ""))
+    named = plain.withColumn("modifiers", part(F.col("words"), rf"^((?:{_MODIFIER})*)")).withColumn("head", F.expr("substring(words, length(modifiers) + 1)"))
+    signature = F.regexp_replace(F.expr("substring(rest, length(opening) + 1)"), FLAGS + any_of(ENDS) + "$", "")
+    hidden = F.col("modifiers").contains("private") if strict_private else F.col("modifiers").rlike(r"(?U)\bprivate\s+$")
+    kept = named.where(~hidden).withColumn("raw_sig", signature)
+    return kept.select("corpus", "module", part(F.col("head"), rf"({_NAME})$").alias("name"), part(F.col("head"), r"^(\w+)").alias("kind"), T.stripped(F.col("raw_sig")).alias("statement"), T.stripped(F.col("raw_doc")).alias("docstring"), "raw_doc", "raw_sig", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 def theorems(decls: DataFrame) -> DataFrame:
@@ -32,32 +58,51 @@ def theorems(decls: DataFrame) -> DataFrame:
 
 def imports_naive(sources: DataFrame, namespace: str) -> DataFrame:
     """(src, dst) of lines that start with `import <namespace>`, comments included."""
-    lines = F.regexp_extract_all("text", F.lit(rf"(?m)^import\s+({namespace}[\w.]*)"), F.lit(1))
+    lines = F.regexp_extract_all("text", F.lit(rf"(?mU)^import\s+({namespace}[\w.]*)"), F.lit(1))
     return sources.select(F.col("module").alias("src"), F.explode(lines).alias("dst"))
 
 
 def imports(sources: DataFrame) -> DataFrame:
     """(src, dst) outside comments, public and meta imports too, any target."""
-    lines = F.regexp_extract_all(T.without_comments("text"), F.lit(r"(?m)^\s*(?:public\s+|meta\s+)*import\s+([\w.]+)"), F.lit(1))
+    lines = F.regexp_extract_all(T.without_comments("text"), F.lit(r"(?mU)^\s*(?:public\s+|meta\s+)*import\s+([\w.]+)"), F.lit(1))
     return sources.select(F.col("module").alias("src"), F.explode(lines).alias("dst"))
 
 
+def _blocks(sources: DataFrame, attribute: str) -> DataFrame:
+    """(corpus, module, args, after, later): the text behind each ``@[attribute ...]``.
+
+    ``after`` ends where the next such attribute begins; ``later`` is all that follows.
+    """
+    parts = sources.select("corpus", "module", F.split("text", FLAGS + rf"@\[{attribute}\b").alias("p"))
+    each = parts.select("corpus", "module", "p", F.posexplode(F.slice("p", 2, F.size("p"))).alias("k", "own")).where(F.col("own").contains("]"))
+    later = F.array_join(F.slice("p", F.col("k") + 3, F.size("p")), f"@[{attribute}")
+    return each.select("corpus", "module", F.substring_index("own", "]", 1).alias("args"), F.expr("substring(own, instr(own, ']') + 1)").alias("after"), later.alias("later"))
+
+
 def deprecations(sources: DataFrame) -> DataFrame:
-    """(module, kind, old, replacement, since, old_sig, class) of each deprecated block."""
-    whole = rf"(?s)@\[deprecated\b([^\]]*)\]\s*({_MODS})(alias|theorem|lemma|def|abbrev)\s+([A-Za-z_]\w*)(.*?):="
-    hits = sources.select("module", F.explode(F.regexp_extract_all("text", F.lit(whole), F.lit(0))).alias("hit"))
-    group = lambda k: F.regexp_extract("hit", whole, k)
-    found = hits.select("module", group(3).alias("kind"), group(4).alias("old"), T.replacement_name(group(1)).alias("replacement"), T.since_date(group(1)).alias("since"), group(5).alias("old_sig"), group(2).contains("private").alias("hidden"))
-    kind = F.when((F.col("kind") == "alias") | F.col("hidden"), "alias").when(F.col("replacement").isNull(), "no_replacement")
-    return found.select("module", "kind", "old", "replacement", "since", "old_sig", kind.alias("class"))
+    """(module, kind, old, replacement, since, old_sig, class) of each deprecated block.
+
+    The attribute is read first, then the header right behind it (a block without one is
+    ignored), then the signature up to the next `:=` anywhere; without one it is null and
+    the block unresolved. Aliases and private ones are class alias.
+    """
+    header = rf"^\s*((?:{any_of([*MODIFIERS, 'scoped'])}\s+)*)({any_of(['alias', *KINDS])})\s+([A-Za-z_]\w*)"
+    after = F.col("after")
+    found = _blocks(sources, "deprecated").where(after.rlike(FLAGS + header))
+    behind = F.regexp_replace("after", FLAGS + header, "")
+    # the signature may go on behind further attributes
+    full = F.when(behind.contains(":="), behind).otherwise(F.concat(behind, F.lit("@[deprecated"), "later"))
+    named = found.select("module", part(after, header, 1).alias("modifiers"), part(after, header, 2).alias("kind"), part(after, header, 3).alias("old"), T.replacement_name(F.col("args")).alias("replacement"), T.since_date(F.col("args")).alias("since"), F.when(full.contains(":="), F.substring_index(full, ":=", 1)).alias("old_sig"))
+    kind = F.when((F.col("kind") == "alias") | F.col("modifiers").contains("private"), "alias").when(F.col("replacement").isNull(), "no_replacement").when(F.col("old_sig").isNull(), "unresolved")
+    return named.select("module", "kind", "old", "replacement", "since", "old_sig", kind.alias("class"))
 
 
 def additive_attributes(sources: DataFrame) -> DataFrame:
-    """(module, kind, name, explicit, is_private) of each to_additive block."""
-    whole = rf"(?s)@\[to_additive([^\]]*)\]\s*(?:/--.*?-/\s*)?(?:@\[[^\]]*\]\s*)*({_MODS})(theorem|lemma|def|abbrev|instance)\s+([^\s:({{\[]+)"
-    hits = sources.select("module", F.explode(F.regexp_extract_all("text", F.lit(whole), F.lit(0))).alias("hit"))
-    group = lambda k: F.regexp_extract("hit", whole, k)
-    return hits.select("module", group(3).alias("kind"), group(4).alias("name"), T.explicit_name(group(1)).alias("explicit"), group(2).contains("private").alias("is_private"))
+    """(module, kind, name, explicit, is_private) of each to_additive block with a header behind it."""
+    header = rf"^\s*(?:/--.*?-/\s*)?{_ATTRIBUTES}((?:{_MODIFIER})*)({any_of([*KINDS, 'instance'])})\s+({_NAME})"
+    after = F.col("after")
+    found = _blocks(sources, "to_additive").where(after.rlike(FLAGS + header))
+    return found.select("module", part(after, header, 2).alias("kind"), part(after, header, 3).alias("name"), T.explicit_name(F.col("args")).alias("explicit"), part(after, header, 1).contains("private").alias("is_private"))
 
 
 def dual_count(sources: DataFrame) -> DataFrame:
@@ -70,6 +115,25 @@ def namespaces(sources: DataFrame) -> DataFrame:
     return sources.select("module", F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^namespace\s+(\S+)"), F.lit(1))).alias("namespaces"))
 
 
+def named_headers(sources: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, hits, module, raw_sig) of each wanted theorem by its header line.
+
+    The first line of a file that opens with `theorem` or `lemma` and the name's last part
+    counts, if a `:=` follows and the module is, or ends with, the name's other parts. A
+    header whose name goes on behind a dot or prime counts too, as the word ends there.
+    Module and signature are null unless there is exactly one hit.
+    """
+    lines = F.regexp_extract_all("text", F.lit(r"(?mU)^(?:theorem|lemma)\s+(\w+)"), F.lit(1))
+    heads = sources.select("module", "text", F.explode(F.array_distinct(lines)).alias("short"))
+    wanted = names.select("name").distinct().select("name", F.substring_index("name", ".", -1).alias("short"), T.qualifier(F.col("name")).alias("suffix"))
+    met = heads.join(F.broadcast(wanted) if wanted.count() <= 10_000 else wanted, "short").where(F.col("suffix").isNull() | T.module_matches(F.col("module"), F.col("suffix")))
+    behind = F.expr(r"regexp_replace(text, concat('(?smU)\\A.*?^(?:theorem|lemma)\\s+\\Q', short, '\\E\\b'), '')")
+    signed = met.select("name", "module", behind.alias("behind")).where(F.col("behind").contains(":=")).select("name", "module", F.substring_index("behind", ":=", 1).alias("raw_sig"))
+    hits = signed.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("module", "raw_sig")).alias("x"))
+    one = F.col("n") == 1
+    return wanted.select("name").join(hits, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("hits"), F.when(one, F.col("x.module")).alias("module"), F.when(one, F.col("x.raw_sig")).alias("raw_sig"))
+
+
 def declaration_text(decls: DataFrame) -> DataFrame:
     """(module, name, text)."""
     return decls.select("module", "name", F.concat_ws(" ", "name", "raw_doc", "raw_sig").alias("text"))

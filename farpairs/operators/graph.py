@@ -84,7 +84,7 @@ def without_hubs(modules: DataFrame, imports: DataFrame, fraction: float) -> tup
 
 
 def hub_report(modules: DataFrame, imports: DataFrame, left: str, right: str, fractions: tuple[float, ...] = (0.0, 0.01, 0.05)) -> DataFrame:
-    """(fraction, hubs_removed, modules_left, hops) of a named pair for each fraction."""
+    """(fraction, hubs_removed, modules_left, hops) of a named pair for each fraction."""
     n = modules.select("module").distinct().count()
     out = None
     for f in fractions:
@@ -103,9 +103,35 @@ def bucketed(pairs: DataFrame, hops: str = "hops") -> DataFrame:
     return pairs.withColumn("bucket", F.explode(F.array_compact(F.array(F.when(h >= 4, "ge4"), F.when(h >= 8, "ge8"), F.when(h.isNull(), "no_path")))))
 
 
-def coverage(decls: DataFrame, sources: DataFrame, modules: DataFrame, imports: DataFrame, parsed: str | None = None) -> DataFrame:
-    """A5: (corpus, files, declarations, modules, internal_edges)."""
+def coverage(views: DataFrame, sources: DataFrame, imports: DataFrame, packages: list[str]) -> DataFrame:
+    """A5: (corpus, files, declarations, parsed, modules, internal_edges) of each corpus in ``sources``.
+
+    ``views`` has a corpus and a parsed flag for each declaration. The last two are null
+    where the corpus is not one package; an edge is internal if both ends are of one corpus.
+    """
     files = sources.groupBy("corpus").agg(F.count("*").alias("files"))
-    found = decls.groupBy("corpus").agg(F.count("*").alias("declarations"))
-    graph = internal(modules, imports).agg(F.count("*").alias("internal_edges")).crossJoin(modules.select("module").distinct().agg(F.count("*").alias("modules")))
-    return files.join(found, "corpus", "full").crossJoin(graph).select("corpus", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("declarations", F.lit(0)).alias("declarations"), "modules", "internal_edges")
+    found = views.groupBy("corpus").agg(F.count("*").alias("declarations"), F.count_if("parsed").alias("parsed"))
+    modules = sources.where(F.col("corpus").isin(packages)).select("corpus", "module").distinct()
+    inside = imports.join(modules.toDF("corpus", "src"), "src").join(modules.toDF("corpus", "dst"), ["corpus", "dst"])
+    nodes, edges = modules.groupBy("corpus").agg(F.count("*").alias("modules")), inside.groupBy("corpus").agg(F.count("*").alias("internal_edges"))
+    graph = nodes.join(edges, "corpus", "left").withColumn("internal_edges", F.coalesce("internal_edges", F.lit(0)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return files.join(found, "corpus", "left").join(graph, "corpus", "left").select("corpus", "files", zero("declarations"), zero("parsed"), "modules", "internal_edges")
+
+
+def top_in_degrees(modules: DataFrame, imports: DataFrame, k: int) -> DataFrame:
+    """(module, in_degree) of the ``k`` most imported modules, names breaking ties."""
+    return in_degrees(modules, imports).where("in_degree > 0").orderBy(F.desc("in_degree"), "module").limit(k)
+
+
+def pair_distances(graphs: dict[str, tuple[DataFrame, DataFrame]], left: str, right: str) -> DataFrame:
+    """(graph, hops) of a named pair under several graphs (modules, imports), such as naive and corrected scans.
+
+    Null without a path, and where one of the two is no module of the graph.
+    """
+    out = None
+    for name, (modules, imports) in graphs.items():
+        far = distances(modules, imports, sources=modules.where(F.col("module") == left)).where(F.col("dst") == right)
+        row = far.agg(F.min("hops").alias("hops")).select(F.lit(name).alias("graph"), "hops")
+        out = row if out is None else out.union(row)
+    return out

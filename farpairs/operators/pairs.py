@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farpairs.functions import text as T
+
 
 def last_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """For each key the row with the largest ``order``; aggregated before the exchange."""
@@ -26,6 +28,17 @@ def class_pairs(views: DataFrame, form: str = "form", blocks: int = 8) -> DataFr
     return a.join(b, ["form", "ba", "bb"]).where("left < right and left_module <> right_module").select("left", "right", "left_module", "right_module")
 
 
+def class_module_pairs(views: DataFrame, form: str = "form") -> DataFrame:
+    """(left_module, right_module, n): how many pairs J7 has between two modules, counted and not made.
+
+    Rows are counted by form and module first, so one row stands for all equal forms of a module.
+    """
+    counted = views.where(F.col(form).isNotNull()).groupBy(F.col(form).alias("form"), "module").agg(F.count("*").alias("n"))
+    a, b = counted.toDF("form", "left_module", "na"), counted.toDF("form", "right_module", "nb")
+    met = a.join(b, "form").where("left_module < right_module")
+    return met.groupBy("left_module", "right_module").agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+
+
 def with_hops(pairs: DataFrame, distances: DataFrame) -> DataFrame:
     """Pairs with the hops between their modules; null without a path."""
     return pairs.join(distances.toDF("left_module", "right_module", "hops"), ["left_module", "right_module"], "left")
@@ -55,18 +68,22 @@ def min_max(pairs: DataFrame, column: str, of: int = 0) -> DataFrame:
 
 
 def resolved(names: DataFrame, decls: DataFrame) -> DataFrame:
-    """(name, hits, module, statement): a short name, or module suffix and short name.
+    """(name, hits, module, full_name, statement): a short name, or module suffix and short name.
 
-    ``module`` and ``statement`` are null unless there is exactly one hit.
+    ``module``, ``full_name`` and ``statement`` are null unless there is exactly one hit.
     """
-    short = F.substring_index("name", ".", -1)
-    suffix = F.when(F.col("name").contains("."), F.expr("left(name, length(name) - length(substring_index(name, '.', -1)) - 1)"))
-    wanted = names.select("name").distinct().select("name", short.alias("short"), suffix.alias("suffix"))
+    wanted = names.select("name").distinct().select("name", F.substring_index("name", ".", -1).alias("short"), T.qualifier(F.col("name")).alias("suffix"))
     found = decls.select(F.col("name").alias("short"), "module", "statement")
-    fits = F.col("suffix").isNull() | (F.col("module") == F.col("suffix")) | F.col("module").endswith(F.concat(F.lit("."), F.col("suffix")))
-    hits = wanted.join(found, "short").where(fits).groupBy("name").agg(F.count("*").alias("n"), F.min("module").alias("m"), F.min("statement").alias("s"))
-    one = F.col("n") == 1
-    return wanted.select("name").join(hits, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("hits"), F.when(one, F.col("m")).alias("module"), F.when(one, F.col("s")).alias("statement"))
+    fits = F.col("suffix").isNull() | T.module_matches(F.col("module"), F.col("suffix"))
+    hits = wanted.join(found, "short").where(fits).groupBy("name", "short").agg(F.count("*").alias("n"), F.min(F.struct("module", "statement")).alias("x"))
+    one = lambda c: F.when(F.col("n") == 1, c)
+    return wanted.select("name").join(hits, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("hits"), one(F.col("x.module")).alias("module"), one(F.concat_ws(".", "x.module", "short")).alias("full_name"), one(F.col("x.statement")).alias("statement"))
+
+
+def named_once(resolutions: DataFrame) -> DataFrame:
+    """The same rows; a job that reads one with no hit or several fails."""
+    told = F.raise_error(F.concat(F.col("name"), F.lit(": "), F.col("hits").cast("string"), F.lit(" matches"))).cast("string")
+    return resolutions.withColumn("module", F.when(F.col("hits") == 1, F.col("module")).otherwise(told))
 
 
 def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:

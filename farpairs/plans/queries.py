@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farpairs.functions import text as T
-from farpairs.operators import evaluate, extract, graph, pairs, views
+from farpairs.operators import evaluate, extract, graph, pairs, structural, views
 from farpairs.sources.synthetic import sources
 from farpairs.tables import materialize, table
 
@@ -31,9 +31,10 @@ _BODY = f"""
 forms as (select p_partkey as k, p_size, 'Corpus.S' || (p_partkey % {_N}) as module, 't' || p_partkey as name, p_partkey % 8 as form,
   case p_partkey % 8 when 0 then '(n : Nat) : n + ' || p_size || ' = ' || p_size || ' + n' when 1 then '(m : Nat) : m + ' || p_size || ' = ' || p_size || ' + m'
     when 2 then '(n : ℤ) : IsSquare (-1 : ZMod n.natAbs)' when 3 then '(n : ℤ) : ∃ r : ℤ, r ^ 2 ≡ -1 [ZMOD n]' when 4 then ': ' || p_size || ' = ' || p_size
-    when 5 then '(a : Nat) : a + ' || p_size || ' = a' when 6 then '(a : G) : a * ' || p_size || ' = ' || p_size || ' * a' else '(n : Nat) : ' || p_size || ' ∣ n' end as statement,
-  case p_partkey % 8 when 3 then 'lemma' when 7 then 'def' else 'theorem' end as kind, row_number() over (partition by p_partkey % {_N} order by p_partkey) - 1 as ordinal from part),
-decls as (select * from forms where form <> 4 and k % {_N} in (select s_suppkey from supplier)),
+    when 5 then '(a : Nat) : a + ' || p_size || ' = a' when 6 then case p_partkey % 3 when 0 then '(a : G) : a * ' || p_partkey || ' = ' || p_partkey || ' * a' when 1 then '(a : G) : a * ' || p_size || ' = ' || p_size || ' * a' else '(a : G) : a = a' end else '(n : Nat) : ' || p_size || ' ∣ n' end as statement,
+  case p_partkey % 8 when 3 then 'lemma' when 7 then 'def' else 'theorem' end as kind, cast(sum(case when p_partkey % 8 = 5 and p_partkey // 8 % 6 = 1 then 0 else 1 end) over (partition by p_partkey % {_N} order by p_partkey) as bigint) - 1 as ordinal from part),
+dep as (select *, k // 8 % 6 as d from forms where form = 5 and k % {_N} in (select s_suppkey from supplier)),
+decls as (select * from forms where form <> 4 and not (form = 5 and k // 8 % 6 in (1, 2)) and k % {_N} in (select s_suppkey from supplier)),
 edges as (select 'Corpus.S' || s_suppkey as src, 'Corpus.S' || (s_suppkey // 2) as dst from supplier where s_suppkey % 7 <> 0 union all select 'Corpus.S' || s_suppkey, 'Base.Core' from supplier),
 mods as (select 'Corpus.S' || s_suppkey as module from supplier),
 inside as (select * from edges where dst in (select module from mods)),
@@ -75,16 +76,20 @@ def e7_imports(spark, sf_dir):
     return extract.imports(sources(spark, sf_dir))
 
 
-@query(f"""with {_BODY} select name as old, 't' || (k - 5) as "new", '2026-0' || (1 + p_size % 9) || '-01' as since, statement as old_statement,
-(select statement from forms f where f.k = d.k - 5) as new_statement, 'kept' as class from decls d where form = 5""")
+_FREEZE_SQL = f"""with {_BODY}, r as (select d.*, n.module || '.' || n.name as new_, n.statement as new_statement from dep d left join decls n on d.d in (0, 4) and n.k = d.k - case when d.d = 0 then 5 else 0 end),
+frozen as (select module || '.' || name as old, new_ as "new", '2026-0' || (1 + p_size % 9) || '-01' as since, statement as old_statement, new_statement,
+case when d in (1, 2) then 'alias' when d = 5 then 'no_replacement' when new_ is null then 'unresolved' when d = 4 then 'identical' else 'kept' end as class, d, k from r)"""
+
+
+@query(f"""{_FREEZE_SQL} select old, "new", since, old_statement, new_statement, class from frozen""")
 def e8_freeze(spark, sf_dir):
-    """E8-E11, J9, U2."""
+    """E8-E11, J9, U2; every class occurs."""
     found = sources(spark, sf_dir)
     frozen = evaluate.freeze(extract.deprecations(found), materialize(extract.declarations(found)))
     return frozen.withColumn("since", F.col("since").cast("string"))
 
 
-@query(f"with {_BODY} select 'kept' as class, count(*) as n from decls where form = 5")
+@query(f"{_FREEZE_SQL} select class, count(*) as n from frozen group by class")
 def a10_freeze_counts(spark, sf_dir):
     return evaluate.freeze_counts(e8_freeze(spark, sf_dir))
 
@@ -94,25 +99,29 @@ def a11_freeze_hash(spark, sf_dir):
     return evaluate.freeze_hash(e8_freeze(spark, sf_dir))
 
 
-@query(f"with {_BODY} select module, kind, name, 'add_' || name as explicit, false as is_private from decls where form = 6")
+_PARTNER = "case k % 3 when 0 then 'add_' || name when 1 then 't' || (k - 3) else 't' || greatest(k - 24, 0) end"
+
+
+@query(f"with {_BODY} select module, kind, name, {_PARTNER} as explicit, false as is_private from decls where form = 6")
 def e12_additive(spark, sf_dir):
     """E12, E13."""
     return extract.additive_attributes(sources(spark, sf_dir))
 
 
-@query("select p_partkey, 'add_neg_t' || p_partkey as additive, '(a : AddGroup) : add_one_sub a + ' || p_size || ' = zero_vadd' as signature from part")
+@query("select p_partkey, 'add_neg_t' || p_partkey || '.mul2_zero' as additive, '(a : AddGroup) : add_zeroX_sub a + ' || p_size || ' = zero_vadd' as signature from part")
 def f7_additive_names(spark, sf_dir):
     """F7, F8."""
     part = table(spark, sf_dir, "part")
-    name = F.concat(F.lit("mul_inv_t"), F.col("p_partkey").cast("string"))
+    name = F.concat(F.lit("mul_inv_t"), F.col("p_partkey").cast("string"), F.lit(".mul2_one"))
     signature = F.concat(F.lit("(a : Group) : mul_oneX_div a * "), F.col("p_size").cast("string"), F.lit(" = one_smul"))
-    return part.select("p_partkey", T.additive_name(name).alias("additive"), F.replace(T.additive_signature(signature), F.lit("oneX"), F.lit("one")).alias("signature")).withColumn("signature", F.replace("signature", F.lit("add_zeroX_sub"), F.lit("add_one_sub")))
+    return part.select("p_partkey", T.additive_name(name).alias("additive"), T.additive_signature(signature).alias("signature"))
 
 
-@query("""select p_partkey, case when p_partkey % 2 = 0 then 'x ∃ r : ℤ, r ^ 2 ≡ -1 [ZMOD m] y' end as moved from part""")
+@query("""select p_partkey, case p_partkey % 3 when 0 then 'x ∃ r : ℤ, r ^ 2 ≡ -1 [ZMOD m] y' when 1 then '(h : exists_sq_modEq_neg_one_markovNumber n) : n = n' end as moved from part""")
 def f9_bridge(spark, sf_dir):
-    """the left side with odd spacing on even keys, nothing to move on the others."""
-    s = F.when(F.col("p_partkey") % 2 == 0, F.lit("x IsSquare  (-1 : ZMod\nm.natAbs) y")).otherwise(F.lit("x = y"))
+    """a side with odd spacing, the name of an end, nothing to move."""
+    k = F.col("p_partkey") % 3
+    s = F.when(k == 0, F.lit("x IsSquare  (-1 : ZMod\nm.natAbs) y")).when(k == 1, F.lit("(h : isSquare_neg_one_mod_markovNumber n) : n = n")).otherwise(F.lit("x = a.isSquare_neg_one_mod_markovNumber"))
     return table(spark, sf_dir, "part").select("p_partkey", T.across_bridge(s).alias("moved"))
 
 
@@ -243,10 +252,74 @@ def g6_hub_report(spark, sf_dir):
     return graph.hub_report(*_graph(spark, sf_dir), "Corpus.S9", "Corpus.S11")
 
 
-@query(f"with {_BODY} select 'synthetic' as corpus, (select count(*) from mods) as files, (select count(*) from decls) as declarations, (select count(*) from mods) as modules, (select count(*) from inside) as internal_edges")
+@query(f"""with {_BODY} select 'synthetic' as corpus, (select count(*) from mods) as files, (select count(*) from decls) as declarations, (select count(*) from decls where form <> 7) as parsed,
+(select count(*) from mods) as modules, (select count(*) from inside) as internal_edges union all select 'loose', (select count(*) from mods), 0, 0, null, null""")
 def a5_coverage(spark, sf_dir):
+    """The package, and its text-less files once more as a corpus that is no package."""
+    found = materialize(sources(spark, sf_dir))
+    loose = found.select(F.lit("loose").alias("corpus"), "module", "path", F.lit("").alias("text"))
+    views = structural.statement_views(extract.declarations(found).withColumn("corpus", F.lit("synthetic")))
+    return graph.coverage(views.withColumn("corpus", F.lit("synthetic")), found.union(loose), extract.imports(found), ["synthetic"])
+
+
+@query(f"""with {_BODY}, d as (select module, count(dst) as in_degree from mods left join inside on dst = module group by module)
+select * from d where in_degree > 0 order by in_degree desc, module limit 10""")
+def a6_top_modules(spark, sf_dir):
+    """The modules that most others import."""
+    return graph.top_in_degrees(*_graph(spark, sf_dir), 10)
+
+
+@query(f"""with {_BODY} select 'Corpus.S1.t' || (s_suppkey * 50 + 3) as name, count(k) as hits from supplier left join decls on form = 3 and k = s_suppkey * 50 + 3 and module = 'Corpus.S1' group by s_suppkey
+union all select 't' || (s_suppkey * 40 + 3), count(k) from supplier left join decls on form = 3 and k = s_suppkey * 40 + 3 group by s_suppkey""")
+def e16_headers(spark, sf_dir):
+    """Theorems by header line, with and without their module."""
+    key = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    made = lambda head, by: key.select(F.concat(F.lit(head), (F.col("k") * by + 3).cast("string")).alias("name"))
+    return extract.named_headers(sources(spark, sf_dir), made("Corpus.S1.t", 50).union(made("t", 40))).select("name", "hits")
+
+
+@query(f"""with {_BODY}, a as (select d.*, {_PARTNER} as partner from decls d where form = 6), r as (select a.*, p.name is not null as found, p.statement = a.statement and a.k % 3 = 2 as same from a left join decls p on p.name = a.partner)
+select case when count(*) > 0 then 'measured' else 'absent' end as status, count(*) as attributes, 0 as instances_excluded, 0 as private_excluded, count(*) as denominator, count(*) filter (where found) as resolved,
+count(*) filter (where same) as ranked, count(*) filter (where same) as recovered_1, count(*) filter (where same) as recovered_10, round(count(*) filter (where same) / nullif(count(*), 0), 6) as recall_10, round(count(*) filter (where same) / nullif(count(*) filter (where same), 0), 6) as ranked_recall_10 from r""")
+def a16_additive_controls(spark, sf_dir):
+    """Attributes, their partners, the moved statement's rank."""
+    found = materialize(sources(spark, sf_dir))
+    views = structural.statement_views(extract.declarations(found))
+    attributes = materialize(extract.additive_attributes(found))
+    out = structural.additive_controls(attributes, structural.additive_ranks(attributes, views))
+    return out.select("status", "attributes", "instances_excluded", "private_excluded", "denominator", "resolved", "ranked", "recovered_1", "recovered_10", F.round("recall_10", 6).alias("recall_10"), F.round("ranked_recall_10", 6).alias("ranked_recall_10"))
+
+
+@query()
+def w6_partner_ranks(spark, sf_dir):
+    """Ranks of the frozen pairs' new statements."""
+    found = materialize(sources(spark, sf_dir))
+    decls = materialize(extract.declarations(found))
+    frozen = evaluate.freeze(extract.deprecations(found), decls).where("class = 'kept'")
+    return structural.partner_ranks(structural.statement_views(decls), frozen).withColumn("since", F.col("since").cast("string"))
+
+
+@query()
+def a12_replay(spark, sf_dir):
+    """Recall of the partner ranks in each window, beside a random one's."""
+    found = materialize(sources(spark, sf_dir))
+    decls = materialize(extract.declarations(found))
+    views = structural.statement_views(decls)
+    frozen = evaluate.freeze(extract.deprecations(found), decls).where("class = 'kept'")
+    ranks = materialize(structural.partner_ranks(views, frozen))
+    one = evaluate.random_recall(views.withColumn("of", F.lit("all")), ["of"])
+    return evaluate.recall_at(evaluate.windows(ranks, "2026-01-01"), ["months"]).crossJoin(F.broadcast(one.select("parsed", "random_recall")))
+
+
+@query()
+def j4_structural_pairs(spark, sf_dir):
+    """Structurally alike theorems by distance bucket."""
     found = materialize(sources(spark, sf_dir))
-    return graph.coverage(extract.declarations(found), found, found.select("module"), extract.imports(found))
+    views = structural.statement_views(extract.declarations(found))
+    met = structural.structural_pairs(views, 0.95)
+    ends = met.select(F.explode(F.array("left_module", "right_module")).alias("module")).distinct()
+    hops = graph.distances(found.select("module"), extract.imports(found), sources=ends)
+    return pairs.top_per_bucket(graph.bucketed(pairs.with_hops(met, hops)), 10, structural.ranking_order())
 
 
 _FAR_SQL = f"""with recursive {_BODY}, {_HOPS},
@@ -262,8 +335,10 @@ def far_pairs(spark, sf_dir):
     found = materialize(sources(spark, sf_dir))
     decls = extract.declarations(found)
     rows = decls.select(F.concat_ws(".", "module", "name").alias("full_name"), "module", T.digest(F.col("statement")).alias("form"))
-    hops = graph.distances(found.select("module"), extract.imports(found))
-    bucketed = graph.bucketed(pairs.with_hops(pairs.class_pairs(materialize(rows)), hops))
+    rows = materialize(rows)
+    shared = rows.groupBy("form").agg(F.count_distinct("module").alias("n")).where("n > 1")
+    hops = graph.distances(found.select("module"), extract.imports(found), sources=rows.join(shared, "form", "left_semi").select("module"))
+    bucketed = graph.bucketed(pairs.with_hops(pairs.class_pairs(rows), hops))
     return pairs.top_per_bucket(bucketed, 15, [F.desc("hops"), F.asc("left"), F.asc("right")]).select("bucket", "left", "right", F.coalesce("hops", F.lit(-1)).alias("hops"), "rank")
 
 
@@ -272,20 +347,22 @@ def g4_bucket_sizes(spark, sf_dir):
     """J7, J6, G4 over all pairs."""
     found = materialize(sources(spark, sf_dir))
     rows = extract.declarations(found).select(F.concat_ws(".", "module", "name").alias("full_name"), "module", T.digest(F.col("statement")).alias("form"))
-    hops = graph.distances(found.select("module"), extract.imports(found))
-    return graph.bucketed(pairs.with_hops(pairs.class_pairs(materialize(rows)), hops)).groupBy("bucket").agg(F.count("*").alias("n"))
+    counted = materialize(pairs.class_module_pairs(rows))
+    hops = graph.distances(found.select("module"), extract.imports(found), sources=counted.select(F.col("left_module").alias("module")))
+    return graph.bucketed(pairs.with_hops(counted, hops)).groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 _ONE = "regexp_replace(statement, '\\b[a-z]\\b', 'v', 'g')"
-_LOOK_SQL = f"""with {_BODY}, v as (select module, name, statement, {_ONE} as form from decls), q as (select * from v where module = 'Corpus.S1'), i as (select * from v where module <> 'Corpus.S1'),
-m as (select q.name as query, i.module, i.name, min(case when q.statement = i.statement then 'exact_digest' else 'normal_form' end) as via from q join i on q.statement = i.statement or q.form = i.form group by all)"""
+_LOOK_SQL = f"""with {_BODY}, v as (select k, module, name, statement, {_ONE} as form from decls), q as (select * from v where k % 50 = 0),
+m as (select q.name as query, i.module, i.name, min(case when q.statement = i.statement then 'exact_digest' else 'normal_form' end) as via from q join v i on (q.statement = i.statement or q.form = i.form) and q.name <> i.name group by all)"""
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Declarations whose number is divisible by 50, against all others; each module is a corpus."""
     v = materialize(_decls(spark, sf_dir).select("module", "name", T.digest(F.col("statement")).alias("digest"), F.regexp_replace("statement", r"\b[a-z]\b", "v").alias("form")))
-    own = v.where("module = 'Corpus.S1'").select(F.col("name").alias("query"), "digest", "form")
-    index = v.where("module <> 'Corpus.S1'").withColumn("corpus", F.col("module"))
-    return own, index, pairs.lookup(own, index)
+    own = v.where("cast(substring(name, 2) as long) % 50 = 0").select(F.col("name").alias("query"), "digest", "form")
+    index = v.withColumn("corpus", F.col("module"))
+    return own, index, pairs.lookup(own, index).where("query <> name")
 
 
 @query(f"{_LOOK_SQL} select query, module as corpus, module, name, via from m")
@@ -299,7 +376,7 @@ def j13_gaps(spark, sf_dir):
     return pairs.gaps(own, found).select("query")
 
 
-@query(f"{_LOOK_SQL} select c.module as corpus, (select count(distinct query) from m where m.module = c.module) / (select count(*) from q) as fraction from (select distinct module from i) c")
+@query(f"{_LOOK_SQL} select c.module as corpus, (select count(distinct query) from m where m.module = c.module) / (select count(*) from q) as fraction from (select distinct module from v) c")
 def a15_match_fractions(spark, sf_dir):
     own, index, found = _lookup(spark, sf_dir)
     return pairs.match_fractions(own, found, index.select("corpus").distinct())
@@ -355,14 +432,14 @@ def r1_random_control(spark, sf_dir):
 
 
 @query("""with f as (select p_type, p_size > 25 as flag, row_number() over (partition by p_type order by p_partkey) - 1 as at_, count(*) over (partition by p_type) as n from part),
-s as (select p_type, n, draw, unnest(range(n)) as slot from (select distinct p_type, n from f), range(200) d(draw)),
+s as (select p_type, n, draw, unnest(range(n)) as slot from (select distinct p_type, n from f), range(1000) d(draw)),
 m as (select s.p_type, draw, avg(cast(flag as int)) as m from s join f on f.p_type = s.p_type and f.at_ = cast('0x' || substr(md5('b|' || s.p_type || '|' || draw || '|' || slot), 1, 12) as bigint) % s.n group by all),
-l as (select p_type, list_sort(list(m)) as v from m group by p_type) select p_type, round(v[6], 6) as low, round(v[101], 6) as mid, round(v[196], 6) as high from l""")
+l as (select p_type, list_sort(list(m)) as v from m group by p_type) select p_type, round(v[26], 6) as low, round(v[501], 6) as mid, round(v[976], 6) as high from l""")
 def r2_bootstrap(spark, sf_dir):
     """R2, R3."""
     at = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey")) - 1
     flags = materialize(table(spark, sf_dir, "part").select("p_type", at.cast("long").alias("at"), (F.col("p_size") > 25).alias("flag")))
-    out = evaluate.bootstrap(flags, "p_type", 200)
+    out = evaluate.bootstrap(flags, "p_type")
     return out.select("p_type", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
 
 

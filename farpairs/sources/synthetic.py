@@ -12,20 +12,26 @@ from pyspark.sql import functions as F
 
 from farpairs.tables import table
 
+
 def _statement():
     key = F.col("p_partkey")
     size = F.col("p_size").cast("string")
     of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     name = of("t", key.cast("string"))
     head = F.concat(F.lit("theorem "), name)
+    kind = F.floor(key / 8) % 6
+    replaced = F.when(kind.isin(1, 5), "").otherwise(of(F.when(kind == 4, name).when(kind == 3, of("gone", key.cast("string"))).otherwise(of("t", (key - 5).cast("string"))), " "))
+    opened = F.when(kind == 1, of("alias ", name)).when(kind == 2, of("private ", head)).otherwise(head)
+    partner = F.when(key % 3 == 0, of("add_", name)).otherwise(of("t", F.greatest(key - F.when(key % 3 == 1, 3).otherwise(24), F.lit(0)).cast("string")))
+    third = F.when(key % 3 == 0, key.cast("string")).otherwise(size)
     forms = [
         of(head, " (n : Nat) : n + ", size, " = ", size, " + n := by simp\n"),
         of(head, " (m : Nat) : m + ", size, " = ", size, " + m := by simp\n"),
         of("/-- the square form -/\n", head, " (n : ℤ) : IsSquare (-1 : ZMod n.natAbs) := by simp\n"),
         of("lemma ", name, " (n : ℤ) : ∃ r : ℤ, r ^ 2 ≡ -1 [ZMOD n] := by simp\n"),
         of("private ", head, " : ", size, " = ", size, " := rfl\n"),
-        of("@[deprecated t", (key - 5).cast("string"), ' (since := "2026-0', (1 + F.col("p_size") % 9).cast("string"), '-01")]\n', head, "  (a : Nat) : a + ", size, " = a := by simp\n"),
-        of("@[to_additive add_", name, "]\n", head, " (a : G) : a * ", size, " = ", size, " * a := by simp\n"),
+        of("@[deprecated ", replaced, '(since := "2026-0', (1 + F.col("p_size") % 9).cast("string"), '-01")]\n', opened, "  (a : Nat) : a + ", size, " = a := by simp\n"),
+        of("@[to_additive ", partner, "]\n", head, " (a : G) : ", F.when(key % 3 == 2, "a = a").otherwise(of("a * ", third, " = ", third, " * a")), " := by simp\n"),
         of("def ", name, " (n : Nat) : ", size, " ∣ n := by simp -- open\n"),
     ]
     out = F.lit(None).cast("string")
@@ -42,7 +48,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     to = F.concat(F.lit("import Corpus.S"), F.floor(key / 2).cast("string"), F.lit("\n"))
     imports = F.when(key % 7 == 0, F.lit("")).when(key % 3 == 0, F.concat(F.lit("public "), to)).otherwise(to)
-    hidden = F.when(key % 5 == 0, F.lit("/- kept for later\nimport Corpus.S1\n-/\n")).otherwise(F.lit(""))
+    hidden = F.when(key % 5 == 0, F.lit("/- kept for later\nimport Corpus.S1\n--/\n")).otherwise(F.lit(""))
     text = F.concat(hidden, imports, F.lit("import Base.Core\n\n"), F.coalesce("body", F.lit("")))
     name = F.concat(F.lit("Corpus.S"), key.cast("string"))
     return suppliers.join(bodies, key % n == F.col("at"), "left").select(F.lit("synthetic").alias("corpus"), name.alias("module"), F.concat(F.lit("S"), key.cast("string"), F.lit(".lean")).alias("path"), text.alias("text"))
