@@ -23,7 +23,7 @@ def distances(modules: DataFrame, imports: DataFrame, sources: DataFrame | None
     The frontier grows by one hop a round; each round is a written table. ``sources``
     limits the starting modules, ``most`` the hops.
     """
-    edges = internal(modules, imports)
+    edges = materialize(internal(modules, imports))
     both = materialize(edges.union(edges.select("dst", "src")).where("src <> dst").distinct().toDF("at", "dst"))
     start = modules.select("module").distinct() if sources is None else sources.select("module").distinct()
     frontier = materialize(start.select(F.col("module").alias("src"), F.col("module").alias("dst"), F.lit(0).alias("hops")))
@@ -45,7 +45,7 @@ def distances(modules: DataFrame, imports: DataFrame, sources: DataFrame | None
 
 def components(modules: DataFrame, imports: DataFrame) -> DataFrame:
     """(module, component): the least module name reachable, by labels and pointer jumping."""
-    edges = internal(modules, imports).where("src <> dst")
+    edges = materialize(internal(modules, imports).where("src <> dst"))
     both = materialize(edges.union(edges.select("dst", "src")).distinct().toDF("at", "to"))
     labels = materialize(modules.select("module").distinct().withColumn("component", F.col("module")))
     while True:

@@ -44,6 +44,11 @@ def with_hops(pairs: DataFrame, distances: DataFrame) -> DataFrame:
     return pairs.join(distances.toDF("left_module", "right_module", "hops"), ["left_module", "right_module"], "left")
 
 
+def precision_order() -> list:
+    """Cosine descending, then the two names in order."""
+    return [F.desc("cosine"), F.least("left", "right"), F.greatest("left", "right")]
+
+
 def top_per_bucket(pairs: DataFrame, k: int, order: list) -> DataFrame:
     """The first ``k`` of each bucket, with their rank.
 

@@ -174,6 +174,26 @@ def j1_text_pairs(spark, sf_dir):
     return found.select("left", "right", F.round("score", 6).alias("score"))
 
 
+@query(f"""with {_WEIGHTS_SQL}, p as (select a.doc as l, b.doc as r, round(sum(a.w * b.w), 6) as score from wts a join wts b on a.term = b.term and a.doc < b.doc
+join documents x on x.doc_id = a.doc join documents y on y.doc_id = b.doc where x.source <> y.source group by a.doc, b.doc having sum(a.w * b.w) > 0.25)
+select l as "left", r as "right", score from p order by score desc, l desc, r desc limit 15""")
+def w1_text_ranking(spark, sf_dir):
+    """The first of the text pairs; sources have no graph, so no pair has a path."""
+    return j1_text_pairs(spark, sf_dir).withColumn("hops", F.lit(None).cast("int")).orderBy(*views.text_order()).limit(15).drop("hops")
+
+
+@query(f"""with recursive {_BODY}, naive as (select 'Corpus.S' || s_suppkey as src, 'Corpus.S' || (s_suppkey // 2) as dst from supplier where s_suppkey % 7 <> 0 and s_suppkey % 3 <> 0
+union all select 'Corpus.S' || s_suppkey, 'Corpus.S1' from supplier where s_suppkey % 5 = 0),
+nin as (select * from naive where dst in (select module from mods)), e as (select 'naive' as graph, src, dst from nin union select 'naive', dst, src from nin union select 'corrected', src, dst from sides),
+w(graph, dst, hops) as (select g, module, 0 from mods, (values ('naive'), ('corrected')) v(g) where module = 'Corpus.S9' union select w.graph, e.dst, w.hops + 1 from w join e on e.graph = w.graph and e.src = w.dst where w.hops < 20)
+select g as graph, cast(min(hops) as int) as hops from (values ('naive'), ('corrected')) v(g) left join w on w.graph = g and w.dst = 'Corpus.S6' group by g""")
+def g7_pair_distances(spark, sf_dir):
+    """A pair of modules under the naive and the corrected scan."""
+    found = materialize(sources(spark, sf_dir))
+    modules = found.select("module")
+    return graph.pair_distances({"naive": (modules, extract.imports_naive(found, "Corpus")), "corrected": (modules, extract.imports(found))}, "Corpus.S9", "Corpus.S6")
+
+
 _DEPS_SQL = "deps as (select distinct l_suppkey as entry, 'P.c' || l_partkey as constant from lineitem where l_partkey % 10 <> 0)"
 _PAIRS_SQL = f"""{_DEPS_SQL}, idf as (select constant, ln((select count(distinct entry) from deps) / count(*)) as idf from deps group by constant),
 rows_ as (select entry, constant, idf from deps join idf using (constant) where idf > 0), tot as (select entry, sum(idf) as s from rows_ group by entry),

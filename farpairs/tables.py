@@ -14,10 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` (shared by all executors) and read it back."""
+    """Write ``df`` below ``spark.checkpoint.dir`` (shared by all executors) and read it back.
+
+    Only a local session without that setting gets a temporary folder.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="farpairs-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
