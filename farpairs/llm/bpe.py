@@ -1,17 +1,26 @@
 """3. Byte-level BPE encoding and decoding.
 
-Texts are split by the tokenizer's pattern. Each block of texts keeps its distinct
-words once, with a code for every occurrence; no text is shuffled. Spark's
-higher-order functions then encode each distinct word: its bytes become an array of
-one-byte ids, and a fold merges the leftmost adjacent pair of least rank until no
-pair has a rank. Ranks come from a literal map in the plan, a bounded table. Spark
-searches a map literal in order, so it is laid out by hash: words in buckets, and
-pairs of ids in two arrays where each pair has one of two places. The place of the
-least rank is found by a transform, as ``array_position`` takes ten times as long
-here. Decoding looks up each id's bytes in a literal array and concatenates them.
-
-A match of over ``LONG`` bytes would make the fold quadratic, so such a word (a
-text without spaces) is encoded by the tiktoken library with the same ranks.
+1. Texts are split by the tokenizer's pattern. Each block of texts keeps its distinct
+   words once and writes a code for every occurrence to a file in the shared folder;
+   no text is shuffled. A word that is a token itself gets its rank there.
+2. The other distinct words of all blocks meet by word, one row for each block that
+   holds it, and the first row's word is encoded: its bytes become an array of one-byte
+   ids, and a fold of Spark's higher-order functions merges the leftmost adjacent pair
+   of least rank until no pair has a rank. So a word is folded once, however many blocks
+   hold it. Ranks come from a literal map in the plan, a bounded table. Spark searches a
+   map literal in order, so it is laid out by hash: pairs of ids in two arrays where each
+   pair has one of two places. The place of the least rank is found by a transform, as
+   ``array_position`` takes ten times as long here.
+3. The ids go back to their blocks, packed, and each block's texts are put together.
+   Decoding concatenates the binary pieces of the ids.
+
+A block is named by its task, its place and its content. A task that runs again over the
+same rows writes the same block; one that gets its rows in another order (an input that
+is no table) makes other blocks, and the job fails instead of mixing the two.
+
+A fold is quadratic in the bytes of a word, so a word of over ``LONG`` bytes (a text
+without spaces) is folded in rounds, each of which merges all places of the least rank
+at once; where that could differ from one merge at a time, only the leftmost is merged.
 
 Defined results: a null or empty text has no ids; every text decodes to its own
 bytes; repeated rows are encoded alike; an empty table gives an empty result. Long
@@ -24,22 +33,29 @@ import base64
 import copy
 import hashlib
 import json
-import zlib
+import struct
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from farpairs.llm.common import partitions, shared_dir
+from farpairs.llm.files import read_range, write_bytes
+from farpairs.llm.pieces import coded_pieces, listed, nested, ragged
 from farpairs.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Hash buckets of the literal rank map.
-BUCKETS = 65_536
-#: Bytes of text in a block, and of the longest word that the fold takes.
-BLOCK, LONG = 24_000_000, 2_000
+#: Bytes of text in a block; 100 rows that are longer are a block of their own.
+BLOCK = 32_000_000
+#: Bytes of the longest word that is folded one merge at a time.
+LONG = 200
 _NONE = 2**31 - 1
 
 
@@ -48,12 +64,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array(bucket) of array(struct(p binary, r int)); a foldable expression, so one literal."""
-    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        buckets[zlib.crc32(piece) % BUCKETS].append({"p": base64.b64encode(piece).decode(), "r": rank})
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<struct<p:binary,r:int>>>")
+@cache
+def cached_ranks(path: str) -> dict[bytes, int]:
+    """The worker's own copy, kept for its next tasks."""
+    return load_ranks(path)
+
+
+@cache
+def cached_texts(path: str) -> tuple[pa.Array, pa.Array]:
+    """Of each id from 0: its decimal digits with a space, and its bytes."""
+    pieces = {rank: piece for piece, rank in cached_ranks(path).items()}
+    n = max(pieces, default=-1) + 1
+    return pa.array([b"%d " % i for i in range(n)], pa.large_binary()), pa.array([pieces.get(i) for i in range(n)], pa.large_binary())
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -69,12 +91,6 @@ def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def rank_of(table_: Column, piece: Column) -> Column:
-    """The piece's rank, else a number above all ranks."""
-    found = _let(F.struct(piece.alias("p"), F.get(table_, (F.crc32(piece) % BUCKETS).cast("int")).alias("e")), lambda x: F.filter(x["e"], lambda e: e["p"] == x["p"]))
-    return F.coalesce(F.get(found, F.lit(0))["r"], F.lit(_NONE))
-
-
 def pair_slots(pairs: dict[int, int]) -> tuple[list[int], list[int], int, int]:
     """(keys, ranks, n, m): ``pairs`` placed so that key k lies at k % n or at n + k % m."""
     n = _prime(2 * len(pairs) + 3)
@@ -104,10 +120,9 @@ def _prime(n: int) -> int:
 
 
 class Merges:
-    """The literals of a rank map: whole words by bytes, and pairs of neighbours by ids."""
+    """The literals of a rank map, as pairs of neighbours by ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.words = rank_literal(ranks)
         self.base = max(ranks.values(), default=0) + 1
         pairs = {}
         for piece, rank in ranks.items():
@@ -122,7 +137,7 @@ class Merges:
 
     def bound(self, then) -> Column:
         """``then`` of these literals, named once, so that the plan holds one copy of each."""
-        names = ["words", "keys", "ranks", "bytes"]
+        names = ["keys", "ranks", "bytes"]
 
         def named(x: Column) -> Column:
             own = copy.copy(self)
@@ -144,7 +159,7 @@ class Merges:
 
 
 def encode_word(word: Column, merges: Merges) -> Column:
-    """array<int>: ids of one binary word, by folding ranked merges over its bytes.
+    """array<int>: ids of one binary word that is no token itself, by folding ranked merges over its bytes.
 
     The state holds ids ``t`` after a first -1, and ``r``, the rank of each id with the next.
     """
@@ -167,13 +182,32 @@ def encode_word(word: Column, merges: Merges) -> Column:
 
         return _let(F.array_min(r), least)
 
+    def pairs(t: Column) -> Column:
+        return F.transform(t, lambda x, i: merges.of_pair(x, F.get(t, i + 1)))
+
+    def round_(state: Column, _: Column) -> Column:
+        t, r, m = state["t"], state["r"], state["m"]
+        # of overlapping places the first, third, ... are merged
+        marks = F.split(F.regexp_replace(F.array_join(F.transform(r, lambda x: F.when(x == m, "1").otherwise("0")), ""), "11", "10"), "")
+
+        def merged(s: Column) -> Column:
+            apart = F.transform(t, lambda x, i: F.when(F.get(s, i - 1) == "1", F.lit(None)).when(F.get(s, i) == "1", m).otherwise(x))
+            # a merge on the way must not make a pair of lesser rank that a single merge would take next
+            ahead = F.exists(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (F.get(s, i) == "1") & (merges.of_pair(m, F.get(t, i + 2)) < m))
+            return _let(F.filter(apart, lambda x: x.isNotNull()), lambda u: _let(F.struct(u.alias("t"), pairs(u).alias("r")), lambda v: F.when(~ahead & (F.array_min(v["r"]) > m), v).otherwise(single())))
+
+        def single() -> Column:
+            stepped = merge(F.struct(t.alias("t"), r.alias("r")), F.lit(0))
+            return F.struct(stepped["t"].alias("t"), stepped["r"].alias("r"))
+
+        done = lambda v: F.struct(v["t"].alias("t"), v["r"].alias("r"), F.array_min(v["r"]).alias("m"))
+        return F.when(m == _NONE, state).otherwise(_let(_let(marks, merged), done))
+
     def fold(t: Column) -> Column:
-        start = F.struct(t.alias("t"), F.transform(t, lambda x, i: merges.of_pair(x, F.get(t, i + 1))).alias("r"))
-        return F.aggregate(F.slice(t, 3, F.size(t)), start, merge)["t"]
+        return _let(F.struct(t.alias("t"), pairs(t).alias("r")), lambda start: F.when(F.size(t) <= LONG, F.aggregate(F.slice(t, 3, F.size(t)), start, merge)["t"]).otherwise(F.aggregate(F.slice(t, 3, F.size(t)), F.struct(start["t"].alias("t"), start["r"].alias("r"), F.array_min(start["r"]).alias("m")), round_)["t"]))
 
     folded = _let(_let(ids, fold), lambda t: F.slice(t, 2, F.size(t)))
-    whole = rank_of(merges.words, word)
-    return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(_let(whole, lambda w: F.when(w < _NONE, F.array(w)).otherwise(folded)))
+    return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(folded)
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
@@ -181,6 +215,94 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
     return F.aggregate(ids, F.lit(b"").cast("binary"), lambda acc, i: F.concat(acc, F.get(pieces, i)))
 
 
+class Block:
+    """The texts of one block as codes of pieces, and its distinct pieces and words.
+
+    A space or line feed between two characters that are no white space is a place where
+    the pattern always begins a new match, so texts are cut there (a line feed goes to what
+    follows, a space too) and all distinct pieces are split in one go. Texts with other
+    white space (double spaces, say), and all texts under another pattern, are split whole;
+    each of their words is a piece.
+    """
+
+    def __init__(self, texts: pa.ChunkedArray, find, cut: bool):
+        texts = texts.combine_chunks()
+        lengths, codes, pieces = coded_pieces(texts, " \n")
+        pieces = listed(pieces)
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        bare = [p[1:] if p[:1] == "\n" else p for p in pieces]
+        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in bare), bool, len(bare))
+        whole = np.logical_or.reduceat(odd[codes], first) if len(first) else np.zeros(0, bool)
+        if not cut:
+            whole[:] = True
+        # each match that begins with a space or line feed begins a piece
+        words = find("".join(p if p[:1] == "\n" else " " + p for p, o in zip(pieces, odd.tolist()) if not o))
+        starts = np.flatnonzero(np.fromiter((w[0] in " \n" for w in words), bool, len(words)))
+        sizes = np.diff(np.append(starts, len(words)))
+        of_piece = np.cumsum(~odd) - 1
+        own = np.where(odd, 0, of_piece)[codes].astype(np.int32)
+        # a text's first piece has no space before it; whole texts are lists of words
+        alone: dict[str, int] = {}
+        more: list[list[str]] = []
+
+        def added(key: str, words: list[str]) -> int:
+            if key not in alone:
+                alone[key] = len(sizes) + len(more)
+                more.append(words)
+            return alone[key]
+
+        whole_codes: dict[int, np.ndarray] = {}
+        for k in np.flatnonzero(whole).tolist():
+            whole_codes[k] = np.array([added("=" + w, [w]) for w in find(texts[k].as_py() or "")], np.int32)
+        for k in np.flatnonzero(~whole).tolist():
+            piece = pieces[codes[first[k]]]
+            own[first[k]] = added("^" + piece, find(piece))
+        if whole_codes:
+            split = [whole_codes.get(k, c) for k, c in enumerate(np.split(own, first[1:]))]
+            own, lengths = np.concatenate(split), np.fromiter(map(len, split), np.int64, len(split))
+        for w in more:
+            words += w
+        del codes, pieces, bare
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        self.lengths, self.codes = lengths.astype(np.int64), own
+        self.sizes = np.concatenate([sizes, [len(w) for w in more]]).astype(np.int32)
+        self.words, self.distinct = coded.indices, coded.dictionary
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """As little-endian i32, all first bytes before all second ones and so on, which packs better."""
+    return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _write_block(block: Block, ids: pa.Array, whole: np.ndarray, uri: str) -> None:
+    """Five packed lists, each after its length: the ids with nulls, then ints; codes by falling frequency."""
+    n = np.bincount(block.codes, minlength=len(block.sizes))
+    order = np.argsort(-n, kind="stable")
+    code = np.empty_like(order)
+    code[order] = np.arange(len(order))
+    lists = ragged(block.sizes, block.words).take(pa.array(order))
+    known = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, ids.fill_null(0).to_numpy())
+    parts = [known.astype("<i8").tobytes() + ids.is_null().to_numpy(zero_copy_only=False).tobytes(), *map(_planes, (block.lengths, code[block.codes], np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), whole))]
+    pack = zstandard.ZstdCompressor(level=3)
+    packed_ = [pack.compress(x) for x in parts]
+    write_bytes(uri, [b"".join([struct.pack("<Q", len(x)), x]) for x in packed_])
+
+
+def _read_block(uri: str) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, pieces in each text, code of each piece, words in each piece, those words, rank of each word or -1)."""
+    body, at, parts = read_range(uri), 0, []
+    unpack = zstandard.ZstdDecompressor()
+    while at < len(body):
+        (n,) = struct.unpack_from("<Q", body, at)
+        parts.append(unpack.decompress(body[at + 8 : at + 8 + n]))
+        at += 8 + n
+    n = len(parts[0]) // 9
+    ids = pa.array(np.frombuffer(parts[0], "<i8", n), pa.int64(), mask=np.frombuffer(parts[0], bool, n, 8 * n))
+    return ids, *map(_from_planes, parts[1:])
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -193,80 +315,189 @@ def digested(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", ran
     return _assembled(docs, id_col, text, ranks_path, pattern, full=False)
 
 
-def _assembled(docs: DataFrame, id_col: str, text: str, ranks_path: str, pattern: str, full: bool) -> DataFrame:
-    ranks = load_ranks(ranks_path)
-    blocks = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.binary()))])
+def words_of_blocks(docs: DataFrame, id_col: str, text: str, ranks_path: str, pattern: str, path: str) -> DataFrame:
+    """(block, place, word): distinct words of each block that are no token themselves.
+
+    The block's codes lie in a file; one row of place -1 and without a word tells that it is there.
+    """
+    out = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        import xxhash
+
+        find, cut = regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
+        ranks = cached_ranks(ranks_path)
+        held: list[pa.RecordBatch] = []
+        size, made = 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            mark = xxhash.xxh64(f"{TaskContext.get().partitionId()} {made}")
+            for column in rows.columns:
+                for buffer in column.chunk(0).buffers()[1:]:
+                    mark.update(memoryview(buffer or b""))
+            block = Block(rows.column(1), find, cut)
+            name = mark.intdigest() >> 1
+            words = block.distinct.cast(pa.binary())
+            whole = np.fromiter((ranks.get(w, -1) for w in listed(words)), np.int32, len(words))
+            _write_block(block, rows.column(0).combine_chunks(), whole, block_file(path, name))
+            left = words.filter(pa.array(whole < 0))  # places count these only
+            del block, rows, words
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([None], pa.binary())], schema=out)
+            for at in range(0, len(left), 10_000):
+                part = left[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(np.arange(at, at + len(part)), pa.int32()), part], schema=out)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                own = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+                if held and size + own > BLOCK:
+                    yield from flush()
+                    size, made = 0, made + 1
+                held.append(part)
+                size += own
+        if held:
+            yield from flush()
+
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return narrow.mapInArrow(split, "block long, place int, word binary")
 
-        find = regex.compile(pattern).findall
-        ids, lengths, codes, size = [], [], [], 0
-        seen: dict[str, int] = {}
 
-        def block() -> pa.RecordBatch:
-            words = [w.encode("utf-8", "surrogatepass") for w in seen]
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.asarray(lengths, np.int64).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary()))], schema=blocks)
+def block_file(path: str, block: int) -> str:
+    return f"{path}/{block}.block"
+
+
+def folded_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(block, place, ids) of each row; a word is folded once, whatever its blocks. Without a word ids are null."""
+    by = Window.partitionBy("word").orderBy("block")
+    once = words.repartition(partitions(words.sparkSession), "word").withColumn("nth", F.row_number().over(by))
+    merges = Merges(ranks)
+    once = once.withColumn("own", F.when((F.col("nth") == 1) & F.col("word").isNotNull(), merges.bound(lambda own: encode_word(F.col("word"), own))))
+    return once.select("block", "place", F.first("own", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("ids"))
+
+
+def packed(words: DataFrame) -> DataFrame:
+    """(block, payload): the (place, ids) rows of a block that a task holds, as few binaries.
+
+    The row without ids stays as a null payload.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            block, place = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            names, starts = np.unique(block[order], return_index=True)
+            out = []
+            for part in np.split(order, starts[1:]):
+                own = rows.column(2).take(pa.array(part))
+                sizes, ids = np.diff(own.offsets.to_numpy()), own.flatten().to_numpy().astype(np.int32)
+                out.append(pack.compress(np.int32(len(part)).tobytes() + place[part].tobytes() + sizes.tobytes() + ids.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["block", "payload"])
 
         for batch in batches:
-            for i, x in zip(batch.column(0), batch.column(1)):
-                x = x.as_py() or ""
-                if ids and size + len(x) > BLOCK:
-                    yield block()
-                    ids, lengths, codes, size, seen = [], [], [], 0, {}
-                found = find(x)
-                ids.append(i.as_py())
-                lengths.append(len(found))
-                codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in found), np.int32, len(found)))
-                size += len(x)
-        if ids:
-            yield block()
+            alone = batch.filter(pc.less(batch.column(1), 0))
+            if alone.num_rows:
+                yield pa.RecordBatch.from_arrays([alone.column(0), pa.nulls(alone.num_rows, pa.binary())], ["block", "payload"])
+            held.append(batch.filter(pc.greater_equal(batch.column(1), 0)))
+            if sum(b.num_rows for b in held) >= 100_000:
+                yield flush()
+                held = []
+        if sum(b.num_rows for b in held):
+            yield flush()
 
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    dealt = narrow.mapInArrow(split, "doc_ids array<bigint>, lengths binary, codes binary, words array<binary>")
-    merges, pieces = Merges(ranks), piece_literal(ranks)
-    one = lambda w, own: F.when(F.octet_length(w) > LONG, F.lit(None)).otherwise(encode_word(w, own))
-    ids = merges.bound(lambda own: F.transform("words", lambda w: one(w, own)))
-    encoded = dealt.select("doc_ids", "lengths", "codes", ids.alias("ids"), F.transform("words", lambda w: F.when(F.octet_length(w) > LONG, w)).alias("long"))
-    encoded = encoded.select("doc_ids", "lengths", "codes", "ids", F.transform("ids", lambda x: F.when(x.isNotNull(), decode_ids(x, pieces))).alias("bytes"), "long")
+    return words.mapInArrow(run, "block long, payload binary")
+
+
+def _unpacked(payloads: list[bytes], whole: np.ndarray) -> pa.LargeListArray:
+    """The ids of each word: its rank if it is a token itself, else what its place got."""
+    unpack = zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(unpack.decompress(x), np.int32) for x in payloads]
+    token = np.flatnonzero(whole >= 0)
+    left = np.flatnonzero(whole < 0)
+    place = np.concatenate([left[x[1 : x[0] + 1]] for x in parts] + [token])
+    if not np.array_equal(np.sort(place), np.arange(len(whole))):
+        raise ValueError("a block lacks the ids of some words")
+    sizes = np.concatenate([x[x[0] + 1 : 2 * x[0] + 1] for x in parts] + [np.ones(len(token), np.int32)])
+    flat = np.concatenate([x[2 * x[0] + 1 :] for x in parts] + [whole[token]])
+    return ragged(sizes, flat).take(pa.array(np.argsort(place)))
 
+
+def _ends(values: pa.Array) -> np.ndarray:
+    """Ends of the values in their common buffer, after a first 0."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(), dtype=np.int64)])
+
+
+def _joined(of_id: pa.Array, ids: pa.LargeListArray) -> pa.LargeBinaryArray:
+    """For each list, the binaries of its ids, one after the other."""
+    found = of_id.take(ids.flatten())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.array(_ends(found)[ids.offsets.to_numpy()]).buffers()[1], found.buffers()[2]])
+
+
+def _of_documents(piece: pa.LargeBinaryArray, codes: pa.Array, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+    """All documents' bytes in one buffer, and where each ends, after a first 0."""
+    found = piece.take(codes)
+    return memoryview(found.buffers()[2] or b""), _ends(found)[ends].tolist()
+
+
+def _assembled(docs: DataFrame, id_col: str, text: str, ranks_path: str, pattern: str, full: bool) -> DataFrame:
+    spark = docs.sparkSession
+    path = shared_dir(spark)
+    words = words_of_blocks(docs, id_col, text, ranks_path, pattern, path)
+    # a block's payloads come first, then the null that stands for its file
+    dealt = packed(folded_words(words, load_ranks(ranks_path))).repartition(partitions(spark), "block").sortWithinPartitions("block", F.col("payload").isNull())
     out = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     out += [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if full else []
     schema = pa.schema(out)
 
+    def of_block(name: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        doc_ids, lengths, codes, sizes, words, whole = _read_block(block_file(path, name))
+        pieces = nested(sizes, words, _unpacked(held, whole))  # ids of each distinct piece
+        numbers, binaries = cached_texts(ranks_path)
+        decimal_of, bytes_of, n_of = _joined(numbers, pieces), _joined(binaries, pieces), np.diff(pieces.offsets.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        k = 0
+        while k < len(doc_ids):  # some texts at a time
+            stop = max(k + 1, min(k + 500, int(np.searchsorted(ends, ends[k] + 300_000, side="right")) - 1))
+            own, at = pa.array(codes[ends[k] : ends[stop]]), ends[k : stop + 1] - ends[k]
+            decimal, d = _of_documents(decimal_of, own, at)
+            body, b = _of_documents(bytes_of, own, at)
+            n = np.concatenate([[0], np.cumsum(n_of[own.to_numpy()])])[at]
+            texts = range(stop - k)
+            digests = [[hashlib.sha256(decimal[d[i] : max(d[i], d[i + 1] - 1)]).hexdigest() for i in texts], [hashlib.sha256(body[b[i] : b[i + 1]]).hexdigest() for i in texts]]
+            more = []
+            if full:
+                flat = pieces.take(own).flatten().cast(pa.int32())
+                more = [pa.array([flat[n[i] : n[i + 1]] for i in texts], pa.list_(pa.int32())), pa.array([bytes(body[b[i] : b[i + 1]]) for i in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([doc_ids.slice(k, stop - k), pa.array(np.diff(n), pa.int64()), *map(pa.array, digests), *more], schema=schema)
+            k = stop
+        pa.default_memory_pool().release_unused()
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        long_encoder = None
+        held: list[bytes] = []
+        last = None
         for batch in batches:
-            for r in range(batch.num_rows):
-                doc_ids, lengths, codes = batch.column(0)[r].values, np.frombuffer(batch.column(1)[r].as_py(), np.int64), np.frombuffer(batch.column(2)[r].as_py(), np.int32)
-                words, decoded, long = batch.column(3)[r].as_py() or [], batch.column(4)[r].as_py() or [], batch.column(5)[r].values
-                for k in np.flatnonzero(long.is_valid().to_numpy(zero_copy_only=False)) if len(long) else []:
-                    if long_encoder is None:
-                        import tiktoken
-
-                        own = load_ranks(ranks_path)
-                        back = {b: a for a, b in own.items()}
-                        long_encoder = tiktoken.Encoding("long", pat_str=r"[\s\S]+", mergeable_ranks=own, special_tokens={})
-                    words[k] = long_encoder.encode_ordinary(long[int(k)].as_py().decode("utf-8", "surrogatepass"))
-                    decoded[k] = b"".join(back[i] for i in words[k])
-                text_of = [b" ".join(b"%d" % i for i in w) for w in words]
-                count = np.fromiter(map(len, words), np.int64, len(words))
-                n = np.add.reduceat(np.append(count[codes], 0), np.append(0, np.cumsum(lengths)[:-1])) if len(lengths) else lengths
-                n = np.where(lengths > 0, n, 0)
-                at, rows = 0, []
-                for k in lengths.tolist():
-                    own_codes = codes[at : at + k].tolist()
-                    at += k
-                    body = b"".join([decoded[c] for c in own_codes])
-                    row = [hashlib.sha256(b" ".join([text_of[c] for c in own_codes])).hexdigest(), hashlib.sha256(body).hexdigest()]
-                    rows.append(row + ([[i for c in own_codes for i in words[c]], body] if full else []))
-                for part in range(0, len(rows), 500):
-                    cols = list(zip(*rows[part : part + 500]))
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(part, 500), pa.array(n[part : part + 500], pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:]))], schema=schema)
+            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and name != last:
+                    raise ValueError("a block lacks its file")
+                last = name
+                if payload is None:
+                    yield from of_block(name, held)
+                    held = []
+                else:
+                    held.append(payload)
+        if held:
+            raise ValueError("a block lacks its file")
 
     made = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if full else "")
-    return encoded.mapInArrow(assemble, made)
+    return dealt.mapInArrow(assemble, made)
 
 
 def decode(ids: DataFrame, *, ids_col: str = "ids", into: str = "decoded", ranks_path: str) -> DataFrame:

@@ -24,3 +24,10 @@ def read_range(uri: str, start: int = 0, length: int | None = None) -> bytes:
     fs, path = opened(uri)
     with fs.open_input_file(path) as f:
         return f.read_at(f.size() - start if length is None else length, start)
+
+
+def read_tail(uri: str, length: int) -> bytes:
+    """The last ``length`` bytes."""
+    fs, path = opened(uri)
+    with fs.open_input_file(path) as f:
+        return f.read_at(length, f.size() - length)
