@@ -40,7 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farpairs.llm.common import BROADCAST_IDS, fresh, materialize
-from farpairs.llm.words import Hashes, mix, plain_words, shingles
+from farpairs.llm.pieces import stepped
+from farpairs.llm.words import PLAIN, Hashes, hashed_words, mix, plain_words, shingles
 from farpairs.tables import table
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -50,6 +51,8 @@ FLIPS = 3
 RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
 #: Bits of the bitmap that screens windows: fixed, however large the benchmark.
 SCREEN = 24
+#: Bytes of text that a task looks at together.
+STEP = 4_000_000
 
 
 def fingerprints(found: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -162,13 +165,26 @@ def windows(docs: DataFrame, id_col: str, text: str, lengths: list[int], screen:
                 for s, fp, a, b in zip(starts.tolist(), fingerprints(found, starts, starts + m).tolist(), first.tolist(), last.tolist()):
                     yield s, length, fp, found[s : s + m].tobytes(), list(dict.fromkeys(keys[a:b].tolist()))
 
+    def screened(own: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Texts that hold any item shingle, from the hashes of all words of many texts."""
+        hit = np.zeros(len(ends), bool)
+        for size in {min(SHINGLE, length) for length in lengths}:
+            if len(own) >= size:
+                at = np.flatnonzero(held(screen, _slot(shingles(own, size), 0)))
+                of = np.searchsorted(ends, at, side="right")
+                hit[of[at + size <= ends[of]]] = True  # no shingle over the end of a text
+        return np.flatnonzero(hit)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in stepped(batches, STEP):
+            own, counts = hashed_words(batch.column(1), PLAIN, hashes)
+            ends = np.cumsum(counts)
             out = []
-            for i, x in zip(batch.column(0), batch.column(1)):
-                out += [(i.as_py(), *w) for w in of_document(hashes.of(plain_words(x.as_py())))]
-                if len(out) > 20_000 or (out and i is batch.column(0)[-1]):
+            for k in screened(own, ends).tolist():
+                i = batch.column(0)[k].as_py()
+                out += [(i, *w) for w in of_document(own[ends[k] - counts[k] : ends[k]])]
+                if len(out) > 20_000:
                     yield _batch(out)
                     out = []
             if out:

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+from farpairs.llm.pieces import listed
+
+# A-Z to lower case, ASCII white space to a space
+LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 #: Most words that a task remembers hashes of.
-CACHE = 400_000
+CACHE = 200_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lower_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space (0x20, 0x09-0x0D), A-Z in lower case, as UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
 class Hashes(dict):
@@ -38,6 +43,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def hashed_words(texts: pa.Array, table: bytes, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all texts' words in order, words in each text); ``table`` maps bytes, all separators to a space."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]].tobytes().translate(table)
+    mapped = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.array(ends - ends[0]).buffers()[1], pa.py_buffer(body)])
+    parts = pc.split_pattern(mapped, b" ")
+    coded = parts.flatten().dictionary_encode()
+    words = listed(coded.dictionary)
+    codes = coded.indices.to_numpy()
+    kept = codes != words.index(b"") if b"" in words else np.ones(len(codes), bool)
+    total = np.concatenate([[0], np.cumsum(kept)])
+    return hashes.of(words)[codes[kept]], np.diff(total[parts.offsets.to_numpy()])
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` words in order; of the whole if there are fewer; empty if none."""
     if not len(hashes):
@@ -55,9 +75,9 @@ def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 # A-Z to lower case; every other ASCII character but digits and letters to a space
-_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def plain_words(text: str | None) -> list[bytes]:
     """Runs of ASCII letters and digits (lower case) and of all other code points, as UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    return (text or "").encode("utf-8", "surrogatepass").translate(PLAIN).split()
