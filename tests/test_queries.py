@@ -23,6 +23,7 @@ def test_query(spark, sf_dir, name):
     df = registry.queries()[name](spark, sf_dir)
     got = sorted(tuple(plain(v) for v in r) for r in df.select(sorted(df.columns)).collect())
     if name not in registry.oracle_sql():
+        assert got  # tests/test_structural.py holds these operators against brute force
         return
     con = duckdb.connect()
     for t in TABLES:
