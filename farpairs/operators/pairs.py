@@ -14,17 +14,19 @@ def last_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("x")).select(*key, *[F.col(f"x.{c}").alias(c) for c in rest])
 
 
-def class_pairs(views: DataFrame, form: str = "form", blocks: int = 8) -> DataFrame:
+def class_pairs(views: DataFrame, form: str = "form", block_rows: int = 2000) -> DataFrame:
     """(left, right, left_module, right_module): equal forms in different modules.
 
-    Forms of one row are pruned first. A class is cut into blocks by row hash, and
-    block pairs are the join key, so that a hot form's pairs spread over tasks.
+    Forms of one row are pruned first. A large class is cut into blocks of about
+    ``block_rows`` rows by row hash, and block pairs are the join key, so that a hot form's
+    pairs spread over tasks; a class of one block is not copied.
     """
-    shared = views.where(F.col(form).isNotNull()).groupBy(form).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = views.join(shared, form).select(F.col(form).alias("form"), "full_name", "module", F.pmod(F.xxhash64("full_name"), F.lit(blocks)).cast("int").alias("block"))
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = rows.select("form", F.col("full_name").alias("left"), F.col("module").alias("left_module"), F.col("block").alias("ba"), F.explode(other).alias("bb"))
-    b = rows.select("form", F.col("full_name").alias("right"), F.col("module").alias("right_module"), F.col("block").alias("bb"), F.explode(other).alias("ba"))
+    counted = views.where(F.col(form).isNotNull()).groupBy(form).agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block_rows).cast("int")
+    rows = views.join(counted, form).select(F.col(form).alias("form"), "full_name", "module", blocks.alias("blocks"), F.pmod(F.xxhash64("full_name"), blocks).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = rows.select("form", F.col("full_name").alias("left"), F.col("module").alias("left_module"), F.col("block").alias("ba"), other.alias("bb"))
+    b = rows.select("form", F.col("full_name").alias("right"), F.col("module").alias("right_module"), F.col("block").alias("bb"), other.alias("ba"))
     return a.join(b, ["form", "ba", "bb"]).where("left < right and left_module <> right_module").select("left", "right", "left_module", "right_module")
 
 

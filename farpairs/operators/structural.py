@@ -53,9 +53,9 @@ def structural_pairs(views: DataFrame, above: float) -> DataFrame:
     out = both.join(of("left"), "left").join(of("right"), "right")
     same = F.coalesce(F.col("left_form") == F.col("right_form"), F.lit(False))
     found = materialize(out.select("left", "right", "left_module", "right_module", "cosine", "named_cosine", same.alias("same_form"), (F.col("left_digest") == F.col("right_digest")).alias("same_digest")))
-    top = found.agg(F.max("cosine").alias("top"), F.count_if("same_form").alias("same"), F.count("*").alias("n"))
+    top = found.agg(F.max("cosine").alias("top"))
     scaled = F.when(F.col("top") > 0, F.col("cosine") / F.col("top")).otherwise(0.0)
-    return found.crossJoin(F.broadcast(top)).withColumn("primary", (scaled + F.col("same_form").cast("double")) / 2).drop("top", "same", "n")  # one row
+    return found.crossJoin(F.broadcast(top)).withColumn("primary", (scaled + F.col("same_form").cast("double")) / 2).drop("top")  # one row
 
 
 def ranking_order() -> list:

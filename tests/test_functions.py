@@ -57,6 +57,9 @@ def test_graph_and_classes(spark):
     views = spark.createDataFrame([("x1", "a", "F"), ("x2", "e", "F"), ("x3", "f", "F"), ("x4", "a", "F"), ("x5", "a", None)], "full_name string, module string, form string")
     found = graph.bucketed(pairs.with_hops(pairs.class_pairs(views), graph.distances(modules, edges))).select("left", "right", "bucket").collect()
     assert {tuple(r) for r in found} == {("x1", "x2", "ge4"), ("x2", "x4", "ge4"), ("x1", "x3", "no_path"), ("x2", "x3", "no_path"), ("x3", "x4", "no_path")}
+    whole = sorted(map(tuple, pairs.class_pairs(views).collect()))
+    assert sorted(map(tuple, pairs.class_pairs(views, block_rows=1).collect())) == whole and len(whole) == 5
+    assert sorted(map(tuple, pairs.class_module_pairs(views).collect())) == [("a", "e", 2), ("a", "f", 2), ("e", "f", 1)]
 
 
 def test_pairs_of_score_zero(spark):
