@@ -1,12 +1,12 @@
 """8. Sharding by histogram sort.
 
 Rows are ordered by a 120-bit key: 60 bits of the text's md5, then 60 bits of the
-id's. Equal texts are neighbours, so they share a shard unless a group is too large
-for that. To find the splitters, exact bytes are counted below equally spaced key
+id's. Equal texts are neighbours, so they share a shard unless a splitter falls into
+their group: one that is larger than the tolerance is then cut, so that sizes stay even. To find the splitters, exact bytes are counted below equally spaced key
 boundaries over all partitions; each splitter's interval is then refined (4096
 boundaries a round) until the bytes below a boundary are within ``tolerance`` of
 an even share, or the key's bits are used up. Only these few counts reach the
-driver. Rows are then exchanged once, by range, and numbered.
+driver. Rows are then exchanged once, by the splitters found, and numbered.
 
 Law `bytes`: shard sizes are equal up to the tolerance and one row (rows can't be
 split). Defined results: a null text has no bytes, a null id is the text "null";
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpairs.llm.common import materialize, shared_dir
+from farpairs.llm.common import fresh, materialize, partitions, shared_dir
 from farpairs.tables import table
 
 SHARDS = 24
@@ -108,17 +108,35 @@ def shard_of(splits: list[tuple[int, int]]) -> Column:
     return F.size(below).cast("int") if splits else F.lit(0)
 
 
+def exchanged(rows: DataFrame, splits: list[tuple[int, int]], shards: int) -> DataFrame:
+    """``rows`` (k1, k2, ...) with shard and part, exchanged once by the splitters and sorted by key within parts.
+
+    A shard is one or more parts, as many as fill the session's shuffle partitions: even
+    intervals of its keys, which are hashes. Part p goes to partition p.
+    """
+    each = max(1, -(-partitions(rows.sparkSession) // shards))
+    edges = [(0, 0), *splits, (1 << HALF, 0)]
+    at = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("shard") + 1)
+    # a shard within one text is cut by the ids' hashes instead
+    alone = [lo[0] == hi[0] for lo, hi in zip(edges, edges[1:])]
+    low = at([lo[1] if one else lo[0] for one, lo in zip(alone, edges)])
+    span = at([max(1, hi[1] - lo[1] if one else hi[0] - lo[0]) for one, lo, hi in zip(alone, edges, edges[1:])])
+    key = F.when(at([int(one) for one in alone]) == 1, F.col("k2")).otherwise(F.col("k1"))
+    inner = F.least(F.floor((key - low) / span * each), F.lit(each - 1))
+    placed = rows.withColumn("shard", shard_of(splits)).withColumn("part", (F.col("shard") * each + inner).cast("int"))
+    return placed.repartitionById(shards * each, F.col("part")).sortWithinPartitions("part", "k1", "k2")
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot), slots gapless from 0 within each shard.
 
-    The narrow rows are exchanged once by key range; a slot is the row's place in
-    its partition plus the rows of its shard in earlier partitions.
+    The narrow rows are exchanged once by the splitters; a slot is the row's place in its
+    part plus the rows of its shard in earlier parts.
     """
     rows = materialize(sized(docs, id_col, text))
-    placed = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance)))
-    local = F.monotonically_increasing_id()
-    dealt = placed.repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2")
-    dealt = materialize(dealt.select("doc_id", "size", "text_crc32", "shard", F.shiftright(local, 33).alias("part"), local.bitwiseAND((1 << 33) - 1).alias("row")))
+    local = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = exchanged(rows, splitters(rows, shards, tolerance), shards)
+    dealt = materialize(dealt.select("doc_id", "size", "text_crc32", "shard", "part", local.alias("row")))
     starts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     starts = starts.withColumn("before", F.expr("coalesce(sum(n) over (partition by shard order by part rows between unbounded preceding and 1 preceding), 0)"))
     starts = materialize(starts.select("shard", "part", "first", "before"))
@@ -126,14 +144,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> str:
-    """Write whole rows below ``path`` in folders shard=0 … in one exchange; returns the path."""
+    """Write whole rows below ``path`` in folders __shard=0 ... in one exchange; returns the path."""
     path = path or shared_dir(docs.sparkSession)
-    keys = sized(docs, id_col, text)
-    splits = splitters(materialize(keys), shards)
+    splits = splitters(materialize(sized(docs, id_col, text)), shards)
     t = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
-    full = docs.withColumn("k1", _bits(t)).withColumn("k2", _bits(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).cast("binary")))
-    full = full.withColumn("shard", shard_of(splits)).repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2")
-    full.drop("k1", "k2").write.partitionBy("shard").parquet(path)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _bits(t).alias("k1"), _bits(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).cast("binary")).alias("k2"))
+    name = fresh("__shard", docs.columns)
+    exchanged(keyed, splits, shards).select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
     return path
 
 

@@ -151,6 +151,22 @@ def test_bpe(spark, odd, none):
     assert bpe.encode(none, ranks_path=path).count() == 0
 
 
+def test_bpe_of_long_words_and_white_space(spark):
+    """Words of thousands of bytes, all kinds of white space, and blocks of a few texts each."""
+    import tiktoken
+
+    path = public_tokenizers.path(bpe.RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    r = np.random.RandomState(2)
+    letters = np.array(list("etaoinshrdlucmfgypw"))
+    texts = ["a" * 3001, "漢字" * 700, "".join(r.choice(letters, 4000)), "ab" * 999 + "a" * 333, "=" * 777 + "-" * 501, "banana" * 300]
+    texts += ["two  spaces", " lead", "trail ", "a\n\nb", "\n", " ", "tab\tand \x1c odd\u00a0 x", "line one\nline two's\n'll do", "x \n y", "don't\r\nstop 12345 ...!? (ok)", "it 's"]
+    texts += ["".join(r.choice([*" \n\t'sx1.é漢", "the", "ing"], 30)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["id"]: list(x["ids"]) for x in bpe.encode(docs, ranks_path=path).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_neardup(spark, sf_dir, odd, none):
     docs = rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     assert {r[0]: r[1:] for r in rows(neardup.op4_neardup(spark, sf_dir))} == near_brute(docs, 4)
@@ -177,7 +193,6 @@ def test_token_ids(spark, odd, none):
 
     path = public_tokenizers.path(tokenids.TOKENIZER)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     where = shared_dir(spark)
     written = tokenids.write_ids(odd, where, tokenizer=path)
     got = rows(tokenids.read_ids(written, where).orderBy("start"))
@@ -265,6 +280,21 @@ def test_shards(spark, sf_dir, odd, none):
             assert sorted(own["slot"]) == list(range(len(own)))
         sizes = found.groupby("shard")["size"].sum()
         assert sizes.max() <= found["size"].sum() / 24 + 2 * found["size"].max()
+    docs = rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = {r["doc_id"]: r for r in shards.op8_shards(spark, sf_dir).collect()}
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert {i: (r["size"], r["text_crc32"]) for i, r in found.items()} == {i: (len((t or "").encode()) + 8, crc(t)) for i, t in docs}
+    # by brute force: all rows in the order of their keys, cut where a shard's even share ends
+    md5 = lambda x: int(hashlib.md5(x).hexdigest()[:15], 16)
+    order = sorted((md5((t or "").encode()), md5(str(i).encode()), i) for i, t in docs)
+    assert [i for _, _, i in order] == sorted(found, key=lambda i: (found[i]["shard"], found[i]["slot"]))
+    total, below = sum(r["size"] for r in found.values()), 0
+    for k, (_, _, i) in enumerate(order[:-1]):
+        below += found[i]["size"]
+        if found[order[k + 1][2]]["shard"] != found[i]["shard"]:  # a row more or less would be farther off, or within the tolerance
+            aim = total * found[order[k + 1][2]]["shard"] / 24
+            nearest = min(abs(below - aim), abs(below - found[i]["size"] - aim), abs(below + found[order[k + 1][2]]["size"] - aim))
+            assert abs(below - aim) <= max(nearest, shards.TOLERANCE * total / 24) + 1e-6
     assert shards.assign(none).count() == 0
     path = shards.write_shards(odd, 3)
     assert spark.read.parquet(path).count() == odd.count()
@@ -319,3 +349,21 @@ def test_stages_on_odd_rows(spark, odd, none, sf_dir):
         assert stage(spark, odd, sf_dir).columns == odd.columns and stage(spark, none, sf_dir).count() == 0
     kept = sorted(str(r["doc_id"]) for r in neardup.stage(spark, odd, sf_dir).collect())
     assert kept.count("6") == 1 and "7" not in kept and "5" not in kept and "None" in kept
+
+
+def test_encoder_against_the_library():
+    """Pieces of all kinds, word by word and text by text, with a memory that starts anew."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenids.TOKENIZER)
+    library, own = Tokenizer.from_file(path), tokenids.Encoder(path, 2)
+    r = np.random.RandomState(4)
+    parts = ["the", "Tokens", "re", "é", "Éà", "İ", "ß", "ﬁ", "é", "한", "ᄒ", "ᅡ", "漢", "1", "²", "½", "٣", "'s", "'LL", "'", "<", "|", "<|endoftext|>", "%%%", "...", " ", "­", "\t", "\x1c", "\x00", " ", " ", " ", "\n", "  ", "ª", "😀", "​", "x" * 40]
+    texts = ["".join(r.choice(parts, r.randint(1, 25))) for _ in range(3000)] + ["", " ", "\n", None]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in own.texts(pa.array(texts, pa.string()))]
+        for t, x in zip(texts, got):
+            assert x == library.encode(t or "", add_special_tokens=False).ids + [2], repr(t)
+    own.forget()
+    assert [len(x) // 4 for x in own.texts(pa.array(texts[:5], pa.string()))] == [len(x) for x in got[:5]]
