@@ -1,8 +1,10 @@
 """10. WARC archives with revisit resolution.
 
-Payload digests are computed where the pages are; only headers (id, digest, length)
-are shuffled by digest to find each digest's response, the least id. Revisits are
-joined to their response. Pages are then written as WARC 1.1 records, one gzip
+Payload digests are computed where the pages are; headers (id, digest, url) are reduced
+by digest to find each digest's response, the least id. Pages meet the responses of
+payloads that occur more than once: their table is broadcast where Spark finds it small,
+else the pages are exchanged by digest with their payloads, by a join that Spark can
+split. Pages are then written as WARC 1.1 records, one gzip
 member each, with fresh headers: a revisit has no payload but names its response
 (WARC-Refers-To, -Target-URI). Tasks write files under unique names and report
 them; only the files of the reported (successful) attempt are read back, so a lost
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpairs.llm.common import materialize, shared_dir
+from farpairs.llm.common import materialize, partitions, shared_dir
 from farpairs.llm.files import read_range, write_bytes
 from farpairs.tables import table
 
@@ -46,8 +48,8 @@ def record_id(page: int | None, digest: str) -> str:
 def resolved(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Pages with digest, length and, for revisits, the response's id and url.
 
-    Headers alone are shuffled by digest; hot digests are reduced before the exchange
-    and the join back is one that Spark can split.
+    Hot digests are reduced before the exchange of headers, and the join back is one that
+    Spark can split.
     """
     payload = F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8")
     rows = pages.select(
@@ -150,16 +152,18 @@ def read_archives(files: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    # one task per file at most: the rows are only names
-    listed = files.select("file").repartition(F.col("file"))
+    # a stated number of tasks: the rows are only names, and would else meet in one
+    listed = files.select("file").repartition(partitions(files.sparkSession), "file")
     return listed.mapInArrow(run, "record_id string, id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_record string")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_archives(table(spark, sf_dir, "pages"), shared_dir(spark))
-    heads = read_archives(files).drop("payload", "url")
-    # a revisit's record id names its response's record; only headers meet here
-    found = heads.where("record_type = 'response'").groupBy("record_id").agg(F.min("id").alias("refers_to")).withColumnRenamed("record_id", "refers_record")
+    heads = materialize(read_archives(files).drop("payload", "url"))
+    # a revisit's record id names its response's record; only headers of responses that are named meet here
+    named = heads.where("refers_record is not null").select(F.col("refers_record").alias("record_id")).distinct()
+    responses = heads.where("record_type = 'response'").select("record_id", "id").join(named, "record_id", "left_semi")
+    found = responses.groupBy("record_id").agg(F.min("id").alias("refers_to")).withColumnRenamed("record_id", "refers_record")
     return heads.join(found, "refers_record", "left").select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

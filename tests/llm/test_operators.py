@@ -327,6 +327,15 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.where("page_id > 99"), shared_dir(spark))).count() == 0
 
 
+def test_warc_query(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf_dir}/pages.parquet'")
+    want = sorted(map(tuple, con.sql(f"select page_id, payload_bytes, payload_digest, record_type, refers_to from ({warc.OP10_SQL})").fetchall()))
+    assert sorted(rows(warc.op10_warc(spark, sf_dir))) == want
+
+
 def test_pipeline(spark, sf_dir):
     import tiktoken
 
