@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farpairs.llm import bpe, collocations, decontaminate, licenses, neardup, ngrams, quality, ranked, shards, tokenids, urls, warc
+from farpairs.llm import bpe, collocations, decontaminate, extraction, licenses, neardup, ngrams, quality, ranked, shards, tokenids, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,11 @@ def queries() -> dict[str, Query]:
         "op8_shards": shards.op8_shards,
         "op9_urls": urls.op9_urls,
         "op10_warc": warc.op10_warc,
+        "op11_main_text": extraction.op11_main_text,
         "op12_ranked_search": ranked.op12_ranked_search,
         "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.OP7_SQL, "op9_urls": urls.OP9_SQL, "op10_warc": warc.OP10_SQL, "op12_ranked_search": ranked.OP12_SQL, "op13_collocations": collocations.OP13_SQL}
+    return {"op7_quality_rules": quality.OP7_SQL, "op9_urls": urls.OP9_SQL, "op10_warc": warc.OP10_SQL, "op11_main_text": extraction.OP11_SQL, "op12_ranked_search": ranked.OP12_SQL, "op13_collocations": collocations.OP13_SQL}
