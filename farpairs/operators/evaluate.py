@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farpairs.functions import text as T
@@ -103,27 +103,44 @@ def later_linked(pairs: DataFrame, links: DataFrame) -> DataFrame:
 
 def random_control(pairs: DataFrame, by: str, key: str, seed: str, k: int) -> DataFrame:
     """A seeded permutation of each bucket's rows; prefixes nest, windows share it."""
-    from pyspark.sql import Window
-
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col(key).cast("string")).cast("binary"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, key))).where(F.col("rank") <= k)
 
 
 def bootstrap(flags: DataFrame, by: str, draws: int = 1000, seed: str = "b") -> DataFrame:
-    """(by, low, mid, high): percentiles of the mean of resampled flags (by, at, flag).
+    """R2: (by, low, mid, high): percentiles of the mean of resampled flags (by, at, flag).
 
-    ``at`` numbers a group's rows from 0. Picks are hashes of draw and slot, so any
-    engine makes the same ones.
+    ``at`` numbers a group's rows from 0. Picks are hashes of draw and slot, so any engine
+    makes the same ones. A group is one packed array of flags, and a draw folds over its
+    slots: one row a draw, none for a slot.
     """
-    size = flags.groupBy(by).agg(F.count("*").alias("n"))
-    slots = size.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col("draw"), F.col("slot")).cast("binary")), 1, 12), 16, 10).cast("long") % F.col("n")
-    means = slots.withColumn("at", pick).join(flags, [by, "at"]).groupBy(by, "draw").agg(F.avg(F.col("flag").cast("double")).alias("m"))
+    packed = flags.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("flag").cast("int").alias("f")))), lambda x: x["f"]).alias("flags"))
+    each = packed.select(by, "flags", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    n = F.size("flags")
+    slot = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col("draw"), k).cast("binary")), 1, 12), 16, 10).cast("long")
+    hits = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda total, k: total + F.get("flags", (slot(k) % n).cast("int")))
+    means = each.select(by, (hits / n).alias("m"))
     listed = means.groupBy(by).agg(F.array_sort(F.collect_list("m")).alias("v"))
     at = lambda i: F.element_at("v", i + 1)
     return listed.select(by, at(int(0.025 * draws)).alias("low"), at(draws // 2).alias("mid"), at(min(draws - 1, int(0.975 * draws))).alias("high"))
 
 
+#: Rank of an unparsed row (R3): never a hit, whatever k.
+UNPARSED = 10**9
+
+
+def recall_bootstrap(outcomes: DataFrame, by: str, key: str, k: int = 10, draws: int = 1000, seed: str = "b") -> DataFrame:
+    """(by, evaluated, recall, low, mid, high) of recall@k over outcomes (by, key, status, rank).
+
+    Missing rows are not evaluated; unparsed ones are, with a rank that never hits.
+    """
+    rank = F.when(F.col("status") == "unparsed", F.lit(UNPARSED)).otherwise(F.col("rank"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1
+    flags = outcomes.where("status <> 'missing'").select(by, place.cast("long").alias("at"), (rank <= k).alias("flag"))
+    rates = flags.groupBy(by).agg(F.count("*").alias("evaluated"), F.avg(F.col("flag").cast("double")).alias("recall"))
+    return rates.join(bootstrap(flags, by, draws, seed), by)
+
+
 def probe_rollup(attempts: DataFrame, by: list[str]) -> DataFrame:
     """(by, outcome, tactic): closed by the first closing tactic, else timeout, else open."""
     closed = F.col("outcome") == "closed"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farpairs.tables import materialize
@@ -17,30 +17,72 @@ def internal(modules: DataFrame, imports: DataFrame) -> DataFrame:
     return imports.join(names.withColumnRenamed("module", "dst"), "dst", "left_semi").join(names.withColumnRenamed("module", "src"), "src", "left_semi").select("src", "dst")
 
 
-def distances(modules: DataFrame, imports: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """(src, dst, hops) over undirected internal edges; no row means no path.
+def packed(modules: DataFrame, imports: DataFrame, sources: DataFrame | None = None, most: int | None = None, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """G1, G2 with 64 sources to a long: (index, levels).
 
-    The frontier grows by one hop a round; each round is a written table. ``sources``
-    limits the starting modules, ``most`` the hops.
+    Index: (module, word, bit) of each source. Levels: (module, word, hops, bits): the
+    sources of that word which first reach the module after so many hops. A round is
+    ``bit_or`` over the neighbours, so it has modules times sources / 64 rows at most.
+    ``sources`` limits the starting modules, ``most`` the hops; with ``target`` the walk
+    ends in the round that reaches it.
     """
     edges = materialize(internal(modules, imports))
     both = materialize(edges.union(edges.select("dst", "src")).where("src <> dst").distinct().toDF("at", "dst"))
-    start = modules.select("module").distinct() if sources is None else sources.select("module").distinct()
-    frontier = materialize(start.select(F.col("module").alias("src"), F.col("module").alias("dst"), F.lit(0).alias("hops")))
+    start = modules.select("module").distinct()
+    start = start if sources is None else start.join(sources.select("module").distinct(), "module", "left_semi")
+    groups = max(1, -(-start.count() // 256))
+    group = F.pmod(F.xxhash64("module"), F.lit(groups))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("module")) - 1
+    numbered = start.withColumn("g", group).withColumn("p", place)
+    # a group's words are its number and every further step of the number of groups
+    index = materialize(numbered.select("module", (F.col("g") + F.lit(groups) * F.expr("p div 64")).cast("long").alias("word"), (F.col("p") % 64).cast("int").alias("bit")))
+    frontier = materialize(index.select("module", "word", F.lit(0).alias("hops"), F.expr("shiftleft(1L, bit)").alias("bits")).groupBy("module", "word", "hops").agg(F.expr("bit_or(bits)").alias("bits")))
     rounds, hops = [frontier], 0
-    while most is None or hops < most:
+    none = F.lit(0).cast("long")
+    while (most is None or hops < most) and (target is None or rounds[-1].where(F.col("module") == target).isEmpty()):
         hops += 1
+        step = frontier.withColumnRenamed("module", "at").join(both, "at").select(F.col("dst").alias("module"), "word", F.col("bits").alias("reached"), none.alias("known"))
         # undirected: whatever is already known lies in the last two rounds
-        known = rounds[-1] if len(rounds) == 1 else rounds[-1].union(rounds[-2])
-        step = frontier.select("src", F.col("dst").alias("at")).join(both, "at").select("src", "dst").distinct()
-        frontier = materialize(step.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
+        for r in rounds[-2:]:
+            step = step.union(r.select("module", "word", none, "bits"))
+        met = step.groupBy("module", "word").agg(F.expr("bit_or(reached) & ~bit_or(known)").alias("bits"))
+        frontier = materialize(met.where("bits <> 0").select("module", "word", F.lit(hops).alias("hops"), "bits"))
         if frontier.isEmpty():
             break
         rounds.append(frontier)
     out = rounds[0]
     for r in rounds[1:]:
         out = out.union(r)
-    return out
+    return index, out
+
+
+def unpacked(index: DataFrame, levels: DataFrame) -> DataFrame:
+    """(src, dst, hops), a row for each source that reaches a module."""
+    bit = F.explode(F.expr("filter(sequence(0, 63), b -> shiftrightunsigned(bits, b) & 1 = 1)"))
+    each = levels.select("word", bit.alias("bit"), F.col("module").alias("dst"), "hops")
+    return each.join(index.withColumnRenamed("module", "src"), ["word", "bit"]).select("src", "dst", "hops")
+
+
+def hops_between(pairs: DataFrame, index: DataFrame, levels: DataFrame) -> DataFrame:
+    """J6 on packed distances: ``pairs`` (left_module, right_module, ...) with hops; null without a path.
+
+    The left module has to be a source; a module's levels are one array a word.
+    """
+    arrays = levels.groupBy(F.col("module").alias("right_module"), "word").agg(F.collect_list(F.struct("hops", "bits")).alias("levels"))
+    met = pairs.join(index.withColumnRenamed("module", "left_module"), "left_module", "left").join(arrays, ["right_module", "word"], "left")
+    hops = F.get(F.expr("filter(levels, x -> shiftrightunsigned(x.bits, bit) & 1 = 1)"), 0)["hops"]
+    return met.select(*pairs.columns, hops.alias("hops"))
+
+
+def distances(modules: DataFrame, imports: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(src, dst, hops) over undirected internal edges; no row means no path."""
+    return unpacked(*packed(modules, imports, sources, most))
+
+
+def pair_hops(modules: DataFrame, imports: DataFrame, left: str, right: str) -> DataFrame:
+    """One row, hops of a named pair: the walk stops at the round that meets it; null without a path."""
+    _, levels = packed(modules, imports, modules.where(F.col("module") == left), target=right)
+    return levels.where(F.col("module") == right).agg(F.min("hops").alias("hops"))
 
 
 def components(modules: DataFrame, imports: DataFrame) -> DataFrame:
@@ -76,9 +118,15 @@ def summary(modules: DataFrame, imports: DataFrame) -> DataFrame:
 
 def without_hubs(modules: DataFrame, imports: DataFrame, fraction: float) -> tuple[DataFrame, DataFrame]:
     """(modules, imports) less the top ``round(fraction * n)`` by in-degree, then by name."""
-    degree = in_degrees(modules, imports)
+    degree = materialize(in_degrees(modules, imports))
     k = round(fraction * degree.count())
-    hubs = degree.orderBy(F.desc("in_degree"), "module").limit(k).select("module")
+    # degrees with how many modules have more: the one where the k-th lies is cut by name, all above it go
+    more = F.sum("n").over(Window.orderBy(F.desc("in_degree"))) - F.col("n")  # a row for each degree
+    cut = degree.groupBy("in_degree").agg(F.count("*").alias("n")).withColumn("more", more).where(F.col("more") < k)
+    ranked = degree.join(F.broadcast(cut), "in_degree")
+    whole = F.col("more") + F.col("n") <= k
+    edge = ranked.where(~whole).withColumn("p", F.col("more") + F.row_number().over(Window.partitionBy("in_degree").orderBy("module")))
+    hubs = ranked.where(whole).select("module").union(edge.where(F.col("p") <= k).select("module"))
     kept = modules.join(hubs, "module", "left_anti")
     return kept, internal(kept, imports)
 
@@ -90,8 +138,7 @@ def hub_report(modules: DataFrame, imports: DataFrame, left: str, right: str, fr
     for f in fractions:
         kept, edges = without_hubs(modules, imports, f)
         kept = materialize(kept.select("module"))
-        one = kept.where(F.col("module") == left)
-        far = distances(kept, edges, sources=one).where(F.col("dst") == right).agg(F.min("hops").alias("hops"))
+        far = pair_hops(kept, edges, left, right)
         row = kept.agg(F.count("*").alias("modules_left")).crossJoin(far).select(F.lit(f).alias("fraction"), (F.lit(n) - F.col("modules_left")).alias("hubs_removed"), "modules_left", "hops")
         out = row if out is None else out.union(row)
     return out
@@ -131,7 +178,6 @@ def pair_distances(graphs: dict[str, tuple[DataFrame, DataFrame]], left: str, ri
     """
     out = None
     for name, (modules, imports) in graphs.items():
-        far = distances(modules, imports, sources=modules.where(F.col("module") == left)).where(F.col("dst") == right)
-        row = far.agg(F.min("hops").alias("hops")).select(F.lit(name).alias("graph"), "hops")
+        row = pair_hops(modules, imports, left, right).select(F.lit(name).alias("graph"), "hops")
         out = row if out is None else out.union(row)
     return out

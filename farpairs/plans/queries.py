@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farpairs.functions import text as T
-from farpairs.operators import evaluate, extract, graph, pairs, structural, views
+from farpairs.operators import evaluate, extract, graph, pairs, ranking, structural, views
 from farpairs.sources.synthetic import sources
 from farpairs.tables import materialize, table
 
@@ -32,7 +32,8 @@ forms as (select p_partkey as k, p_size, 'Corpus.S' || (p_partkey % {_N}) as mod
   case p_partkey % 8 when 0 then '(n : Nat) : n + ' || p_size || ' = ' || p_size || ' + n' when 1 then '(m : Nat) : m + ' || p_size || ' = ' || p_size || ' + m'
     when 2 then '(n : ℤ) : IsSquare (-1 : ZMod n.natAbs)' when 3 then '(n : ℤ) : ∃ r : ℤ, r ^ 2 ≡ -1 [ZMOD n]' when 4 then ': ' || p_size || ' = ' || p_size
     when 5 then '(a : Nat) : a + ' || p_size || ' = a' when 6 then case p_partkey % 3 when 0 then '(a : G) : a * ' || p_partkey || ' = ' || p_partkey || ' * a' when 1 then '(a : G) : a * ' || p_size || ' = ' || p_size || ' * a' else '(a : G) : a = a' end else '(n : Nat) : ' || p_size || ' ∣ n' end as statement,
-  case p_partkey % 8 when 3 then 'lemma' when 7 then 'def' else 'theorem' end as kind, cast(sum(case when p_partkey % 8 = 5 and p_partkey // 8 % 6 = 1 then 0 else 1 end) over (partition by p_partkey % {_N} order by p_partkey) as bigint) - 1 as ordinal from part),
+  case p_partkey % 8 when 3 then 'lemma' when 7 then 'def' else 'theorem' end as kind,
+  case p_partkey % 8 when 0 then 'c' || p_size when 1 then 'c' || p_size when 2 then 'q' when 3 then 'q' when 5 then 'a' || p_size when 6 then case p_partkey % 3 when 0 then 'm' || p_partkey when 1 then 'm' || p_size else 'm' end end as nf, cast(sum(case when p_partkey % 8 = 5 and p_partkey // 8 % 6 = 1 then 0 else 1 end) over (partition by p_partkey % {_N} order by p_partkey) as bigint) - 1 as ordinal from part),
 dep as (select *, k // 8 % 6 as d from forms where form = 5 and k % {_N} in (select s_suppkey from supplier)),
 decls as (select * from forms where form <> 4 and not (form = 5 and k // 8 % 6 in (1, 2)) and k % {_N} in (select s_suppkey from supplier)),
 edges as (select 'Corpus.S' || s_suppkey as src, 'Corpus.S' || (s_suppkey // 2) as dst from supplier where s_suppkey % 7 <> 0 union all select 'Corpus.S' || s_suppkey, 'Base.Core' from supplier),
@@ -218,7 +219,11 @@ def j2_dependency_pairs(spark, sf_dir):
     return views.jaccard_pairs(_deps(spark, sf_dir)).select("left", "right", F.round("score", 6).alias("score"))
 
 
-@query(f"""with {_PAIRS_SQL}, t as (select *, round(score, 6) as q from scored), o as (select q from t where l = 1 and r = 2),
+#: All pairs of entries, those without a common constant with score 0.
+_ALL_SQL = """ent as (select distinct entry from deps), every as (select a.entry as l, b.entry as r, coalesce(score, 0.0) as score from ent a join ent b on a.entry < b.entry left join scored s on s.l = a.entry and s.r = b.entry)"""
+
+
+@query(f"""with {_PAIRS_SQL}, {_ALL_SQL}, t as (select l, r, round(score, 6) as q from every), o as (select q from t where l = 1 and r = 2),
 n as (select count(distinct entry) as n from deps) select (select count(*) from t, o where t.q > o.q or t.q = o.q and (l > 1 or l = 1 and r > 2)) + 1 as "rank", n * (n - 1) // 2 as "of", (select q from o) as score from n""")
 def w5_pair_rank(spark, sf_dir):
     deps = materialize(_deps(spark, sf_dir))
@@ -331,45 +336,113 @@ def a12_replay(spark, sf_dir):
     return evaluate.recall_at(evaluate.windows(ranks, "2026-01-01"), ["months"]).crossJoin(F.broadcast(one.select("parsed", "random_recall")))
 
 
-@query()
+_ALIKE_SQL = f"""with recursive {_BODY}, {_HOPS},
+th as (select module || '.' || name || '#' || ordinal as id, module, statement, nf, case when form < 2 then 0 else form end as vec from decls where kind <> 'def'),
+p as (select least(a.id, b.id) as "left", greatest(a.id, b.id) as "right", case when a.id < b.id then a.module else b.module end as left_module, case when a.id < b.id then b.module else a.module end as right_module, a.statement = b.statement as same_digest
+  from th a join th b on a.nf = b.nf and a.vec = b.vec and a.id < b.id and a.module <> b.module),"""
+
+
+@query(f"""{_ALIKE_SQL} h as (select p.*, hops from p left join hops on src = left_module and dst = right_module),
+b as (select 'ge4' as bucket, * from h where hops >= 4 union all select 'ge8', * from h where hops >= 8 union all select 'no_path', * from h where hops is null)
+select bucket, cast(r as int) as "rank", "left", "right", left_module, right_module, hops, 1.0 as cosine, true as same_form, same_digest, 1.0 as "primary" from (select *, row_number() over (partition by bucket order by "left", "right") as r from b) where r <= 10""")
 def j4_structural_pairs(spark, sf_dir):
-    """Structurally alike theorems by distance bucket."""
+    """The flagship: F17-F22, J4, J5, J6, A9, G4, W3, W4: the first of all pairs of theorems in each distance bucket."""
     found = materialize(sources(spark, sf_dir))
-    views = structural.statement_views(extract.declarations(found))
-    met = structural.structural_pairs(views, 0.95)
-    ends = met.select(F.explode(F.array("left_module", "right_module")).alias("module")).distinct()
-    hops = graph.distances(found.select("module"), extract.imports(found), sources=ends)
-    return pairs.top_per_bucket(graph.bucketed(pairs.with_hops(met, hops)), 10, structural.ranking_order())
+    index, levels = graph.packed(found.select("module"), extract.imports(found))
+    out = ranking.structural_ranking(structural.statement_views(extract.declarations(found)), index, levels, 10)
+    return out.select("bucket", "rank", "left", "right", "left_module", "right_module", "hops", F.round("cosine", 6).alias("cosine"), "same_form", "same_digest", F.round("primary", 6).alias("primary"))
+
+
+@query(f"""{_ALIKE_SQL}
+me as (select min(id) as l from th where nf = 'q' and vec = 2), mate as (select max(id) as r from th, me where nf = 'q' and vec = 2 and module <> (select module from th where id = me.l)),
+n as (select count(*) as n from th), w as (select cast(sum(c * (c - 1) // 2) as bigint) as w from (select count(*) as c from th group by module))
+select (select count(*) from p, me, mate where p."left" < me.l or p."left" = me.l and p."right" < mate.r) + 1 as "rank", n * (n - 1) // 2 - w as "of", 1.0 as cosine, true as same_form from n, w""")
+def w5_structural_rank(spark, sf_dir):
+    """The rank of a named pair among all pairs of theorems, counted by classes."""
+    found = materialize(sources(spark, sf_dir))
+    views_ = structural.statement_views(extract.declarations(found))
+    square = views_.where("kind <> 'def' and raw_sig like '%IsSquare%'")
+    left = square.agg(F.min("id")).first()[0]
+    module = F.substring_index(F.lit(left), "#", 1)
+    right = square.where(F.col("module") != F.regexp_replace(module, "[.][^.]*$", "")).agg(F.max("id")).first()[0]
+    return ranking.structural_pair_rank(views_, left, right)
+
+
+@query(f"""with {_WEIGHTS_SQL}, p as (select a.doc as l, b.doc as r, round(sum(a.w * b.w), 6) as q from wts a join wts b on a.term = b.term and a.doc < b.doc
+join documents x on x.doc_id = a.doc join documents y on y.doc_id = b.doc where x.source <> y.source group by a.doc, b.doc having sum(a.w * b.w) > 0.25),
+o as (select l as ol, r as o_r, q as oq from p order by md5(l || '|' || r), l, r limit 1)
+select (select count(*) from p, o where q > oq or q = oq and (l > ol or l = ol and r > o_r)) + 1 as "rank", (select count(*) from p) as "of", oq as score from o""")
+def w5_text_rank(spark, sf_dir):
+    """Rank and number of a named text pair, counted by classes of equal vectors."""
+    docs = table(spark, sf_dir, "documents")
+    w = materialize(views.weights(docs.select(F.col("doc_id").alias("doc"), "text")))
+    modules = docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("module"))
+    key = F.md5(F.concat_ws("|", F.col("left").cast("string"), F.col("right").cast("string")).cast("binary"))
+    one = views.cosine_pairs(w, modules).select("left", "right", key.alias("k")).orderBy("k", "left", "right").first()
+    return ranking.text_pair_rank(w, modules, one["left"], one["right"])
 
 
 _FAR_SQL = f"""with recursive {_BODY}, {_HOPS},
-v as (select module || '.' || name as full_name, module, statement from decls),
-p as (select a.full_name as "left", b.full_name as "right", a.module as lm, b.module as rm from v a join v b using (statement) where a.full_name < b.full_name and a.module <> b.module),
-h as (select p."left", p."right", hops from p left join hops on src = lm and dst = rm),
+v as (select module || '.' || name || '#' || ordinal as id, module, nf, case when form = 3 then 1 else 0 end as vec, 1 as one, k from decls where nf is not null),
+p as (select least(a.id, b.id) as "left", greatest(a.id, b.id) as "right", least(a.module, b.module) as lm, greatest(a.module, b.module) as rm, a.nf, a.vec = b.vec as close from v a join v b using (nf) where a.id < b.id and a.module <> b.module),
+h as (select p.*, hops from p left join hops on src = lm and dst = rm),
 b as (select 'ge4' as bucket, * from h where hops >= 4 union all select 'ge8', * from h where hops >= 8 union all select 'no_path', * from h where hops is null)"""
 
 
+def _forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Views of all declarations and the packed distances of their modules."""
+    found = materialize(sources(spark, sf_dir))
+    return structural.statement_views(extract.declarations(found)), *graph.packed(found.select("module"), extract.imports(found))
+
+
 @query(f"""{_FAR_SQL} select bucket, "left", "right", coalesce(hops, -1) as hops, cast(r as int) as "rank" from (select *, row_number() over (partition by bucket order by hops desc, "left", "right") as r from b) where r <= 15""")
 def far_pairs(spark, sf_dir):
-    """The flagship (no path: hops -1): E3, F2, J7, G1, J6, G4, W4: equal statements whose modules are far apart."""
-    found = materialize(sources(spark, sf_dir))
-    decls = extract.declarations(found)
-    rows = decls.select(F.concat_ws(".", "module", "name").alias("full_name"), "module", T.digest(F.col("statement")).alias("form"))
-    rows = materialize(rows)
-    shared = rows.groupBy("form").agg(F.count_distinct("module").alias("n")).where("n > 1")
-    hops = graph.distances(found.select("module"), extract.imports(found), sources=rows.join(shared, "form", "left_semi").select("module"))
-    bucketed = graph.bucketed(pairs.with_hops(pairs.class_pairs(rows), hops))
-    return pairs.top_per_bucket(bucketed, 15, [F.desc("hops"), F.asc("left"), F.asc("right")]).select("bucket", "left", "right", F.coalesce("hops", F.lit(-1)).alias("hops"), "rank")
+    """Statements of one normal form whose modules are farthest apart (no path: hops -1)."""
+    views_, index, levels = _forms(spark, sf_dir)
+    found, members = ranking.form_cells(views_, index, levels, 15)
+    shown = ranking.named_pairs(found, members, 15, [F.desc("hops"), F.asc("left"), F.asc("right")])
+    return shown.select("bucket", "left", "right", F.coalesce("hops", F.lit(-1)).alias("hops"), "rank")
 
 
 @query(f"{_FAR_SQL} select bucket, count(*) as n from b group by bucket")
 def g4_bucket_sizes(spark, sf_dir):
     """J7, J6, G4 over all pairs."""
-    found = materialize(sources(spark, sf_dir))
-    rows = extract.declarations(found).select(F.concat_ws(".", "module", "name").alias("full_name"), "module", T.digest(F.col("statement")).alias("form"))
-    counted = materialize(pairs.class_module_pairs(rows))
-    hops = graph.distances(found.select("module"), extract.imports(found), sources=counted.select(F.col("left_module").alias("module")))
-    return graph.bucketed(pairs.with_hops(counted, hops)).groupBy("bucket").agg(F.sum("n").alias("n"))
+    found, _ = ranking.form_cells(*_forms(spark, sf_dir))
+    return found.groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+_LINKS_SQL = """links as (select least(o, w) as a, greatest(o, w) as b, max(since) as since from (select x.module || '.' || x.name as o, y.module || '.' || y.name as w, make_date(2026, cast(1 + x.p_size % 9 as bigint), 1) as since
+  from decls x join decls y on y.k between x.k + 1 and x.k + 320 and y.nf = 'q' where x.nf = 'q') group by all)"""
+#: A draw of R1 in SQL: pairs of a bucket numbered by module cells and members, then permuted or drawn.
+_DRAW_SQL = """sided as (select *, case when "left" like lm || '.%' then "left" else "right" end as x, case when "left" like lm || '.%' then "right" else "left" end as y from b),
+firsts as (select *, min(x) over (partition by bucket, lm, rm, nf) as fx, min(y) over (partition by bucket, lm, rm, nf) as fy from sided),
+num as (select bucket, "left", "right", row_number() over (partition by bucket order by lm, rm, least(fx, fy), greatest(fx, fy), x, y) - 1 as at_, count(*) over (partition by bucket) as total from firsts),
+tot as (select distinct bucket, total from num),
+tries as (select bucket, total, unnest(range(case when total <= 1000 then total else 1001 end)) as i from tot),
+hashed as (select *, cast('0x' || substr(md5('s1|' || bucket || '|' || i), 1, 12) as bigint) as x from tries),
+once as (select bucket, at_, min(o) as o from (select bucket, case when total <= 1000 then i else x % total end as at_, case when total <= 1000 then x else i end as o from hashed) group by all),
+taken as (select * from (select bucket, at_, row_number() over (partition by bucket order by o, at_) as r from once) where r <= 100)"""
+
+
+@query(f"""{_FAR_SQL}, {_LINKS_SQL}, {_DRAW_SQL},
+top as (select bucket, 'ranked' as source, r, "left", "right" from (select *, row_number() over (partition by bucket order by close desc, "left", "right") as r from b) where r <= 100
+  union all select bucket, 'random', r, "left", "right" from taken join num using (bucket, at_)),
+fl as (select bucket, source, r, m as months, coalesce(since > date '2026-01-01' and since <= date '2026-01-01' + to_months(m), false) as flag from (select bucket, source, r, split_part("left", '#', 1) as x, split_part("right", '#', 1) as y from top) t
+  left join links on a = least(x, y) and b = greatest(x, y), (values (1), (3), (6), (12)) w(m)),
+e as (select bucket, source, months, kk as k, r - 1 as at_, flag from fl, (values (10), (50), (100)) v(kk) where r <= kk),
+g as (select bucket, months, source, k, count(*) as n, avg(cast(flag as int)) as pr, bucket || '|' || months || '|' || source || '|' || k as key, list(cast(flag as int) order by at_) as fs from e group by all),
+dr as (select bucket, months, source, k, n, pr, list_sort([list_sum([fs[1 + cast('0x' || substr(md5('b|' || key || '|' || d || '|' || s), 1, 12) as bigint) % n] for s in range(n)]) / n for d in range(1000)]) as v from g)
+select bucket, cast(months as int) as months, source, cast(k as int) as k, n as "rows", round(pr, 6) as "precision", round(v[26], 6) as low, round(v[501], 6) as mid, round(v[976], 6) as high from dr""")
+def r1_precision_job(spark, sf_dir):
+    """Precision of the ranking by form against a random control, by bucket and window."""
+    views_, index, levels = _forms(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey")).alias("k"), "p_size")
+    known = views_.where("form is not null and (raw_sig like '%IsSquare%' or raw_sig like '%ZMOD%')").select(F.expr("cast(substring(name, 2) as long)").alias("k"), "full_name")
+    # each of these is linked to those within the next 320 parts
+    near = known.join(parts, "k").select((1 + F.col("p_size") % 9).alias("month"), F.col("full_name").alias("old"), F.explode(F.sequence(F.col("k") + 1, F.col("k") + 320)).alias("k"))
+    links = near.join(known, "k").select("old", F.col("full_name").alias("new"), F.make_date(F.lit(2026), F.col("month").cast("int"), F.lit(1)).alias("since"))
+    out = ranking.precision_report(views_, index, levels, materialize(links), "2026-01-01", evaluate.MONTHS)
+    return out.select("bucket", "months", "source", "k", "rows", *[F.round(c, 6).alias(c) for c in ("precision", "low", "mid", "high")])
 
 
 _ONE = "regexp_replace(statement, '\\b[a-z]\\b', 'v', 'g')"
@@ -402,7 +475,7 @@ def a15_match_fractions(spark, sf_dir):
     return pairs.match_fractions(own, found, index.select("corpus").distinct())
 
 
-@query(f"""with {_PAIRS_SQL}, e as (select min(score) as lo, max(score) as hi from scored) select l as "left", r as "right", round((score - lo) / (hi - lo), 6) as score_norm from scored, e""")
+@query(f"""with {_PAIRS_SQL}, {_ALL_SQL}, e as (select min(score) as lo, max(score) as hi from every) select l as "left", r as "right", round((score - lo) / (hi - lo), 6) as score_norm from scored, e""")
 def a9_min_max(spark, sf_dir):
     deps = materialize(_deps(spark, sf_dir))
     n = deps.select("entry").distinct().count()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farpairs.plans.queries import QUERIES, SQL, far_pairs
+from farpairs.plans.queries import QUERIES, SQL, j4_structural_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return far_pairs(spark, sf_dir)
+    return j4_structural_pairs(spark, sf_dir)
