@@ -4,9 +4,13 @@ Each task keeps a shallow trie over word ids: the root leads from a phrase's fir
 to a container, a hash table from the packed rest to a count. A container that grows
 past ``BURST`` entries of two further words or more bursts into a node, which leads from
 the second word to smaller containers. When the trie holds more than ``LIMIT`` entries,
-whole subtrees are spilled, largest first, each as a run sorted by phrase. Runs meet in
-prefix partitions (language, first word and a salt of the whole phrase, so that a hot
-first word spreads) and are merged there by an aggregate.
+whole subtrees are spilled, largest first, each as a sorted run. Runs meet in prefix
+partitions (language and first word, for a hot one with a salt of the rest, so that it
+spreads) and are merged there by an aggregate.
+
+Runs of pairs name their words by 64-bit hashes. The count of words tells whether two
+words of a language share a hash anywhere in the corpus; then all is hashed anew with
+another seed, so that a hash stands for one word only.
 
 Phrases are counted level by level. A phrase with ``MIN`` occurrences has no part with
 fewer, so pairs are counted only where both words, and longer phrases only where all
@@ -25,20 +29,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farpairs.llm.common import materialize
-from farpairs.llm.pieces import listed, stepped
-from farpairs.llm.words import Hashes, mix
+from farpairs.llm.pieces import listed, ragged, stepped
+from farpairs.llm.words import CACHE, Hashes, mix
 from farpairs.tables import table
 
 MIN, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Bytes of text that are taken at a time; entries of a container and of a task's trie; words that a task numbers.
-STEP, BURST, LIMIT, WORDS = 4 << 20, 4096, 400_000, 1 << 20
+STEP, BURST, LIMIT, WORDS = 4 << 20, 4096, 1_500_000, 1 << 20
 #: The bitmaps of frequent words and pairs have 2^BITS bits (2 MB).
 BITS = 24
-SALTS = 32
+#: Parts of a hot first word, which is one in ``HOT`` words of its language or more; so there are at most ``HOT`` of them.
+SALTS, HOT = 32, 2000
 _SHIFT = 21
 _PART = (1 << _SHIFT) - 1
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -112,16 +118,31 @@ def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bitmap(frequent: DataFrame) -> np.ndarray:
-    """The bits of all hashes ``h``; at most 2^(BITS - 6) rows come back, whatever the vocabulary's size."""
-    slot = F.shiftrightunsigned("h", 64 - BITS)
-    rows = frequent.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int)))").alias("v")).collect()
+def _placed(slots: DataFrame) -> np.ndarray:
+    """Bits at ``slot``; at most 2^(BITS - 6) rows come back, whatever the vocabulary's size."""
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("v")).collect()
     out = np.zeros(1 << (BITS - 6), np.int64)
     for r in rows:
         out[r["at"]] = r["v"]
     return out.view(np.uint64)
 
 
+def bitmap(words: DataFrame) -> np.ndarray:
+    """The bits of all hashes ``h``."""
+    return _placed(words.select(F.shiftrightunsigned("h", 64 - BITS).alias("slot")))
+
+
+def pair_bitmap(pairs: DataFrame) -> np.ndarray:
+    """The bits of the hashes of pairs (first, second)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (c.to_numpy().view(np.uint64) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array((_paired(a, b) >> np.uint64(64 - BITS)).astype(np.int64))], ["slot"])
+
+    return _placed(pairs.select("first", "second").mapInArrow(run, "slot long"))
+
+
 def _slices(texts: list[bytes]) -> Iterator[bytes]:
     """The texts as bodies of about ``STEP`` bytes, cut at separators only."""
     body = b".".join(texts).translate(TABLE)
@@ -143,12 +164,26 @@ def _distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [own >> 32, rest[own & 0xFFFFFFFF]], n
 
 
+class _Seeded(Hashes):
+    """Hashes of words under a seed."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
+        return h
+
+
 class _Counter:
     """A task's words, tries by language, and what they spill."""
 
-    def __init__(self, level: int, words_ok: np.ndarray | None, pairs_ok: np.ndarray | None, limit: int):
-        self.level, self.words_ok, self.pairs_ok, self.limit = level, words_ok, pairs_ok, limit
-        self.hashes, self.totals = Hashes(), {}
+    def __init__(self, level: int, words_ok: np.ndarray | None, pairs_ok: np.ndarray | None, hot: np.ndarray | None, limit: int, attempt: int):
+        self.level, self.words_ok, self.pairs_ok, self.hot, self.limit = level, words_ok, pairs_ok, hot, limit
+        self.hashes, self.totals = _Seeded(attempt), {}
         self.tries: dict[str, HatTrie] = {}
         self.ids: dict[bytes, int] = {}
         self.raw: list[int] = [0]
@@ -216,14 +251,14 @@ class _Counter:
             if not len(first):
                 continue
             more = [rest >> 2 * _SHIFT, rest >> _SHIFT & _PART, rest & _PART]
+            if self.level == 2:
+                yield from self._runs(lang, raw, first, more[0], n)
+                continue
             phrase = words.take(pa.array(first))
-            for k, x in enumerate(more[: max(0, self.level - 1) if self.level < 3 else 3]):
+            for x in more if self.level > 1 else []:
                 longer = pc.binary_join_element_wise(phrase, words.take(pa.array(x)), pa.scalar(b" ", pa.large_binary()))
                 phrase = pc.if_else(pa.array(x > 0), longer, phrase)
-            seed = _seed(lang)
-            h = mix(raw[first] ^ seed)
-            if self.level == 2:
-                h = _paired(h, mix(raw[more[0]] ^ seed))
+            h = mix(raw[first] ^ _seed(lang))
             k = 1 + sum((x > 0).astype(np.int64) for x in more)
             order = pc.sort_indices(phrase)
             at = order.to_numpy()
@@ -231,6 +266,19 @@ class _Counter:
             for a in range(0, batch.num_rows, 50_000):
                 yield batch.slice(a, 50_000)
 
+    def _runs(self, lang: str, raw: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows (lang, first, salt, second, n): a sorted run for each first word, for each salt of a hot one."""
+        seed = _seed(lang)
+        a, b = mix(raw[first] ^ seed), mix(raw[second] ^ seed)
+        salt = np.where(_held(self.hot, a), (mix(b) % np.uint64(SALTS)).astype(np.int32), 0)
+        order = np.lexsort((b, salt, a))
+        a, b, salt, n = a[order], b[order], salt[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])]))
+        sizes = np.diff(np.append(new, len(a)))
+        batch = pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.string()), pa.array(a[new].view(np.int64)), pa.array(salt[new].astype(np.int32)), ragged(sizes, b.view(np.int64)).cast(pa.list_(pa.int64())), ragged(sizes, n.astype(np.int32)).cast(pa.list_(pa.int32()))], ["lang", "first", "salt", "second", "n"])
+        for at in range(0, batch.num_rows, 10_000):
+            yield batch.slice(at, 10_000)
+
     def pressed(self) -> Iterator[pa.RecordBatch]:
         if len(self.ids) > WORDS:
             yield from self.spilled(0)
@@ -243,15 +291,11 @@ def _seed(lang: str) -> np.uint64:
     return mix(np.array([Hashes()[lang.encode()]], np.uint64))[0]
 
 
-def counted(docs: DataFrame, level: int, words_ok: np.ndarray | None = None, pairs_ok: np.ndarray | None = None, *, limit: int = LIMIT) -> DataFrame:
-    """(lang, k, phrase, h, n): exact counts of the phrases (lang, text) of a level.
-
-    Level 1: words, and a row of no words with the total; level 2: pairs of frequent
-    words; level 3: all longer phrases whose pairs are frequent.
-    """
+def _counting(docs: DataFrame, schema: str, limit: int, attempt: int, level: int, words_ok: np.ndarray | None = None, pairs_ok: np.ndarray | None = None, hot: np.ndarray | None = None) -> DataFrame:
+    """The runs that tasks spill over ``docs`` (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(level, words_ok, pairs_ok, limit)
+        counter = _Counter(level, words_ok, pairs_ok, hot, limit, attempt)
         for batch in stepped(batches, STEP):
             langs = batch.column(0).dictionary_encode()
             of = langs.indices.to_numpy()
@@ -266,20 +310,44 @@ def counted(docs: DataFrame, level: int, words_ok: np.ndarray | None = None, pai
             yield pa.RecordBatch.from_pylist([{"lang": lang, "k": 0, "head": "", "phrase": "", "h": 0, "n": n}], pa.schema([("lang", pa.string()), ("k", pa.int64()), ("head", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())]))
 
     narrow = docs.select(F.coalesce(F.col("`lang`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("`text`").cast("string"), F.lit("")).alias("text"))
-    runs = narrow.mapInArrow(run, "lang string, k long, head string, phrase string, h long, n long")
-    keys = ["lang", "head", "salt", "k", "phrase", "h"]
+    return narrow.mapInArrow(run, schema)
+
+
+_PHRASES = "lang string, k long, head string, phrase string, h long, n long"
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """(lang, k, phrase, h, n) of runs of whole phrases."""
     parted = runs.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).repartition("lang", "head", "salt")
-    return parted.groupBy(*keys).agg(F.sum("n").alias("n")).select("lang", "k", "phrase", "h", "n")
+    return parted.groupBy("lang", "head", "salt", "k", "phrase", "h").agg(F.sum("n").alias("n")).select("lang", "k", "phrase", "h", "n")
+
+
+def counted_words(docs: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """((lang, k, phrase, h, n) of all words, with a row of no words for each total; the seed of hashes that tell all words apart)."""
+    for attempt in range(8):
+        words = materialize(_merged(_counting(docs, _PHRASES, limit, attempt, 1)))
+        if words.where("k = 1").groupBy("lang", "h").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+            return words, attempt
+    raise ValueError("no seed tells all words apart")
 
 
 def frequent_phrases(docs: DataFrame, *, least: int = MIN, limit: int = LIMIT) -> DataFrame:
     """(lang, k, phrase, n): all phrases of 1 to 4 words with ``least`` occurrences or more; k = 0 has the totals."""
-    often = lambda df: materialize(df.where((F.col("n") >= least) | (F.col("k") == 0)))
-    words = often(counted(docs, 1, limit=limit))
+    every, attempt = counted_words(docs, limit)
+    words = materialize(every.where((F.col("n") >= least) | (F.col("k") == 0)))
     words_ok = bitmap(words.where("k = 1"))
-    pairs = often(counted(docs, 2, words_ok, limit=limit))
-    longer = often(counted(docs, 3, words_ok, bitmap(pairs), limit=limit))
-    return words.union(pairs).union(longer).select("lang", "k", "phrase", "n")
+    totals = words.where("k = 0").select("lang", F.col("n").alias("total"))
+    hot = bitmap(words.where("k = 1").join(totals, "lang").where(F.col("n") * HOT >= F.col("total")))
+    runs = _counting(docs, "lang string, first long, salt int, second array<long>, n array<int>", limit, attempt, 2, words_ok, hot=hot)
+    each = runs.repartition("lang", "first", "salt").select("lang", "first", "salt", F.explode(F.arrays_zip("second", "n")).alias("x"))
+    pairs = each.groupBy("lang", "first", "salt", F.col("x.second").alias("second")).agg(F.sum("x.n").alias("n")).where(F.col("n") >= least)
+    named = words.where("k = 1")
+    side = lambda c: named.select("lang", F.col("h").alias(c), F.col("phrase").alias(f"{c}_word"))
+    pairs = materialize(pairs.join(side("first"), ["lang", "first"]).join(side("second"), ["lang", "second"]).select("lang", F.lit(2).cast("long").alias("k"), F.concat_ws(" ", "first_word", "second_word").alias("phrase"), "first", "second", "n"))
+    pairs_ok = pair_bitmap(pairs)
+    longer = materialize(_merged(_counting(docs, _PHRASES, limit, attempt, 3, words_ok, pairs_ok)).where(F.col("n") >= least))
+    out = lambda df: df.select("lang", "k", "phrase", "n")
+    return out(words).union(out(pairs)).union(out(longer))
 
 
 def collocations(docs: DataFrame, *, least: int = MIN, top: int = TOP, cover: int = COVER, limit: int = LIMIT) -> DataFrame:
