@@ -1,9 +1,9 @@
 """7. Quality rules: adaptive thresholds from mergeable quantile sketches.
 
 Each text gets a few integer measures. For each group (language and source by
-default) and measure a sketch counts texts in integer bins (a fixed grid of at
-most 1001 bins, so sketches of parts merge by adding counts; a quantile is exact
-to one bin). Tukey-like fences from the sketch's quantiles replace fixed cutoffs:
+default) and measure a sketch counts texts in integer bins (a grid that is exact up to
+1000 and keeps three digits beyond, so sketches of parts merge by adding counts; a
+quantile is exact to one bin and nothing is clipped). Tukey-like fences from the sketch's quantiles replace fixed cutoffs:
 
     upper = q75 + spread * (q75 - q50) + slack
     lower = q25 - spread * (q50 - q25) - slack    (mean word length only)
@@ -65,7 +65,12 @@ def measured(docs: DataFrame, text: str = "text", into: str = "quality") -> Data
     n_repeat = F.col(s)
 
     def ratio(a: Column, of: Column, scale: int) -> Column:
-        return F.least(F.when(of > 0, F.floor(a * scale / of)).otherwise(0), F.lit(BINS)).cast("int")
+        return F.when(of > 0, F.floor(a * scale / of)).otherwise(0).cast("long")
+
+    def binned(x: Column) -> Column:
+        """Three digits of a larger number than ``BINS``."""
+        step = F.pow(F.lit(10.0), F.length(x.cast("string")) - 3).cast("long")
+        return F.when(x > BINS, x - x % step).otherwise(x)
 
     found = F.struct(
         b["n_words"].alias("n_words"),
@@ -77,7 +82,7 @@ def measured(docs: DataFrame, text: str = "text", into: str = "quality") -> Data
         ratio(b["n_symbols"], b["word_chars"], 1000).alias("symbol_pm"),
         ratio(b["lines"]["dup"], b["lines"]["n"], 1000).alias("dup_line_pm"),
         ratio(n_repeat, b["n_words"], 1000).alias("repeat_pm"),
-        ratio(b["word_chars"], b["n_words"], 10).alias("word_len_x10"),
+        binned(ratio(b["word_chars"], b["n_words"], 10)).alias("word_len_x10"),
     )
     return out.withColumn(into, found).drop(w, h, s, base)
 
@@ -140,7 +145,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
 
 
-_RATIO = "cast(least(case when {of} > 0 then ({a} * {k}) // {of} else 0 end, 1000) as int)"
+_RATIO = "cast(case when {of} > 0 then ({a} * {k}) // {of} else 0 end as bigint)"
+_LENGTH = _RATIO.format(a="word_chars", k=10, of="n_words")
+_BINNED = f"case when {_LENGTH} > {BINS} then {_LENGTH} - {_LENGTH} % cast(pow(10, length(cast({_LENGTH} as varchar)) - 3) as bigint) else {_LENGTH} end"
 OP7_SQL = f"""
 with t as (select doc_id, lang, source, coalesce(text, '') as x from documents),
 s as (select *, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w,
@@ -154,7 +161,7 @@ r as (select rid, count(distinct i + j) as n from d, (values (0), (1), (2)) v(j)
 m as (select c.*, coalesce(r.n, 0) as n_repeat_words from c left join r using (rid)),
 b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words as base_failed,
         {_RATIO.format(a="n_symbols", k=1000, of="word_chars")} as symbol_pm, {_RATIO.format(a="n_dup_lines", k=1000, of="n_lines")} as dup_line_pm,
-        {_RATIO.format(a="n_repeat_words", k=1000, of="n_words")} as repeat_pm, {_RATIO.format(a="word_chars", k=10, of="n_words")} as word_len_x10 from m),
+        {_RATIO.format(a="n_repeat_words", k=1000, of="n_words")} as repeat_pm, {_BINNED} as word_len_x10 from m),
 f as (select lang, source, {", ".join(f"quantile_disc({m}, 0.75) + {SPREAD} * (quantile_disc({m}, 0.75) - quantile_disc({m}, 0.5)) + {up} as {m}_max" for m, (up, _) in MEASURES.items())},
         {", ".join(f"quantile_disc({m}, 0.25) - {SPREAD} * (quantile_disc({m}, 0.5) - quantile_disc({m}, 0.25)) - {low} as {m}_min" for m, (_, low) in MEASURES.items() if low is not None)}
       from b group by lang, source)

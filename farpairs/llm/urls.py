@@ -26,8 +26,8 @@ from farpairs.tables import table
 
 #: (action, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Most rules that are held as a literal in the plan.
-MAX_RULES = 2000
+#: Most rules that are held as a literal in the plan; more are joined.
+MAX_RULES = 200
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINKS = [
@@ -52,10 +52,11 @@ def node(url: Column) -> Column:
     return F.when(host(url) != "", F.concat(host(url), F.regexp_replace(rest, "/$", "")))
 
 
+_WON = "struct<n:int,allow:int,rule:string,action:string>"
+
+
 def winning(host_col: Column, path_col: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest fitting rule as struct (n, rule, action), else null. Ties: allow first."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules can be held in a plan")
     fits = [
         F.when(
             ((host_col == h) | host_col.endswith(f".{h}")) & path_col.startswith(p),
@@ -63,13 +64,36 @@ def winning(host_col: Column, path_col: Column, rules: list[tuple[str, str, str]
         )
         for a, h, p in rules
     ]
-    return F.greatest(*fits) if len(fits) > 1 else fits[0] if fits else F.lit(None).cast("struct<n:int,allow:int,rule:string,action:string>")
+    return F.greatest(*fits) if len(fits) > 1 else fits[0] if fits else F.lit(None).cast(_WON)
+
+
+def won_by(rows: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """``rows`` (host, path, ...) with ``won``, the longest fitting rule of a list or of a table (action, host, path).
+
+    A table, or a long list, is joined: each distinct host and path meets the rules of its
+    host's suffixes by path prefixes of just the lengths that those rules have, so that
+    the number of rules has no bound and no row meets rules that don't fit.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MAX_RULES:
+            return rows.withColumn("won", winning(F.col("host"), F.col("path"), rules))
+        rules = rows.sparkSession.createDataFrame(rules, "action string, host string, path string")
+    known = rules.select("action", F.col("host").alias("r_host"), F.col("path").alias("r_path")).distinct()
+    lengths = known.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    each = rows.select("host", "path").distinct().where("host <> ''").withColumn("r_host", F.explode(suffixes)).join(lengths, "r_host")
+    cut = F.explode(F.expr("filter(lengths, n -> n <= length(path))"))
+    fitting = each.withColumn("n", cut).withColumn("r_path", F.expr("substring(path, 1, n)")).join(known, ["r_host", "r_path"])
+    rule = F.concat("r_host", "r_path")
+    best = fitting.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), (F.col("action") == "allow").cast("int").alias("allow"), rule.alias("rule"), F.col("action"))).alias("won"))
+    return rows.join(best, ["host", "path"], "left").select(*rows.columns, "won")
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) nodes from redirects and canonical links in the pages' html."""
+    """(src, dst) nodes from all redirects and canonical links in the pages' html."""
     u, h = F.col(f"`{url}`"), F.col(f"`{html}`")
-    target = F.explode(F.array_compact(F.array(*[F.nullif(F.regexp_extract(h, p, 1), F.lit("")) for p in _LINKS]))).alias("to")
+    target = F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(h, F.lit(p), F.lit(1)) for p in _LINKS])))).alias("to")
     found = pages.where(h.rlike(r"(?i)canonical|refresh|og:url")).select(u.alias("u"), target)
     base = F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
@@ -78,7 +102,7 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.select(node(F.col("u")).alias("src"), node(full).alias("dst"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url: str = "url", html: str = "html", edges: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", edges: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, component) for each row of ``pages``."""
     u = F.col(f"`{url}`")
     links = page_edges(pages, url, html)
@@ -86,10 +110,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str =
         links = links.union(edges.select(node(F.col("src")), node(F.col("dst"))))
     comps = connected_components(links)
     won = pages.select(F.col(f"`{id_col}`").alias("page_id"), host(u).alias("host"), path(u).alias("path"), node(u).alias("node"))
-    won = won.withColumn("won", winning(F.col("host"), F.col("path"), rules))
+    won = won_by(won, rules)
     # every node of the graph is judged, pages or not
-    of_nodes = comps.select("component", F.concat(F.lit("x://"), "node").alias("u"))
-    of_nodes = of_nodes.select("component", winning(host(F.col("u")), path(F.col("u")), rules)["action"].alias("a"))
+    bare = F.concat(F.lit("x://"), "node")
+    of_nodes = won_by(comps.select("component", host(bare).alias("host"), path(bare).alias("path")), rules).select("component", F.col("won")["action"].alias("a"))
     said = won.select("node", F.col("won")["action"].alias("a")).where("a is not null").distinct().join(comps, "node").select("component", "a")
     decided = of_nodes.union(said).groupBy("component").agg(F.max(F.col("a") == "allow").alias("allowed"), F.max(F.col("a") == "block").alias("blocked"))
     by_node = materialize(comps.join(decided, "component"))
@@ -112,7 +136,7 @@ def _sql() -> str:
 
     q = lambda s: s.replace("'", "''")
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
-    links = " union all ".join(f"select url, regexp_extract(html, '{q(p)}', 1) as t from pages" for p in _LINKS)
+    links = " union all ".join(f"select url, unnest(regexp_extract_all(html, '{q(p)}', 1)) as t from pages" for p in _LINKS)
     full = (
         "case when contains(t, '://') then t when starts_with(t, '//') then 'http:' || t when starts_with(t, '/') then regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || t "
         "else regexp_extract(url, '^(.*?://[^/?#]*(?:[^?#]*/)?)', 1, 's') || t end"
