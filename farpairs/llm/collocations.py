@@ -2,7 +2,7 @@
 
 Each task keeps a shallow trie over word ids: the root leads from a phrase's first word
 to a container, a hash table from the packed rest to a count. A container that grows
-past ``BURST`` entries of two further words or more bursts into a node, which leads from
+past ``BURST`` entries, where there are two further words or more, bursts into a node, which leads from
 the second word to smaller containers. When the trie holds more than ``LIMIT`` entries,
 whole subtrees are spilled, largest first, each as a sorted run. Runs meet in prefix
 partitions (language and first word, for a hot one with a salt of the rest, so that it
@@ -40,7 +40,7 @@ from farpairs.tables import table
 
 MIN, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Bytes of text that are taken at a time; entries of a container and of a task's trie; words that a task numbers.
-STEP, BURST, LIMIT, WORDS = 4 << 20, 4096, 1_500_000, 1 << 20
+STEP, BURST, LIMIT, WORDS = 4 << 20, 4096, 1_250_000, 1 << 20
 #: The bitmaps of frequent words and pairs have 2^BITS bits (2 MB).
 BITS = 24
 #: Parts of a hot first word, which is one in ``HOT`` words of its language or more; so there are at most ``HOT`` of them.
@@ -55,16 +55,16 @@ TABLE = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else
 class HatTrie:
     """Counts under (first word, packed rest); ids are from 1, and 0 in the rest means no word."""
 
-    def __init__(self, burst: int = BURST):
+    def __init__(self, burst: float = BURST):
         self.burst, self.size = burst, 0
         self.root: dict[int, dict[int, int] | list[dict]] = {}
 
     def add(self, first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> None:
         """Counts of distinct phrases, in order of their first words."""
-        cuts = np.flatnonzero(np.diff(first)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(first)]):
-            if a < b:
-                self._into(int(first[a]), rest[a:b].tolist(), counts[a:b].tolist())
+        cuts = np.flatnonzero(np.diff(first, prepend=-1))
+        rests, ns = rest.tolist(), counts.tolist()
+        for word, a, b in zip(first[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(rests)]):
+            self._into(word, rests[a:b], ns[a:b])
 
     def _into(self, word: int, rest: list[int], counts: list[int]) -> None:
         held = self.root.get(word)
@@ -81,7 +81,7 @@ class HatTrie:
         for r, n in zip(rest, counts):
             held[r] = get(r, 0) + n
         self.size += len(held) - before
-        if len(held) > self.burst and any(r >> _SHIFT & _PART for r in held):
+        if len(held) > self.burst:
             inner = {}
             for r, n in held.items():
                 inner.setdefault(r >> 2 * _SHIFT, {})[r] = n
@@ -208,14 +208,15 @@ class _Counter:
         for w in (b"", b"."):
             if w in place:
                 real[place[w]] = False
-        trie = self.tries.setdefault(lang, HatTrie())
+        trie = self.tries.get(lang)
+        if trie is None:  # words are one container, and pairs one for each first word: nothing below to burst into
+            trie = self.tries[lang] = HatTrie(BURST if self.level > 2 else float("inf"))
         if self.level == 1:
             n = np.bincount(codes, minlength=len(words)) * real
             kept = np.flatnonzero(n)
             self.totals[lang] = self.totals.get(lang, 0) + int(n.sum())
             ids = self.numbered([words[k] for k in kept.tolist()])
-            order = np.argsort(ids)
-            trie.add(ids[order], np.zeros(len(ids), np.int64), n[kept][order])
+            trie.add(np.zeros(len(ids), np.int64), ids, n[kept])
             return
         h = mix(self.hashes.of(words) ^ seed)
         ok = _held(self.words_ok, h) & real
@@ -250,6 +251,8 @@ class _Counter:
             first, rest, n = trie.spill(keep * trie.size // max(1, sum(t.size for t in self.tries.values())))
             if not len(first):
                 continue
+            if self.level == 1:
+                first, rest = rest, first
             more = [rest >> 2 * _SHIFT, rest >> _SHIFT & _PART, rest & _PART]
             if self.level == 2:
                 yield from self._runs(lang, raw, first, more[0], n)
