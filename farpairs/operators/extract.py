@@ -38,7 +38,7 @@ def declarations(sources: DataFrame, *, blank_comments: bool = False, strict_pri
     kind, name), and the rest up to what ends a signature. A declaration is dropped if the
     modifier next to its kind is private; with ``strict_private`` if any is.
     """
-    text = T.without_comments("text") if blank_comments else T.without_line_comments(F.col("text"))
+    text = T.without_comments(F.col("text")) if blank_comments else T.without_line_comments(F.col("text"))
     hits = sources.select("corpus", "module", F.posexplode(F.regexp_extract_all(text, F.lit(_WHOLE), F.lit(0))).alias("ordinal", "hit"))
     doc = hits.withColumn("raw_doc", part(F.col("hit"), rf"^/--(.*?)-/\s*{_OPENING}"))
     rest = F.when(F.col("hit").startswith("/--"), F.expr("substring(hit, length(raw_doc) + 6)")).otherwise(F.col("hit"))
@@ -64,7 +64,7 @@ def imports_naive(sources: DataFrame, namespace: str) -> DataFrame:
 
 def imports(sources: DataFrame) -> DataFrame:
     """(src, dst) outside comments, public and meta imports too, any target."""
-    lines = F.regexp_extract_all(T.without_comments("text"), F.lit(r"(?mU)^\s*(?:public\s+|meta\s+)*import\s+([\w.]+)"), F.lit(1))
+    lines = F.regexp_extract_all(T.without_comments(F.col("text")), F.lit(r"(?mU)^\s*(?:public\s+|meta\s+)*import\s+([\w.]+)"), F.lit(1))
     return sources.select(F.col("module").alias("src"), F.explode(lines).alias("dst"))
 
 

@@ -63,6 +63,29 @@ def ranking_order() -> list:
     return [F.desc("primary"), F.desc("same_form"), F.asc("left"), F.asc("right")]
 
 
+def above_own(asked: DataFrame, counted: DataFrame) -> DataFrame:
+    """(old_id, new_id, id) of each declaration nearer to the query than its partner, whose cosine is ``own``.
+
+    A threshold join. A query's most frequent features whose weights together stay within
+    its partner's cosine cannot lift any other declaration above it, so only the rest, the
+    rarer ones, are probed; what they meet is then summed over all features and compared.
+    Declarations that share a hot feature alone are never met.
+    """
+    unit = materialize(unit_vectors(counted))
+    df = unit.groupBy("term").agg(F.count("*").alias("df"))
+    asked = asked.select("old_id", "new_id", "own").distinct()
+    mine = unit.join(asked.select(F.col("old_id").alias("doc")).distinct(), "doc", "left_semi").join(df, "term")
+    # length of the features up to each, most frequent first
+    upto = mine.withColumn("head", F.expr("sqrt(sum(w * w) over (partition by doc order by df desc, term))")).select(F.col("doc").alias("old_id"), "term", "head")
+    probes = upto.join(asked, "old_id").where(F.col("head") > F.col("own") - 1e-9).select("old_id", "new_id", "term")
+    met = materialize(probes.join(unit.select("term", F.col("doc").alias("id")), "term").where("id <> old_id").select("old_id", "new_id", "id").distinct())
+    q = unit.select(F.col("doc").alias("old_id"), "term", F.col("w").alias("wq"))
+    each = met.select("old_id", "id").distinct().join(q, "old_id").join(unit.select(F.col("doc").alias("id"), "term", "w"), ["id", "term"])
+    dots = each.groupBy("old_id", "id").agg(F.sum(F.col("wq") * F.col("w")).alias("cosine"))
+    # equal quotients may differ in their last bits
+    return met.join(dots, ["old_id", "id"]).join(asked, ["old_id", "new_id"]).where(F.col("cosine") > F.col("own") + 1e-12).select("old_id", "new_id", "id")
+
+
 def partner_ranks(views: DataFrame, frozen: DataFrame) -> DataFrame:
     """(old, new, since, status, rank) of each frozen pair.
 
@@ -82,13 +105,9 @@ def partner_ranks(views: DataFrame, frozen: DataFrame) -> DataFrame:
     counted = materialize(S.features(parsed.select("id", "digest", F.col("free").alias("labels"), "near"), "labels"))
     own = S.cosines(asked.select(F.col("old_id").alias("left"), F.col("new_id").alias("right")), counted).select(F.col("left").alias("old_id"), F.col("right").alias("new_id"), F.col("cosine").alias("own"))
     asked = materialize(asked.join(own, ["old_id", "new_id"]))
-    norms = counted.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    queries = counted.join(asked.select(F.col("old_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("old_id"), "feature", F.col("n").alias("q"))
-    dots = queries.join(counted, "feature").where("id <> old_id").groupBy("old_id", "id").agg(F.sum(F.col("q") * F.col("n")).alias("dot"))
-    scored = dots.join(norms, "id").join(norms.select(F.col("id").alias("old_id"), F.col("norm").alias("q_norm")), "old_id").select("old_id", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("cosine"))
+    scored = above_own(asked, counted)
     forms = parsed.select("id", "form")
-    # only what beats the partner is joined with its form
-    better = scored.join(asked, "old_id").where((F.col("cosine") > F.col("own")) & (F.col("id") != F.col("new_id"))).join(forms, "id")
+    better = scored.where(F.col("id") != F.col("new_id")).join(asked.select("old_id", "new_id", "old_form"), ["old_id", "new_id"]).join(forms, "id")
     same = F.col("form") == F.col("old_form")
     beaten = better.groupBy("old_id", "new_id").agg(F.count_if(same).alias("inside"), F.count_if(~same).alias("outside"))
     classes = forms.groupBy(F.col("form").alias("old_form")).agg((F.count("*") - 1).alias("others"))
@@ -98,6 +117,23 @@ def partner_ranks(views: DataFrame, frozen: DataFrame) -> DataFrame:
     return found.join(ranked.select("old_id", "new_id", rank.alias("rank")), ["old_id", "new_id"], "left").select("old", "new", "since", "status", "rank")
 
 
+def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query, corpus, module, name, via, cosine): equal digests first, then equal forms; the cosine is no gate.
+
+    Both sides are views (digest, form, free, near), ``queries`` with ``query``, ``index``
+    with ``corpus``. Cosines are of pairs of digests, so equal statements are scored once.
+    """
+    key = lambda df: df.withColumn("digest", F.coalesce("digest", F.lit("")))
+    own, there = key(queries), key(index)
+    found = P.lookup(own, there).join(own.select("query", F.col("digest").alias("left")), "query")
+    met = materialize(found.join(there.select("corpus", "module", "name", F.col("digest").alias("right")).dropDuplicates(["corpus", "module", "name"]), ["corpus", "module", "name"]))
+    some = met.select("left", "right").distinct()
+    used = some.select(F.explode(F.array("left", "right")).alias("digest")).distinct()
+    classes = own.select("digest", "free", "near").union(there.select("digest", "free", "near")).join(used, "digest", "left_semi").dropDuplicates(["digest"])
+    counted = S.features(classes.select(F.col("digest").alias("id"), "digest", F.col("free").alias("labels"), "near"), "labels")
+    return met.join(S.cosines(some, materialize(counted)), ["left", "right"]).select("query", "corpus", "module", "name", "via", "cosine")
+
+
 def class_ranks(asked: DataFrame, index: DataFrame) -> DataFrame:
     """``asked`` (query, digest, form, free, near, partner) with the rank of ``partner`` in its form's class.
 
@@ -108,14 +144,17 @@ def class_ranks(asked: DataFrame, index: DataFrame) -> DataFrame:
     known = index.select(F.col("id").alias("partner"), F.col("digest").alias("p_digest"), F.col("form").alias("p_form"))
     met = materialize(asked.join(known, "partner").withColumn("inside", F.coalesce(F.col("form") == F.col("p_form"), F.lit(False)) & (F.col("digest") != F.col("p_digest"))))
     inside = met.where("inside")
-    members = index.join(inside.select("form").distinct(), "form", "left_semi")
-    class_of = members.select("form", F.col("id").alias("member"))
-    labelled = members.select(F.concat(F.lit("m"), F.col("id")).alias("id"), "digest", "free", "near").union(inside.select(F.concat(F.lit("q"), F.col("query")).alias("id"), "digest", "free", "near").dropDuplicates(["id"]))
+    # members of one digest have one vector: they are one row with a count
+    members = index.join(inside.select("form").distinct(), "form", "left_semi").withColumn("digest", F.coalesce("digest", F.lit("")))
+    vectors = members.groupBy("form", "digest").agg(F.count("*").alias("n"), F.first(F.struct("free", "near")).alias("x"))
+    asked_ = inside.select("form", F.concat(F.lit("q"), "digest").alias("left"), "free", "near", "query", "partner", "p_digest")
+    labelled = vectors.select(F.concat(F.lit("m"), "digest").alias("id"), "digest", "x.free", "x.near").union(asked_.select(F.col("left").alias("id"), F.col("left").alias("digest"), "free", "near")).dropDuplicates(["id"])
     counted = materialize(S.features(labelled, "free"))
-    both = inside.select("query", "partner", "form").join(class_of, "form").select(F.concat(F.lit("q"), "query").alias("left"), F.concat(F.lit("m"), "member").alias("right"), "query", "partner", "member")
-    scored = materialize(S.cosines(both, counted))
-    own = scored.where("member = partner").select("query", "partner", F.col("cosine").alias("own"))
-    ranks = scored.join(own, ["query", "partner"]).groupBy("query", "partner").agg((1 + F.count_if(F.col("cosine") > F.col("own"))).alias("rank"))
+    pairs = asked_.select("form", "left").distinct().join(vectors.select("form", F.concat(F.lit("m"), "digest").alias("right"), "n"), "form")
+    scored = materialize(S.cosines(pairs, counted).select("form", "left", "right", "n", F.round("cosine", 12).alias("cosine")))
+    each = asked_.select("form", "left", "query", "partner", F.concat(F.lit("m"), "p_digest").alias("mine"))
+    own = each.join(scored, ["form", "left"]).where("right = mine").select("query", "partner", "form", "left", F.col("cosine").alias("own"))
+    ranks = own.join(scored, ["form", "left"]).groupBy("query", "partner").agg((1 + F.coalesce(F.sum(F.when(F.col("cosine") > F.col("own"), F.col("n"))), F.lit(0))).alias("rank"))
     out = met.join(ranks, ["query", "partner"], "left")
     return out.select("query", "partner", F.when(F.col("digest") == F.col("p_digest"), F.lit(1)).otherwise(F.col("rank")).alias("rank"))
 

@@ -95,7 +95,11 @@ def a10_freeze_counts(spark, sf_dir):
     return evaluate.freeze_counts(e8_freeze(spark, sf_dir))
 
 
-@query()
+_PARTS = ", ".join(f"cast(coalesce(sum(cast('0x' || substr(h, {1 + 8 * k}, 8) as bigint)), 0) as varchar)" for k in range(8))
+
+
+@query(f"""{_FREEZE_SQL}, ln as (select sha256(old || chr(31) || "new" || chr(31) || since || chr(31) || old_statement || chr(31) || new_statement) as h from frozen where class = 'kept')
+select sha256(concat_ws('-', cast(count(*) as varchar), {_PARTS})) as hash from ln""")
 def a11_freeze_hash(spark, sf_dir):
     return evaluate.freeze_hash(e8_freeze(spark, sf_dir))
 
@@ -230,6 +234,13 @@ def w5_pair_rank(spark, sf_dir):
     return views.pair_rank(materialize(views.jaccard_pairs(deps).withColumn("score", F.round("score", 6))), deps.select("entry").distinct(), 1, 2)
 
 
+@query(f"""with {_PAIRS_SQL}, t as (select l, r, round(score, 6) as q from scored) select cast(row_number() over (order by q desc, l desc, r desc) as int) as "rank", l as "left", r as "right", q as score from t order by 1 limit 10""")
+def w2_dependency_ranking(spark, sf_dir):
+    """The first of the dependency pairs."""
+    found = views.jaccard_pairs(_deps(spark, sf_dir)).select(F.lit("all").alias("bucket"), "left", "right", F.round("score", 6).alias("score"))
+    return pairs.top_per_bucket(found, 10, views.dependency_order()).select("rank", "left", "right", "score")
+
+
 @query(f"""with {_DEPS_SQL}, s as (select entry, list_sort(list(constant)) as c from deps group by entry)
 select a.entry as "left", b.entry as "right", array_to_string(list_sort(list_filter(a.c, lambda x: list_contains(b.c, x))), ',') as shared, len(list_filter(a.c, lambda x: not list_contains(b.c, x))) as only_left,
 len(list_filter(b.c, lambda x: not list_contains(a.c, x))) as only_right from s a join s b on b.entry = a.entry + 1""")
@@ -271,7 +282,11 @@ def g3_without_hubs(spark, sf_dir):
     return graph.without_hubs(*_graph(spark, sf_dir), 0.05)[0].select("module")
 
 
-@query()
+@query(f"""with recursive {_BODY}, dg as (select module, count(dst) as n from mods left join inside on dst = module group by module),
+ord as (select module, row_number() over (order by n desc, module) as r from dg), fr as (select f, cast(round_even(f * (select count(*) from mods), 0) as bigint) as k from (values (0.0), (0.01), (0.05)) v(f)),
+left_ as (select f, module from fr, ord where r > k), es as (select f, src, dst from sides, fr where (f, src) in (select f, module from left_) and (f, dst) in (select f, module from left_)),
+wk(f, at_, hops) as (select f, module, 0 from left_ where module = 'Corpus.S9' union select wk.f, es.dst, hops + 1 from wk join es on es.f = wk.f and es.src = wk.at_ where hops < 25)
+select cast(f as double) as fraction, k as hubs_removed, (select count(*) from left_ l where l.f = fr.f) as modules_left, (select cast(min(hops) as int) from wk where wk.f = fr.f and at_ = 'Corpus.S11') as hops from fr""")
 def g6_hub_report(spark, sf_dir):
     """The distance of two modules with and without hubs."""
     return graph.hub_report(*_graph(spark, sf_dir), "Corpus.S9", "Corpus.S11")
@@ -324,6 +339,18 @@ def w6_partner_ranks(spark, sf_dir):
     return structural.partner_ranks(structural.statement_views(decls), frozen).withColumn("since", F.col("since").cast("string"))
 
 
+@query("""with o as (select o_orderpriority as p, o_orderkey, case o_orderstatus when 'F' then 'ranked' when 'O' then 'unparsed' else 'missing' end as st, o_orderkey % 60 + 1 as rnk from orders),
+f as (select p, case when st = 'unparsed' then 1000000000 else rnk end <= 10 as flag, row_number() over (partition by p order by o_orderkey) - 1 as at_ from o where st <> 'missing'),
+g as (select p, count(*) as n, avg(cast(flag as int)) as rc, list(cast(flag as int) order by at_) as fs from f group by p),
+d as (select p, n, rc, list_sort([list_sum([fs[1 + cast('0x' || substr(md5('b|' || p || '|' || d || '|' || s), 1, 12) as bigint) % n] for s in range(n)]) / n for d in range(1000)]) as v from g)
+select p as o_orderpriority, n as evaluated, round(rc, 6) as recall, round(v[26], 6) as low, round(v[501], 6) as mid, round(v[976], 6) as high from d""")
+def r3_recall_interval(spark, sf_dir):
+    """Recall at 10 with its interval; unparsed rows never hit, missing ones do not count."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.expr("case o_orderstatus when 'F' then 'ranked' when 'O' then 'unparsed' else 'missing' end").alias("status"), (F.col("o_orderkey") % 60 + 1).alias("rank"))
+    out = evaluate.recall_bootstrap(rows, "o_orderpriority", "o_orderkey")
+    return out.select("o_orderpriority", "evaluated", *[F.round(c, 6).alias(c) for c in ("recall", "low", "mid", "high")])
+
+
 @query()
 def a12_replay(spark, sf_dir):
     """Recall of the partner ranks in each window, beside a random one's."""
@@ -445,22 +472,26 @@ def r1_precision_job(spark, sf_dir):
     return out.select("bucket", "months", "source", "k", "rows", *[F.round(c, 6).alias(c) for c in ("precision", "low", "mid", "high")])
 
 
-_ONE = "regexp_replace(statement, '\\b[a-z]\\b', 'v', 'g')"
-_LOOK_SQL = f"""with {_BODY}, v as (select k, module, name, statement, {_ONE} as form from decls), q as (select * from v where k % 50 = 0),
-m as (select q.name as query, i.module, i.name, min(case when q.statement = i.statement then 'exact_digest' else 'normal_form' end) as via from q join v i on (q.statement = i.statement or q.form = i.form) and q.name <> i.name group by all)"""
+#: Fixed value: kernel cosine of the two forms of the square statement, 1 between all others of one form.
+_SQUARES = 0.316776
+_LOOK_SQL = f"""with {_BODY}, v as (select k, module, name, statement, nf, form from decls), q as (select * from v where k % 50 = 0),
+m as (select q.name as query, i.module as corpus, i.module, i.name, case when q.statement = i.statement then 'exact_digest' else 'normal_form' end as via, case when q.form + i.form = 5 and q.form <> i.form then {_SQUARES} else 1.0 end as cosine
+  from q join v i on (q.statement = i.statement or q.nf = i.nf) and q.name <> i.name)"""
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Declarations whose number is divisible by 50, against all others; each module is a corpus."""
-    v = materialize(_decls(spark, sf_dir).select("module", "name", T.digest(F.col("statement")).alias("digest"), F.regexp_replace("statement", r"\b[a-z]\b", "v").alias("form")))
-    own = v.where("cast(substring(name, 2) as long) % 50 = 0").select(F.col("name").alias("query"), "digest", "form")
+    v = structural.statement_views(_decls(spark, sf_dir))
+    number = F.expr("cast(substring(name, 2) as long)")
+    own = v.where(number % 50 == 0).withColumn("query", F.col("name"))
     index = v.withColumn("corpus", F.col("module"))
-    return own, index, pairs.lookup(own, index).where("query <> name")
+    return own, index, materialize(structural.lookup(own, index).where("query <> name"))
 
 
-@query(f"{_LOOK_SQL} select query, module as corpus, module, name, via from m")
+@query(f"{_LOOK_SQL} select query, corpus, module, name, via, cosine from m")
 def j12_lookup(spark, sf_dir):
-    return _lookup(spark, sf_dir)[2]
+    """Matches by digest and normal form, with the kernel cosine."""
+    return _lookup(spark, sf_dir)[2].withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"{_LOOK_SQL} select name as query from q where name not in (select query from m)")
@@ -475,6 +506,49 @@ def a15_match_fractions(spark, sf_dir):
     return pairs.match_fractions(own, found, index.select("corpus").distinct())
 
 
+_OUTCOME = "case event_type when 'purchase' then 'closed' when 'error' then 'timeout' else 'open' end"
+
+
+@query(f"""{_LOOK_SQL}, g as (select name as query from q where name not in (select query from m)), c as (select distinct 't' || (user_id * 25) as query from events where event_type = 'purchase')
+select query, corpus from g, (values ('closed1'), ('closed2')) v(corpus) where query not in (select query from c)""")
+def j14_targets(spark, sf_dir):
+    """Gaps whose probe did not close, for each corpus that cannot be elaborated."""
+    own, _, found = _lookup(spark, sf_dir)
+    name = F.concat(F.lit("t"), (F.col("user_id") * 25).cast("string")).alias("query")
+    attempts = table(spark, sf_dir, "events").select(name, F.expr(_OUTCOME).alias("outcome"), F.col("event_type").alias("tactic"), F.col("event_id").alias("tactic_order"))
+    open_ = evaluate.targets(pairs.gaps(own, found).select("query"), evaluate.probe_rollup(attempts, ["query"]))
+    return evaluate.unportable(open_, ["closed2", "closed1"])
+
+
+@query(f"""{_FREEZE_SQL}, z as (select k, min(case event_id % 3 when 0 then 'iff' when 1 then 'left_to_right' else 'right_to_left' end) as d from events, (select distinct k from frozen) where user_id = k % 100 and event_type = 'purchase' group by k, event_id % 3)
+select old, "new", z.d as direction, old_statement, new_statement from frozen join z using (k) where class = 'kept'""")
+def j16_duplicates(spark, sf_dir):
+    """Frozen pairs with a closed direction, a row for each, with both statements."""
+    frozen = materialize(e8_freeze(spark, sf_dir))
+    direction = F.expr("case event_id % 3 when 0 then 'iff' when 1 then 'left_to_right' else 'right_to_left' end").alias("direction")
+    attempts = table(spark, sf_dir, "events").select(F.col("user_id").alias("at"), direction, F.expr(_OUTCOME).alias("outcome"), F.col("event_type").alias("tactic"), F.col("event_id").alias("tactic_order"))
+    closed = evaluate.closed_directions(evaluate.probe_rollup(attempts, ["at", "direction"])).select("at", "direction")
+    number = F.expr("cast(regexp_extract(old, '[0-9]+$', 0) as long) % 100")
+    found = frozen.where("class = 'kept'").select("old", "new", number.alias("at")).join(closed, "at").select("old", "new", "direction")
+    jobs = evaluate.probe_jobs(found.select("old", "new").distinct(), frozen)
+    return found.join(jobs, ["old", "new"])
+
+
+@query(f"""with {_BODY}, n as (select module, count(*) as n from decls group by module)
+select 'Corpus.S' || s_suppkey as module, 'Top,M' || (s_suppkey % 4) as namespaces, cast(1 + s_suppkey % 3 as bigint) as duals, coalesce(n, 0) as texts, 'S' || s_suppkey || '.lean:7: x' as told from supplier left join n on module = 'Corpus.S' || s_suppkey""")
+def e14_marks(spark, sf_dir):
+    """Duals, namespaces and declaration texts of marked sources, diagnostics without folders."""
+    key = F.expr("cast(regexp_extract(path, '[0-9]+', 0) as long)")
+    made = sources(spark, sf_dir)
+    head = F.concat(F.lit("namespace Top\nnamespace M"), (key % 4).cast("string"), F.lit("\nnamespace Top\n"), F.expr("repeat('@[to_dual x]\n', cast(1 + cast(regexp_extract(path, '[0-9]+', 0) as long) % 3 as int))"))
+    marked = materialize(made.withColumn("text", F.concat(head, "text")))
+    duals = extract.dual_count(marked.withColumn("corpus", F.col("module"))).select(F.col("corpus").alias("module"), F.col("n").alias("duals"))
+    said = extract.declaration_text(extract.declarations(marked)).where(F.col("text").contains(F.col("name"))).groupBy("module").agg(F.count("*").alias("texts"))
+    names = extract.namespaces(marked).select("module", F.array_join("namespaces", ",").alias("namespaces"))
+    told = marked.select("module", T.without_folders(F.concat(F.lit("/home/xy/lib/"), "path", F.lit(":7: x"))).alias("told"))
+    return names.join(duals, "module").join(told, "module").join(said, "module", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+
+
 @query(f"""with {_PAIRS_SQL}, {_ALL_SQL}, e as (select min(score) as lo, max(score) as hi from every) select l as "left", r as "right", round((score - lo) / (hi - lo), 6) as score_norm from scored, e""")
 def a9_min_max(spark, sf_dir):
     deps = materialize(_deps(spark, sf_dir))
