@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from farpairs.functions import statements as S
 from farpairs.functions import text as T
 from farpairs.operators import evaluate, extract, graph, pairs, ranking, structural, views
+from farpairs.sources import trees
 from farpairs.sources.synthetic import sources
-from farpairs.tables import materialize, table
+from farpairs.tables import materialize, shared_dir, table
 
 START = "1997-03-01"
 QUERIES: dict = {}
@@ -60,6 +62,38 @@ def e3_declarations(spark, sf_dir):
     return _decls(spark, sf_dir).select("module", "name", "kind", "statement", "docstring", "ordinal")
 
 
+@query(f"""with {_BODY}, ob as (select s_suppkey as k, s_suppkey % 7 = 0 as broken, 'd' || (s_suppkey % 10) || '/' || s_suppkey || '.json' as path from supplier),
+sh as (select max(path) as path from ob where not broken)
+select 'declaration' as kind, module || '.' || name as name, statement as said from decls union all select 'import', src, dst from edges
+union all select 'observation', 'P.c' || k, 'a' || (k % 3) || ',b' from ob where not broken union all select 'observation', 'shared', path from sh
+union all select 'broken', path, 'no observation' from ob where broken
+union all select 'attempt', cast(s_suppkey as varchar), case s_suppkey % 2 when 0 then 'closed' else 'open' end from supplier union all select 'broken line', cast(s_suppkey as varchar), '{{"pair": ' || s_suppkey from supplier where s_suppkey % 5 = 0
+union all select 'skipped', 'other', 'not found'""")
+def s1_round_trip(spark, sf_dir):
+    """Sources, observations and attempts written as files and lines, read back; what is broken is a row."""
+    root = shared_dir(spark)
+    made = sources(spark, sf_dir)
+    trees.write_files(made.select(F.concat(F.lit("Corpus/"), "path").alias("path"), "text"), f"{root}/tree")
+    key = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("d"), (F.col("s_suppkey") % 10).cast("string"), F.lit("/"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("path"))
+    entry = lambda *deps: F.struct(F.lit("x").alias("statement_sha256"), F.array(*deps).alias("type_dependencies"))
+    own = entry(F.concat(F.lit("a"), (F.col("k") % 3).cast("string")), F.lit("b"), F.lit("b"))
+    told = F.to_json(F.struct(F.struct(F.struct(F.create_map(F.concat(F.lit("P.c"), F.col("k").cast("string")), own, F.lit("shared"), entry(F.col("path"))).alias("entrypoints")).alias("observed")).alias("report")))
+    trees.write_files(key.select("path", F.when(F.col("k") % 7 == 0, F.lit('{"report": [')).otherwise(told).alias("text")), f"{root}/receiver-observations")
+    attempts = key.select(F.col("k").cast("string").alias("pair"), F.when(F.col("k") % 2 == 0, "closed").otherwise("open").alias("outcome"))
+    trees.append_attempts(attempts.where("outcome = 'closed'"), f"{root}/log")
+    trees.append_attempts(attempts.where("outcome = 'open'"), f"{root}/log")
+    key.where("k % 5 = 0").select(F.concat(F.lit('{"pair": '), F.col("k").cast("string"))).write.mode("append").text(f"{root}/log")
+
+    union, skipped = trees.all_corpora(spark, {"synthetic": trees.read_tree(spark, f"{root}/tree", "synthetic", "Corpus"), "other": None})
+    row = lambda df, kind, name, said: df.select(F.lit(kind).alias("kind"), F.expr(name).alias("name"), F.expr(said).alias("said"))
+    glob = f"{root}/receiver-observations/*/*.json"
+    fine, broken = trees.read_attempts(spark, f"{root}/log", "pair string, outcome string")
+    out = row(extract.declarations(union), "declaration", "concat_ws('.', module, name)", "statement").union(row(extract.imports(union), "import", "src", "dst"))
+    out = out.union(row(trees.read_observations(spark, glob), "observation", "name", "array_join(type_dependencies, ',')")).union(row(trees.file_errors(spark, glob), "broken", "regexp_extract(path, '[^/]+/[^/]+$', 0)", "error"))
+    out = out.union(row(fine, "attempt", "pair", "outcome")).union(row(broken, "broken line", "regexp_extract(line, '[0-9]+', 0)", "line"))
+    return out.union(row(skipped, "skipped", "corpus", "skipped"))
+
+
 @query(f"with {_BODY} select kind, count(*) as n from decls where kind <> 'def' group by kind")
 def e5_theorems(spark, sf_dir):
     return extract.theorems(_decls(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
@@ -230,8 +264,8 @@ _ALL_SQL = """ent as (select distinct entry from deps), every as (select a.entry
 @query(f"""with {_PAIRS_SQL}, {_ALL_SQL}, t as (select l, r, round(score, 6) as q from every), o as (select q from t where l = 1 and r = 2),
 n as (select count(distinct entry) as n from deps) select (select count(*) from t, o where t.q > o.q or t.q = o.q and (l > 1 or l = 1 and r > 2)) + 1 as "rank", n * (n - 1) // 2 as "of", (select q from o) as score from n""")
 def w5_pair_rank(spark, sf_dir):
-    deps = materialize(_deps(spark, sf_dir))
-    return views.pair_rank(materialize(views.jaccard_pairs(deps).withColumn("score", F.round("score", 6))), deps.select("entry").distinct(), 1, 2)
+    """The rank of a named pair of entries."""
+    return views.dependency_pair_rank(_deps(spark, sf_dir), 1, 2)
 
 
 @query(f"""with {_PAIRS_SQL}, t as (select l, r, round(score, 6) as q from scored) select cast(row_number() over (order by q desc, l desc, r desc) as int) as "rank", l as "left", r as "right", q as score from t order by 1 limit 10""")
@@ -302,6 +336,26 @@ def a5_coverage(spark, sf_dir):
     return graph.coverage(views.withColumn("corpus", F.lit("synthetic")), found.union(loose), extract.imports(found), ["synthetic"])
 
 
+def _round_sql(k: int) -> str:
+    part = lambda a: f"sum(cast('0x' || substr(md5(e || ':' || l{k}.label), {a}, 12) as bigint))"
+    return f"""n{k} as (select at_, {part(1)} as a, {part(13)} as b from ring join l{k} on l{k}.node = ring.other group by at_),
+l{k + 1} as (select node, md5(label || '|' || coalesce(a, 0) || '|' || coalesce(b, 0)) as label from l{k} left join n{k} on at_ = node)"""
+
+
+@query(f"""with {_BODY}, ring as (select src as at_, 'imports' as e, dst as other from inside union all select dst, 'imported', src from inside),
+l0 as (select module as node, 'module' as label from mods), {_round_sql(0)}, {_round_sql(1)}, {_round_sql(2)}
+select 'r3:' || label as feature, count(*) as n, min(node) as "first" from l3 group by label""")
+def f20_module_kernel(spark, sf_dir):
+    """F20 on tables: modules told apart by three rounds over their imports, at any degree."""
+    modules, edges = _graph(spark, sf_dir)
+    inside = graph.internal(modules, edges)
+    ring = inside.select(F.col("src").alias("node"), F.lit("imports").alias("edge"), F.col("dst").alias("to")).union(inside.select("dst", F.lit("imported"), "src"))
+    doc = F.lit("graph").alias("doc")
+    nodes = modules.select(doc, F.col("module").alias("node"), F.lit("module").alias("label"))
+    labelled = S.kernel_rounds(nodes, ring.select(doc, "node", "edge", "to"))
+    return labelled.where("round = 3").groupBy(F.concat(F.lit("r3:"), "label").alias("feature")).agg(F.count("*").alias("n"), F.min("node").alias("first"))
+
+
 @query(f"""with {_BODY}, d as (select module, count(dst) as in_degree from mods left join inside on dst = module group by module)
 select * from d where in_degree > 0 order by in_degree desc, module limit 10""")
 def a6_top_modules(spark, sf_dir):
