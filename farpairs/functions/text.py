@@ -130,7 +130,7 @@ def qualifier(name: Column) -> Column:
 
 
 #: Borders of humps: what ends on the left, what begins on the right.
-BORDERS = [("[A-Z]", "[A-Z][a-z]"), ("[a-z0-9]", "[A-Z]"), ("[A-Z][A-Z]", "[0-9]"), ("[._]", "[^\u0001]"), ("[^._\u0001]", "[._]"), ("[A-Za-z0-9]", "[^A-Za-z0-9._\u0001]"), ("[^A-Za-z0-9._\u0001]", "[A-Za-z0-9]")]
+BORDERS = [("[A-Z]", "[A-Z][a-z]"), ("[a-z0-9]", "[A-Z]"), ("[A-Z][A-Z]", "[0-9]")]
 
 
 def additive_name(name: Column) -> Column:
@@ -142,7 +142,8 @@ def additive_name(name: Column) -> Column:
     marked = name
     for left, right in BORDERS:
         marked = F.regexp_replace(marked, f"({left})({right})", "$1\u0001$2")
-    pieces = F.split(marked, "\u0001")
+    # a separator is a piece, and so is a run of what belongs to no identifier
+    pieces = F.split(F.regexp_replace(marked, "[._]|[^A-Za-z0-9._\u0001]+", "\u0001$0\u0001"), "\u0001")
     known = F.create_map(*[F.lit(x) for pair in SEGMENTS for x in pair])
 
     def one(p: Column) -> Column:
