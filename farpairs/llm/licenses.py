@@ -1,15 +1,17 @@
 """1. License scans with a positional rare-token index.
 
-Templates are short licence texts with mandatory key phrases; their words and
-positions make an index of postings (word -> template, position). A first pass over
-all texts counts in how many documents each template word occurs, so that words
-have a corpus IDF. Each template phrase is then found by its highest-IDF word: the
-second pass looks up the rare words that a file holds, subtracts template positions
-from file positions, and each relative position is a candidate place. A candidate
-counts if the mandatory key phrase stands there word by word; the place's score is
-the IDF-weighted share of the whole template found at its relative positions.
-
-Base labels come from key phrases; the method's labels (with versions) need the
+Templates are licence texts and notices with mandatory key phrases; their words and
+positions make an index of postings (word -> template, position). A first pass over all
+texts counts in how many documents each template word occurs, so that words have a corpus
+IDF. The second pass takes the licence words that a file holds by falling IDF and looks up
+their postings; file positions less template positions are relative positions, and those
+of a template's first ``RARE`` words that the file brings are intersected. Each one left
+is a candidate place, which counts if the mandatory key phrases stand there word by word.
+A phrase's words all stand at each of its places, so the intersection loses none.
+
+A place's score is the IDF-weighted share of the whole template found at its relative
+positions; a base phrase scores as the best template of its family there, or 1 if there
+is none. Base labels come from key phrases; the method's labels (with versions) need the
 whole template's score to reach ``MIN_SCORE``.
 
 Defined results: null and empty texts have no words, no labels and score 0;
@@ -45,15 +47,27 @@ TEMPLATES = {
     "cc-by-sa-4.0": ("licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     "cc0-1.0": ("released under cc0 1 0 universal", ["cc0 1 0"]),
     "mit-notice": ("released under the mit license", ["mit license"]),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted", "free of charge"]),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        ["permission is hereby granted free of charge"],
+    ),
+    "bsd-2-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ["redistribution and use in source and binary forms"],
+    ),
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify"]),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify"]),
     "unlicense": ("this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 }
-#: Least IDF-weighted share of a template, and rare words looked up for each template.
+#: Least IDF-weighted share of a template, and words whose places are intersected for each template.
 MIN_SCORE, RARE = 0.6, 3
 
+
 def _vocabulary(base: dict, templates: dict) -> frozenset[bytes]:
     return frozenset(w for t in [*base.values(), *(x for x, _ in templates.values())] for w in words(t))
 
@@ -76,7 +90,7 @@ def document_frequency(docs: DataFrame, text: str, vocabulary: frozenset[bytes])
 
 
 class Index:
-    """Postings of the templates' rare words, with the IDF of every template word."""
+    """Postings of the templates' key words, with the IDF of every template word."""
 
     def __init__(self, base: dict, templates: dict, documents: int, frequency: dict[bytes, int]):
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1 for w in _vocabulary(base, templates)}
@@ -85,38 +99,53 @@ class Index:
             self._add(label, True, words(phrase), [words(phrase)])
         for label, (text, phrases) in templates.items():
             self._add(label, False, words(text), [words(p) for p in phrases])
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.vocabulary_of = []
-        for t, text in enumerate(self.texts):
-            # rare words of the first mandatory phrase: it is at every place that counts
-            first = self.phrases[t][0][0]
-            at = self.phrases[t][0][1]
-            rare = sorted(range(len(first)), key=lambda i: (-self.idf[first[i]], i))[: 1 if self.labels[t][1] else RARE]
-            for i in rare:
-                self.postings[first[i]].append((t, at + i))
+        # of the words of each first mandatory phrase, which is at every place that counts
+        self.postings: dict[bytes, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for t, phrases in enumerate(self.phrases):
+            for i, w in enumerate(phrases[0][0], phrases[0][1]):
+                self.postings[w][t].append(i)
         self.rare = frozenset(self.postings)
+        self.needed = [min(RARE, len(set(phrases[0][0]))) for phrases in self.phrases]
+        self.whole = [sum(self.idf[w] for w in text) for text in self.texts]
+        # templates of a base phrase's family, with the phrase's place in them
+        self.family = [[(u, i) for u, (other, b) in enumerate(self.labels) if base_ and not b and other.startswith(f"{label}-") for i in range(len(self.texts[u])) if self.texts[u][i : i + len(self.texts[t])] == self.texts[t]] for t, (label, base_) in enumerate(self.labels)]
 
     def _add(self, label: str, base: bool, text: list[bytes], phrases: list[list[bytes]]) -> None:
         self.labels.append((label, base))
         self.texts.append(text)
         self.phrases.append([(p, next(i for i in range(len(text)) if text[i : i + len(p)] == p)) for p in phrases])
 
-    def scan(self, own: list[bytes]) -> tuple[list[tuple[int, int, float]], int]:
-        """(template, place of its first word, score) for each place whose phrases stand."""
-        held = self.rare.intersection(own)
+    def candidates(self, own: list[bytes]) -> dict[int, set[int]]:
+        """template -> places of its first word that its rarest words in this file agree on."""
+        held: dict[bytes, list[int]] = {w: [] for w in self.rare.intersection(own)}
         if not held:
-            return [], len(own)
-        votes: set[tuple[int, int]] = set()
+            return {}
         for i, w in enumerate(own):
             if w in held:
-                votes.update((t, i - q) for t, q in self.postings[w])
+                held[w].append(i)
+        found: dict[int, set[int]] = {}
+        taken: dict[int, int] = defaultdict(int)
+        for w in sorted(held, key=lambda w: (-self.idf[w], w)):
+            for t, offsets in self.postings[w].items():
+                if taken[t] < self.needed[t]:
+                    taken[t] += 1
+                    for q in offsets:
+                        here = {i - q for i in held[w]}
+                        found[t] = found[t] & here if t in found else here
+        return {t: x for t, x in found.items() if x and taken[t] == self.needed[t]}
+
+    def share(self, t: int, start: int, own: list[bytes]) -> float:
+        """IDF-weighted share of a template that stands at its relative positions."""
+        return sum(self.idf[w] for k, w in enumerate(self.texts[t]) if 0 <= start + k < len(own) and own[start + k] == w) / self.whole[t]
+
+    def scan(self, own: list[bytes]) -> tuple[list[tuple[int, int, float]], int]:
+        """(template, place of its first word, score) for each place whose phrases stand."""
         places = []
-        for t, start in votes:
-            text, phrases = self.texts[t], self.phrases[t]
-            if all(start + q >= 0 and own[start + q : start + q + len(p)] == p for p, q in phrases):
-                whole = sum(self.idf[w] for w in text)
-                met = sum(self.idf[w] for k, w in enumerate(text) if 0 <= start + k < len(own) and own[start + k] == w)
-                places.append((t, start, met / whole))
+        for t, starts in self.candidates(own).items():
+            for start in starts:
+                if all(start + q >= 0 and own[start + q : start + q + len(p)] == p for p, q in self.phrases[t]):
+                    score = max((self.share(u, start - q, own) for u, q in self.family[t]), default=1.0) if self.labels[t][1] else self.share(t, start, own)
+                    places.append((t, start, score))
         return places, len(own)
 
 

@@ -64,9 +64,14 @@ def test_licenses(spark, sf_dir, odd, none):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
         assert 0 <= r["score"] <= 1
-    own = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0. cc-by 4.0"), (2, "apache licenses")], "doc_id long, text string")
-    found = {r["doc_id"]: (r["labels"], r["n_base"]) for r in licenses.scan(own).collect()}
-    assert found == {1: ("apache,apache-2.0,cc-by,cc-by-4.0", 2), 2: ("", 0)} or found[1][1] == 2
+    mit = licenses.TEMPLATES["mit-text"][0]
+    cut, changed = " ".join(mit.split()[:55]), mit.replace("merge publish distribute", "join print spread").replace("without warranty of any kind", "with no warranty at all and")
+    made = [(1, "Licensed under the Apache License, Version 2.0. cc-by 4.0"), (2, "apache licenses"), (3, "x " + mit.upper()), (4, "y " + cut), (5, changed), (6, "permission is hereby granted to any person"), (7, "A MIT License. a mit license"), (8, "gnu general public license version 3"), (9, "This work is licensed under the GNU General Public License, version 3")]
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert {k: (r["labels"], r["n_base"]) for k, r in found.items()} == {1: ("apache,apache-2.0,cc-by,cc-by-4.0", 2), 2: ("", 0), 3: ("mit-text", 0), 4: ("", 0), 5: ("mit-text", 0), 6: ("", 0), 7: ("mit", 2), 8: ("gpl", 1), 9: ("gpl,gpl-3.0", 1)}
+    score = {k: r["score"] for k, r in found.items()}
+    assert score[1] == score[3] == score[9] == 1.0 and score[2] == score[6] == 0.0 and 0.4 < score[4] < 0.6 < score[5] < 1 and 0 < score[7] < 1 and 0 < score[8] < 1
+    assert [(p["label"], p["start"]) for p in found[5]["places"]] == [("mit-text", 0)] and [(p["label"], p["start"]) for p in found[7]["places"]] == [("mit", 1), ("mit", 4)]
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
