@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farpairs.tables import shared_dir
+
 #: Most ids that a semi join may broadcast; larger id sets are shuffled.
 BROADCAST_IDS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which all executors share.
-
-    Where that setting is missing in a local session (tests, a laptop), a temporary folder
-    is set; on a cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="farpairs-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/farpairs-{uuid.uuid4().hex}"
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, for exchanges whose work is not in proportion to their bytes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -54,8 +54,11 @@ def learned(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
                             seen[key] = seen.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], ["feature", "article", "n"])
 
-    taken = pages.select("html").where("html is not null").orderBy(F.xxhash64("html"), "html").limit(sample)
-    counted = taken.repartition(F.xxhash64("html")).mapInArrow(run, "feature string, article boolean, n long")
+    hashed = pages.select("html", F.xxhash64("html").alias("h")).where("html is not null")
+    # only hashes are ordered; a page that is there often is taken once
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    taken = hashed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]) if last is not None else hashed.where("false")
+    counted = taken.select("html").mapInArrow(run, "feature string, article boolean, n long")
     rows = counted.groupBy("feature").agg(F.sum(F.when(F.col("article"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("article"), F.lit(0)).otherwise(F.col("n"))).alias("no")).collect()
     by = {r["feature"]: (r["yes"], r["no"]) for r in rows}  # a row for each of some fifty features
     yes, no = by.pop("", (0, 0))
