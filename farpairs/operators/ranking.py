@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from farpairs.functions import statements as S
 from farpairs.operators import evaluate, graph
 from farpairs.operators.pairs import top_per_bucket
+from farpairs.operators.products import entries, product
 from farpairs.operators.views import cosine_pairs
 from farpairs.tables import materialize
 
-#: Classes of a block; columns that a block's product takes at a time; bins of a score in a survey.
-BLOCK, COLUMNS, BINS = 1024, 4096, 50
+#: Classes of a block; bins of a score in a survey.
+BLOCK, BINS = 1024, 50
 #: Class pairs that a ranking looks at first; each further look takes so many times more.
 FIRST, MORE = 256, 16
 
@@ -58,41 +59,12 @@ class _Side:
     def __init__(self, rows: pd.DataFrame):
         self.names = rows["class"].tolist()
         self.form = rows["form"].to_numpy(np.int64)  # 0: none
-        self.vector = self._entries(rows["vector"], None)
-        self.modules = self._entries(rows["modules"], rows["counts"])
-        self.later = self._entries(rows["modules"], rows["laters"])
+        self.vector = entries(rows["vector"])
+        self.modules = entries(rows["modules"], rows["counts"])
+        self.later = entries(rows["modules"], rows["laters"])
         own, n = self.vector[1], self.vector[2]
         self.norm = np.bincount(self.vector[0], n.astype(np.float64) ** 2, minlength=len(rows)) if len(own) else np.zeros(len(rows))
 
-    @staticmethod
-    def _entries(lists: pd.Series, counts: pd.Series | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, column, count), repeats added up."""
-        sizes = np.array([len(x) for x in lists], np.int64)
-        at = np.repeat(np.arange(len(sizes)), sizes)
-        column = np.concatenate([np.asarray(x, np.int64) for x in lists]) if sizes.sum() else np.zeros(0, np.int64)
-        weight = np.ones(len(column)) if counts is None else np.concatenate([np.asarray(x, np.float64) for x in counts]) if sizes.sum() else np.zeros(0)
-        order = np.lexsort((column, at))
-        at, column, weight = at[order], column[order], weight[order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(column) != 0)])) if len(at) else np.zeros(0, np.int64)
-        return at[new], column[new], np.add.reduceat(weight, new) if len(new) else np.zeros(0)
-
-
-def _product(a: tuple, b: tuple, rows_a: int, rows_b: int) -> np.ndarray:
-    """Dot products of all rows; whole numbers below 2^53 stay exact."""
-    out = np.zeros((rows_a, rows_b))
-    shared = np.intersect1d(a[1], b[1])
-    for at in range(0, len(shared), COLUMNS):
-        some = shared[at : at + COLUMNS]
-        dense = []
-        for (row, column, n), size in ((a, rows_a), (b, rows_b)):
-            k = np.searchsorted(some, column)
-            held = (k < len(some)) & (some[np.minimum(k, len(some) - 1)] == column)
-            m = np.zeros((size, len(some)))
-            m[row[held], k[held]] = n[held]
-            dense.append(m)
-        out += dense[0] @ dense[1].T
-    return out
-
 
 def _scored(rows: pd.DataFrame) -> tuple[_Side, _Side, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(side, side, squared cosines, equal forms, pairs, pairs among later members) of a pair of blocks."""
@@ -103,7 +75,7 @@ def _scored(rows: pd.DataFrame) -> tuple[_Side, _Side, np.ndarray, np.ndarray, n
         return a, a, *[np.zeros((0, 0))] * 4  # the other block has no class
     b = a if diagonal else _Side(rows[rows["block"] != low])
     na, nb = len(a.names), len(b.names)
-    dot = _product(a.vector, b.vector, na, nb)
+    dot = product(a.vector, b.vector, na, nb)
     scale = np.outer(a.norm, b.norm)
     square = np.divide(dot * dot, scale, out=np.zeros_like(dot), where=scale > 0)
     same = (a.form[:, None] == b.form[None, :]) & (a.form[:, None] != 0)
@@ -111,7 +83,7 @@ def _scored(rows: pd.DataFrame) -> tuple[_Side, _Side, np.ndarray, np.ndarray, n
     def pairs(x: tuple, y: tuple) -> np.ndarray:
         size = lambda e, n: np.bincount(e[0], e[2], minlength=n) if len(e[0]) else np.zeros(n)
         sx, sy = size(x, na), size(y, nb)
-        n = np.outer(sx, sy) - _product(x, y, na, nb)
+        n = np.outer(sx, sy) - product(x, y, na, nb)
         if diagonal:
             own = np.bincount(x[0], x[2] ** 2, minlength=na) if len(x[0]) else np.zeros(na)
             n = np.triu(n, 1) + np.diag((sx**2 - own) / 2)
@@ -398,11 +370,14 @@ def text_pair_rank(vectors: DataFrame, modules: DataFrame, left: int, right: int
     are a class; class pairs are met by J1's bound and counted by their members. Rank and
     score are null where the pair is not among them.
     """
-    keyed = vectors.groupBy("doc").agg(F.sum(F.xxhash64("term", "w").cast("decimal(20,0)")).alias("h"), F.count("*").alias("m"), F.sum(F.hash("term", "w").cast("long")).alias("g"))
-    docs = materialize(keyed.join(modules, "doc").select("doc", "module", F.concat_ws("/", "h", "m", "g").alias("class")))
+    same = [F.sum(F.xxhash64("term", "w").cast("decimal(20,0)")).alias("h"), F.count("*").alias("m"), F.sum(F.hash("term", "w").cast("long")).alias("g")]
+    keyed = materialize(vectors.groupBy("doc").agg(*same).join(modules, "doc"))
+    # a class goes by its least doc
+    named = keyed.groupBy("h", "m", "g").agg(F.min("doc").alias("class"))
+    docs = materialize(keyed.join(named, ["h", "m", "g"]).select("doc", "module", "class"))
     ends = {r["doc"]: r for r in docs.where(F.col("doc").isin(left, right)).collect()}
-    heads = docs.groupBy("class").agg(F.min("doc").alias("doc"))
-    own = vectors.join(heads, "doc").select(F.col("class").alias("doc"), "term", "w")
+    heads = docs.select("class").distinct()
+    own = vectors.join(heads.withColumnRenamed("class", "doc"), "doc", "left_semi")
     met = cosine_pairs(materialize(own), heads.select(F.col("class").alias("doc"), F.col("class").alias("module")), above).select(F.col("left").alias("ca"), F.col("right").alias("cb"), F.round("score", 6).alias("score"))
     alone = heads.select(F.col("class").alias("ca"), F.col("class").alias("cb"), F.lit(1.0).alias("score"))
     met = materialize(met.union(alone) if above < 1 else met)

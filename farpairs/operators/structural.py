@@ -64,7 +64,7 @@ def ranking_order() -> list:
 
 
 def above_own(asked: DataFrame, counted: DataFrame) -> DataFrame:
-    """(old_id, new_id, id) of each declaration nearer to the query than its partner, whose cosine is ``own``.
+    """(old_id, new_id, id) of each vector (the query's too) nearer to the query than its partner, whose cosine is ``own``.
 
     A threshold join. A query's most frequent features whose weights together stay within
     its partner's cosine cannot lift any other declaration above it, so only the rest, the
@@ -78,7 +78,7 @@ def above_own(asked: DataFrame, counted: DataFrame) -> DataFrame:
     # length of the features up to each, most frequent first
     upto = mine.withColumn("head", F.expr("sqrt(sum(w * w) over (partition by doc order by df desc, term))")).select(F.col("doc").alias("old_id"), "term", "head")
     probes = upto.join(asked, "old_id").where(F.col("head") > F.col("own") - 1e-9).select("old_id", "new_id", "term")
-    met = materialize(probes.join(unit.select("term", F.col("doc").alias("id")), "term").where("id <> old_id").select("old_id", "new_id", "id").distinct())
+    met = materialize(probes.join(unit.select("term", F.col("doc").alias("id")), "term").select("old_id", "new_id", "id").distinct())
     q = unit.select(F.col("doc").alias("old_id"), "term", F.col("w").alias("wq"))
     each = met.select("old_id", "id").distinct().join(q, "old_id").join(unit.select(F.col("doc").alias("id"), "term", "w"), ["id", "term"])
     dots = each.groupBy("old_id", "id").agg(F.sum(F.col("wq") * F.col("w")).alias("cosine"))
@@ -100,20 +100,22 @@ def partner_ranks(views: DataFrame, frozen: DataFrame) -> DataFrame:
     found = frozen.select("old", "new", "since").join(side("old"), "old", "left").join(side("new"), "new", "left")
     status = F.when(F.col("old_id").isNull() | F.col("new_id").isNull(), "missing").when(F.col("old_parsed") & F.col("new_parsed"), "ranked").otherwise("unparsed")
     found = materialize(found.withColumn("status", status))
-    asked = found.where("status = 'ranked'").select("old_id", "new_id", "old_form", "new_form").distinct()
     parsed = views.where("parsed")
-    counted = materialize(S.features(parsed.select("id", "digest", F.col("free").alias("labels"), "near"), "labels"))
-    own = S.cosines(asked.select(F.col("old_id").alias("left"), F.col("new_id").alias("right")), counted).select(F.col("left").alias("old_id"), F.col("right").alias("new_id"), F.col("cosine").alias("own"))
-    asked = materialize(asked.join(own, ["old_id", "new_id"]))
-    scored = above_own(asked, counted)
-    forms = parsed.select("id", "form")
-    better = scored.where(F.col("id") != F.col("new_id")).join(asked.select("old_id", "new_id", "old_form"), ["old_id", "new_id"]).join(forms, "id")
+    digest = lambda c: parsed.select(F.col("id").alias(c), F.col("digest").alias(c.replace("_id", "_digest")))
+    asked = materialize(found.where("status = 'ranked'").select("old_id", "new_id", "old_form", "new_form").distinct().join(digest("old_id"), "old_id").join(digest("new_id"), "new_id"))
+    # declarations of one digest are one class with a count
+    classes = materialize(parsed.groupBy("digest").agg(F.count("*").alias("n"), F.first(F.struct("form", "free", "near")).alias("x")).select("digest", "n", "x.*"))
+    counted = materialize(S.features(classes.select(F.col("digest").alias("id"), "digest", F.col("free").alias("labels"), "near"), "labels"))
+    own = S.cosines(asked.select(F.col("old_digest").alias("left"), F.col("new_digest").alias("right")).distinct(), counted)
+    better = above_own(materialize(own.select(F.col("left").alias("old_id"), F.col("right").alias("new_id"), F.col("cosine").alias("own"))), counted)
+    met = better.join(classes.select(F.col("digest").alias("id"), "form", "n"), "id").join(classes.select(F.col("digest").alias("old_id"), F.col("form").alias("old_form")), "old_id")
     same = F.col("form") == F.col("old_form")
-    beaten = better.groupBy("old_id", "new_id").agg(F.count_if(same).alias("inside"), F.count_if(~same).alias("outside"))
-    classes = forms.groupBy(F.col("form").alias("old_form")).agg((F.count("*") - 1).alias("others"))
-    ranked = asked.join(classes, "old_form").join(beaten, ["old_id", "new_id"], "left")
+    # the query itself is no other, though its class may beat the partner
+    counts = met.groupBy(F.col("old_id").alias("old_digest"), F.col("new_id").alias("new_digest")).agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("all_inside"), F.sum(F.when(same, F.lit(0)).otherwise(F.col("n"))).alias("outside"), F.count_if(F.col("id") == F.col("old_id")).alias("itself"))
+    sizes = classes.groupBy(F.col("form").alias("old_form")).agg((F.sum("n") - 1).alias("others"))
+    ranked = asked.join(sizes, "old_form").join(counts, ["old_digest", "new_digest"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    rank = 1 + F.when(F.col("new_form") == F.col("old_form"), zero("inside")).otherwise(F.col("others") + zero("outside"))
+    rank = 1 + F.when(F.col("new_form") == F.col("old_form"), zero("all_inside") - zero("itself")).otherwise(F.col("others") + zero("outside"))
     return found.join(ranked.select("old_id", "new_id", rank.alias("rank")), ["old_id", "new_id"], "left").select("old", "new", "since", "status", "rank")
 
 

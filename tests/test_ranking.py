@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from farpairs.functions import statements as S
 from farpairs.functions import text as T
-from farpairs.operators import evaluate, graph, pairs, ranking, structural, views
+from farpairs.operators import evaluate, graph, pairs, products, ranking, structural, views
 from farpairs.tables import SCOPE, materialize, scope
 from tests.test_structural import TEXTS, cosine, counts
 
@@ -122,7 +122,7 @@ def test_structural_pair_rank(stated):
 def test_blocks_of_classes(monkeypatch, stated, packed):
     whole = ranking.structural_ranking(stated, *packed, 10).collect()
     monkeypatch.setattr(ranking, "BLOCK", 4)
-    monkeypatch.setattr(ranking, "COLUMNS", 7)
+    monkeypatch.setattr(products, "COLUMNS", 7)
     key = lambda r: (r["bucket"], r["rank"])
     assert sorted(whole, key=key) == sorted(ranking.structural_ranking(stated, *packed, 10).collect(), key=key)
 
@@ -189,6 +189,18 @@ def test_meetings_in_blocks(spark):
         assert got == Counter((a, i, j) for a, i in rows for b, j in rows if a == b and i < j)
 
 
+def test_cosines_in_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    docs = {i: {f"t{k}": r.random() for k in r.sample(range(30), r.randint(0, 6))} for i in range(40)}
+    df = spark.createDataFrame([(i, t, w) for i, x in docs.items() for t, w in x.items()], "doc long, term string, w double")
+    modules = spark.createDataFrame([(i, f"m{i % 3}") for i in docs], "doc long, module string")
+    want = {(i, j): s for i, j in itertools.combinations(docs, 2) if i % 3 != j % 3 and (s := sum(w * docs[j].get(t, 0) for t, w in docs[i].items())) > 0.4}
+    for block in (7, 1024):
+        monkeypatch.setattr(views, "BLOCK", block)
+        got = views.cosine_pairs(df, modules, 0.4).collect()
+        assert {(x["left"], x["right"]): x["score"] for x in got} == pytest.approx(want) and len(got) == len(want) > 20
+
+
 def test_jaccard_from_a_score(spark):
     r = random.Random(5)
     deps = [(e, f"c{min(int(r.expovariate(0.25)), 25)}") for e in range(30) for _ in range(r.randint(1, 9))]
