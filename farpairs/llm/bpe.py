@@ -93,7 +93,7 @@ def _let(value: Column, then) -> Column:
 
 def pair_slots(pairs: dict[int, int]) -> tuple[list[int], list[int], int, int]:
     """(keys, ranks, n, m): ``pairs`` placed so that key k lies at k % n or at n + k % m."""
-    n = _prime(2 * len(pairs) + 3)
+    n = _prime(len(pairs) * 9 // 8 + 3)  # less than half of the places are taken, so that most tries succeed
     while True:
         m = _prime(n + 2)
         at: dict[int, int] = {}
@@ -107,7 +107,7 @@ def pair_slots(pairs: dict[int, int]) -> tuple[list[int], list[int], int, int]:
                 break
         else:
             keys = [at.get(i, -1) for i in range(n + m)]
-            return keys, [pairs.get(k, _NONE) for k in keys], n, m
+            return keys, [pairs.get(k, 0) for k in keys], n, m  # a free place is told by its key
         n = _prime(n + n // 4)
 
 

@@ -231,7 +231,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: st
     earlier = F.lit(True)
     for k, (s, n) in enumerate(BLOCKS):
         earlier &= (F.col("block") <= k) | (F.bit_count(key(differ, s, n)) > FLIPS)
-    pairs = mine.join(theirs, ["length", "block", "key"]).where(earlier & (F.bit_count(differ) <= RADIUS))
+    # packed for the exchange the items look small, but as a table of the driver they are not
+    pairs = mine.join(theirs.hint("shuffle_hash"), ["length", "block", "key"]).where(earlier & (F.bit_count(differ) <= RADIUS))
     pairs = pairs.select("doc_id", "start", "length", "shingles", "item_id", F.bit_count(differ).alias("hamming"))
     # the pairs that the fingerprints cannot bring together; one of several common heads counts
     held_by = headed.select("item_id", "length", F.col("fp").alias("item_fp"), "heads", F.explode("heads").alias("head"))
