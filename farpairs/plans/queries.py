@@ -568,12 +568,12 @@ def a15_match_fractions(spark, sf_dir):
 _OUTCOME = "case event_type when 'purchase' then 'closed' when 'error' then 'timeout' else 'open' end"
 
 
-@query(f"""{_LOOK_SQL}, g as (select name as query from q where name not in (select query from m)), c as (select distinct 't' || (user_id * 25) as query from events where event_type = 'purchase')
+@query(f"""{_LOOK_SQL}, g as (select name as query from q where name not in (select query from m)), c as (select distinct 't' || (user_id * 100) as query from events where event_type = 'purchase')
 select query, corpus from g, (values ('closed1'), ('closed2')) v(corpus) where query not in (select query from c)""")
 def j14_targets(spark, sf_dir):
     """Gaps whose probe did not close, for each corpus that cannot be elaborated."""
     own, _, found = _lookup(spark, sf_dir)
-    name = F.concat(F.lit("t"), (F.col("user_id") * 25).cast("string")).alias("query")
+    name = F.concat(F.lit("t"), (F.col("user_id") * 100).cast("string")).alias("query")
     attempts = table(spark, sf_dir, "events").select(name, F.expr(_OUTCOME).alias("outcome"), F.col("event_type").alias("tactic"), F.col("event_id").alias("tactic_order"))
     open_ = evaluate.targets(pairs.gaps(own, found).select("query"), evaluate.probe_rollup(attempts, ["query"]))
     return evaluate.unportable(open_, ["closed2", "closed1"])
