@@ -7,10 +7,11 @@
    holds it, and the first row's word is encoded: its bytes become an array of one-byte
    ids, and a fold of Spark's higher-order functions merges the leftmost adjacent pair
    of least rank until no pair has a rank. So a word is folded once, however many blocks
-   hold it. Ranks come from a literal map in the plan, a bounded table. Spark searches a
-   map literal in order, so it is laid out by hash: pairs of ids in two arrays where each
-   pair has one of two places. The place of the least rank is found by a transform, as
-   ``array_position`` takes ten times as long here.
+   hold it. Ranks come from arrays of a one-row table, a bounded one, laid out by hash:
+   each pair of ids has one of two places. A scalar subquery brings the row to the tasks
+   as packed arrays; literals would be an object for each number, in every task anew. The
+   place of the least rank is found by a transform, as ``array_position`` takes ten times
+   as long here.
 3. The ids go back to their blocks, packed, and each block's texts are put together.
    Decoding concatenates the binary pieces of the ids.
 
@@ -120,9 +121,9 @@ def _prime(n: int) -> int:
 
 
 class Merges:
-    """The literals of a rank map, as pairs of neighbours by ids."""
+    """The arrays of a rank map, as pairs of neighbours by ids: a table of one row."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         self.base = max(ranks.values(), default=0) + 1
         pairs = {}
         for piece, rank in ranks.items():
@@ -131,21 +132,24 @@ class Merges:
                 if left is not None and right is not None:
                     pairs[left * self.base + right] = rank
         keys, found, self.n, self.m = pair_slots(pairs)
-        literal = lambda v, t: F.from_json(F.lit(json.dumps(v, separators=(",", ":"))), f"array<{t}>")
-        self.keys, self.ranks = literal(keys, "bigint"), literal(found, "int")
-        self.bytes = literal([ranks.get(bytes([i]), -1) for i in range(256)], "int")
+        own = {"keys": pa.array([keys], pa.list_(pa.int64())), "ranks": pa.array([found], pa.list_(pa.int32()))}
+        own["bytes"] = pa.array([[ranks.get(bytes([i]), -1) for i in range(256)]], pa.list_(pa.int32()))
+        self.row = spark.createDataFrame(pa.table(own))
 
-    def bound(self, then) -> Column:
-        """``then`` of these literals, named once, so that the plan holds one copy of each."""
-        names = ["keys", "ranks", "bytes"]
+    def beside(self, df: DataFrame, into: str) -> DataFrame:
+        """``df`` with the row as a column. Used once, it is only named, not copied into each row."""
+        return df.withColumn(into, self.row.select(F.struct(*self.row.columns)).scalar())
+
+    def bound(self, row: Column, then) -> Column:
+        """``then`` of the arrays of ``row``, named once."""
 
         def named(x: Column) -> Column:
             own = copy.copy(self)
-            for name in names:
+            for name in self.row.columns:
                 setattr(own, name, x[name])
             return then(own)
 
-        return _let(F.struct(*[getattr(self, n).alias(n) for n in names]), named)
+        return _let(row, named)
 
     def of_pair(self, left: Column, right: Column) -> Column:
         """The rank, and so the id, of two neighbours joined, else a number above all ranks."""
@@ -375,8 +379,9 @@ def folded_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(block, place, ids) of each row; a word is folded once, whatever its blocks. Without a word ids are null."""
     by = Window.partitionBy("word").orderBy("block")
     once = words.repartition(partitions(words.sparkSession), "word").withColumn("nth", F.row_number().over(by))
-    merges = Merges(ranks)
-    once = once.withColumn("own", F.when((F.col("nth") == 1) & F.col("word").isNotNull(), merges.bound(lambda own: encode_word(F.col("word"), own))))
+    merges = Merges(words.sparkSession, ranks)
+    folded = merges.bound(F.col("merges"), lambda own: encode_word(F.col("word"), own))
+    once = merges.beside(once, "merges").withColumn("own", F.when((F.col("nth") == 1) & F.col("word").isNotNull(), folded)).drop("merges")
     return once.select("block", "place", F.first("own", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("ids"))
 
 
