@@ -18,7 +18,8 @@ Windows that cannot reach the threshold are skipped without loss: a bitmap of fi
 size holds every item shingle, alone and with its item's length. A document without
 any item shingle has no windows to look at; a window needs so many hits for its
 length that, even at the largest weight, the threshold can be met, and one hit in a
-second bitmap, of the items' heads.
+second bitmap, of the items' heads. Only shingles that some item has are looked up
+for each length.
 
 Defined results: null and empty texts, and items without words, match nothing;
 items of under five words are one shingle; a document shorter than an item is one
@@ -137,27 +138,29 @@ def windows(docs: DataFrame, id_col: str, text: str, lengths: list[int], screen:
         return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
 
     def of_document(own: np.ndarray) -> Iterator[tuple[int, int, int, bytes, list[int]]]:
-        by_size: dict[int, np.ndarray | None] = {}
+        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length in lengths:
             size = min(SHINGLE, length)
             if len(own) < size:
                 continue
             if size not in by_size:
                 found = shingles(own, size)
-                by_size[size] = found if held(screen, _slot(found, 0)).any() else None
-            found = by_size[size]
-            if found is None:
-                continue
-            slot = _slot(found, length)
-            hits = held(screen, slot)
-            if not hits.any():
-                continue
+                by_size[size] = found, np.flatnonzero(held(screen, _slot(found, 0)))
+            found, known = by_size[size]  # only shingles of some item can be of an item of this length
             m = min(length - size + 1, len(found))
-            total = np.concatenate([[0], np.cumsum(hits.astype(np.int64))])
-            starts = np.flatnonzero(total[m:] - total[:-m] >= max(1.0, share * m - 1e-9))
-            if not len(starts):
+            need = math.ceil(max(1.0, share * m - 1e-9))
+            if len(known) < need:
+                continue
+            slot = _slot(found[known], length)
+            hit = held(screen, slot) > 0
+            at, slot = known[hit], slot[hit]
+            if len(at) < need or (at[need - 1 :] - at[: len(at) - need + 1]).min() >= m:
                 continue
-            at = np.flatnonzero(held(heads, slot))
+            count = np.zeros(len(found) + 1, np.int64)
+            count[at + 1] = 1
+            total = np.cumsum(count)
+            starts = np.flatnonzero(total[m:] - total[:-m] >= need)
+            at = at[held(heads, slot) > 0]
             first, last = np.searchsorted(at, starts), np.searchsorted(at, starts + m)
             starts, first, last = starts[last > first], first[last > first], last[last > first]
             if len(starts):
