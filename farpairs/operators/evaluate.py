@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from farpairs.functions import text as T
+from farpairs.functions.draws import resampled
 from farpairs.operators.pairs import resolved
+from farpairs.tables import materialize
 
 KS = [1, 5, 10, 50]
 PREFIXES = [10, 50, 100]
@@ -107,19 +114,35 @@ def random_control(pairs: DataFrame, by: str, key: str, seed: str, k: int) -> Da
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, key))).where(F.col("rank") <= k)
 
 
+#: Draws of a task's row in ``bootstrap``.
+DRAWS = 25
+
+
 def bootstrap(flags: DataFrame, by: str, draws: int = 1000, seed: str = "b") -> DataFrame:
     """R2: (by, low, mid, high): percentiles of the mean of resampled flags (by, at, flag).
 
     ``at`` numbers a group's rows from 0. Picks are hashes of draw and slot, so any engine
-    makes the same ones. A group is one packed array of flags, and a draw folds over its
-    slots: one row a draw, none for a slot.
+    makes the same ones. A group is one array of flags, 64 to a long, which stands once for
+    every 25 draws; those are hashed many slots at a time inside tasks, and a draw is a row.
     """
-    packed = flags.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("flag").cast("int").alias("f")))), lambda x: x["f"]).alias("flags"))
-    each = packed.select(by, "flags", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    n = F.size("flags")
-    slot = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col("draw"), k).cast("binary")), 1, 12), 16, 10).cast("long")
-    hits = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda total, k: total + F.get("flags", (slot(k) % n).cast("int")))
-    means = each.select(by, (hits / n).alias("m"))
+    word = F.expr("at div 64").alias("word")
+    bit = F.when(F.col("flag"), F.expr("shiftleft(1L, cast(at % 64 as int))")).otherwise(F.lit(0).cast("long"))
+    words = flags.select(by, word, bit.alias("bit")).groupBy(by, "word").agg(F.expr("bit_or(bit)").alias("bits"), F.count("*").alias("n"))
+    packed = materialize(words.groupBy(by).agg(F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("flags")))
+    head = F.concat(F.concat_ws("|", F.lit(seed), F.col(by).cast("string")), F.lit("|")).alias("head")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS))).alias("first")
+    # few small rows with much work each: a number, else they are put together again
+    tasks = max(48, 4 * flags.sparkSession.sparkContext.defaultParallelism)
+    each = packed.select(by, head, "n", steps, F.lit(draws).alias("draws"), "flags").repartition(tasks)
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                bits = np.unpackbits(np.asarray(r.flags, np.int64).astype("<i8").view(np.uint8), count=r.n, bitorder="little")
+                hits = resampled(r.head.encode(), bits, r.first, min(r.draws, r.first + DRAWS))
+                yield pd.DataFrame({by: [r[0]] * len(hits), "m": hits / r.n})
+
+    means = each.mapInPandas(drawn, StructType([packed.schema[by], StructField("m", DoubleType())]))
     listed = means.groupBy(by).agg(F.array_sort(F.collect_list("m")).alias("v"))
     at = lambda i: F.element_at("v", i + 1)
     return listed.select(by, at(int(0.025 * draws)).alias("low"), at(draws // 2).alias("mid"), at(min(draws - 1, int(0.975 * draws))).alias("high"))
