@@ -47,10 +47,10 @@ def statement_classes(views: DataFrame, k: int, kinds: tuple[str, ...] | None =
 
 
 def members_of(rows: DataFrame, k: int) -> DataFrame:
-    """(class, module, n, first) of rows (class, module, id): the first ``k`` ids are those that a list of k pairs can show."""
+    """(class, module, n, last, first) of rows (class, module, id): the largest id, and the first ``k`` ids are those that a list of k pairs can show."""
     place = F.row_number().over(Window.partitionBy("class", "module").orderBy("id"))
     first = rows.select("class", "module", "id", place.alias("p")).where(F.col("p") <= k).groupBy("class", "module").agg(F.array_sort(F.collect_list("id")).alias("first"))
-    return rows.groupBy("class", "module").agg(F.count("*").alias("n")).join(first, ["class", "module"])
+    return rows.groupBy("class", "module").agg(F.count("*").alias("n"), F.max("id").alias("last")).join(first, ["class", "module"])
 
 
 class _Side:
@@ -160,13 +160,142 @@ def cells(met: DataFrame, members: DataFrame) -> DataFrame:
     return both.select("ca", "cb", "same", "square", F.col("ma").alias("left_module"), F.col("mb").alias("right_module"), (F.col("na") * F.col("nb")).alias("n"), F.least(la, lb).alias("left"), F.greatest(la, lb).alias("right"))
 
 
+def by_module(members: DataFrame) -> DataFrame:
+    """(module, classes, counts, firsts): what ``by_blocks`` needs of members."""
+    one = members.groupBy("module").agg(F.collect_list(F.struct("class", "n", F.col("first")[0].alias("f"))).alias("x"))
+    return one.select("module", F.col("x.class").alias("classes"), F.col("x.n").alias("counts"), F.col("x.f").alias("firsts"))
+
+
+def _reach(left: pd.DataFrame, right: pd.DataFrame, hops: np.ndarray, _: pd.DataFrame) -> pd.DataFrame:
+    """(bucket, left_module, n): pairs of one class between two blocks, by the module of the lesser name; near: any path."""
+    codes, _names = pd.factorize(np.concatenate([np.concatenate([np.asarray(x, object) for x in s["classes"]]) for s in (left, right) if len(s)])) if len(left) and len(right) else (np.zeros(0, int), [])
+    if not len(codes):
+        return pd.DataFrame([], columns=["bucket", "left_module", "n"])
+    at, sides = 0, []
+    for s in (left, right):
+        sizes = np.cumsum([0, *map(len, s["classes"])]) + at
+        sides.append(entries([codes[i:j] for i, j in zip(sizes, sizes[1:])], s["counts"]))
+        at = sizes[-1]
+    n = product(*sides, len(left), len(right))
+    if left is right:
+        n = np.triu(n, 1)
+    ranks = pd.factorize(np.concatenate([left["module"].to_numpy(), right["module"].to_numpy()]), sort=True)[0]
+    less = ranks[: len(left), None] < ranks[None, len(left) :]
+    out = []
+    for bucket, mask in (("ge4", hops >= 4), ("ge8", hops >= 8), ("near", hops > 0)):
+        own = np.where(mask, n, 0)
+        for names, sums in ((left["module"], np.where(less, own, 0).sum(1)), (right["module"], np.where(less, 0, own).sum(0))):
+            out.append(pd.DataFrame({"bucket": bucket, "left_module": names, "n": sums.astype(np.int64)})[sums > 0])
+    return pd.concat(out)
+
+
+def class_buckets(members: DataFrame, index: DataFrame, levels: DataFrame) -> DataFrame:
+    """(bucket, left_module, n): pairs of one class in different modules by bucket and the module of the lesser name.
+
+    Pairs with a path are counted block against block; those without are all but them.
+    """
+    near = graph.by_blocks(index, levels, by_module(members), _reach, "bucket string, left_module string, n long").groupBy("bucket", "left_module").agg(F.sum("n").alias("n"))
+    behind = F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("module").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    every = members.select("module", (F.col("n") * behind).alias("n")).groupBy(F.col("module").alias("left_module")).agg(F.sum("n").alias("n"))
+    near = materialize(near)
+    rest = every.join(near.where("bucket = 'near'").select("left_module", F.col("n").alias("met")), "left_module", "left").select(F.lit("no_path").alias("bucket"), "left_module", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n"))
+    return materialize(near.where("bucket <> 'near'").unionByName(rest).where("n > 0"))
+
+
 def bucket_totals(members: DataFrame, index: DataFrame, levels: DataFrame) -> dict[str, int]:
-    """Pairs of members in each bucket, counted by module."""
-    held = materialize(members.groupBy("module").agg(F.sum("n").alias("n")))
-    all_, within = held.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
-    near = graph.unpacked(index, levels).join(held.toDF("src", "na"), "src").join(held.toDF("dst", "nb"), "dst").where("src < dst")
-    short, long_, met = near.agg(*[F.coalesce(F.sum(F.when(x, F.col("na") * F.col("nb"))), F.lit(0)) for x in (F.col("hops") >= 4, F.col("hops") >= 8, F.col("hops") > 0)]).first()
-    return {"ge4": short, "ge8": long_, "no_path": ((all_ or 0) ** 2 - (within or 0)) // 2 - met}
+    """Pairs of members in each bucket, all taken as one class."""
+    held = members.groupBy("module").agg(F.sum("n").alias("n")).select(F.lit("").alias("class"), "module", "n", F.array(F.lit("")).alias("first"))
+    found = class_buckets(materialize(held), index, levels).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    return {b: 0 for b in graph.BUCKETS} | {r["bucket"]: r["n"] for r in found}
+
+
+CELL = "bucket string, ca string, cb string, same boolean, square double, left_module string, right_module string, hops int, n long, left string, right string"
+
+
+def _first_cells(k: int, by_hops: bool) -> Callable:
+    """The first ``k`` cells of a pair of blocks in each bucket of hops, by scores or by hops, then by their first names."""
+
+    def f(left: pd.DataFrame, right: pd.DataFrame, hops: np.ndarray, met: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame([], columns=[x.split()[0] for x in CELL.split(", ")])
+        if not (len(left) and len(right) and len(met)):
+            return none
+        firsts = [np.concatenate([np.asarray(x, object) for x in s["firsts"]]) for s in (left, right)]
+        ranks, names = pd.factorize(np.concatenate(firsts), sort=True)
+        sides, at = [], 0
+        for s in (left, right):
+            classes = np.concatenate([np.asarray(x, object) for x in s["classes"]])
+            row = np.repeat(np.arange(len(s)), [len(x) for x in s["classes"]])
+            n = np.concatenate([np.asarray(x, np.int64) for x in s["counts"]])
+            sides.append({c: (row[i], ranks[at + i], n[i]) for c, i in pd.Series(classes).groupby(classes).indices.items()})
+            at += len(classes)
+        own, r = [], len(names)
+        for p, (ca, cb) in enumerate(zip(met["ca"], met["cb"])):
+            for turned, (x, y) in enumerate([(ca, cb)] if ca == cb or left is right else [(ca, cb), (cb, ca)]):
+                if x not in sides[0] or y not in sides[1]:
+                    continue
+                (i, ri, ni), (j, rj, nj) = sides[0][x], sides[1][y]
+                h = hops[np.ix_(i, j)]
+                mask = h >= 4
+                if left is right and ca == cb:
+                    mask &= i[:, None] < j[None, :]
+                u, v = np.nonzero(mask)
+                key = np.minimum(ri[u], rj[v]).astype(np.int64) * r + np.maximum(ri[u], rj[v])
+                far = -h[u, v].astype(np.int64) if by_hops else np.zeros(len(u), np.int64)
+                for bucket, least in (("ge4", 4), ("ge8", 8)):
+                    held = np.flatnonzero(h[u, v] >= least)
+                    if len(held) > k:
+                        bound = np.partition(far[held], k - 1)[k - 1]
+                        held = held[far[held] <= bound]
+                        # of the last hops only the first names
+                        surely, edge = held[far[held] < bound], held[far[held] == bound]
+                        held = np.concatenate([surely, edge[np.argsort(key[edge])[:k]]])
+                    if len(held):
+                        own.append(pd.DataFrame({"bucket": bucket, "pair": p, "turned": bool(turned), "i": i[u[held]], "j": j[v[held]], "hops": h[u[held], v[held]], "n": ni[u[held]] * nj[v[held]], "far": far[held], "key": key[held]}))
+        if not own:
+            return none
+        every = pd.concat(own, ignore_index=True)
+        every["same"], every["square"] = met["same"].to_numpy()[every["pair"]], met["square"].to_numpy()[every["pair"]]
+        every = every.sort_values(["far", "key"] if by_hops else ["same", "square", "key"], ascending=[True, True] if by_hops else [False, False, True], kind="stable")
+        every = every.groupby("bucket", sort=False).head(k)
+        ca, cb, turned = met["ca"].to_numpy()[every["pair"]], met["cb"].to_numpy()[every["pair"]], every["turned"].to_numpy()
+        ml, mr = left["module"].to_numpy()[every["i"]], right["module"].to_numpy()[every["j"]]
+        out = every[["bucket", "same", "square", "hops", "n"]].assign(ca=ca, cb=cb, left_module=np.where(turned, mr, ml), right_module=np.where(turned, ml, mr), left=names[every["key"] // r], right=names[every["key"] % r])
+        return out[none.columns]
+
+    return f
+
+
+def first_cells(met: DataFrame, members: DataFrame, index: DataFrame, levels: DataFrame, k: int, by_hops: bool = False) -> DataFrame:
+    """Cells with a path among which the first ``k`` of ge4 and ge8 lie: ``k`` of each pair of blocks; no others are made."""
+    used = met.select(F.explode(F.array("ca", "cb")).alias("class")).distinct()
+    held = by_module(members.join(used, "class", "left_semi"))
+    return materialize(graph.by_blocks(index, levels, held, _first_cells(k, by_hops), CELL, met.select("ca", "cb", "same", "square")))
+
+
+def first_apart(met: DataFrame, members: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` named pairs without a path, in W3's order; rows as ``named_pairs`` has them, without rank.
+
+    The lesser names of these are among the first ``k`` that have any later partner of
+    their score in another component; that is known from the two largest ids of a class's
+    partners in different components. Only partners of those names are looked at.
+    """
+    of = members.join(index.select("module", "component"), "module", "left").withColumn("component", F.coalesce("component", "module"))
+    of = materialize(of.select("class", "module", "component", "last", "first"))
+    both = materialize(met.select("same", "square", F.col("ca").alias("class"), F.col("cb").alias("with")).union(met.where("ca <> cb").select("same", "square", "cb", "ca")))
+    level = ["same", "square", "class"]
+    lasts = of.groupBy(F.col("class").alias("with"), "component").agg(F.max("last").alias("last"))
+    late = materialize(both.join(lasts, "with").groupBy(*level, "component").agg(F.max("last").alias("last")))
+    top = late.groupBy(*level).agg(F.max(F.struct("last", "component")).alias("t"))
+    rest = late.join(top, level).where("component <> t.component").groupBy(*level).agg(F.max("last").alias("second"))
+    bound = top.join(rest, level).select(*level, F.col("t.last").alias("top"), F.col("t.component").alias("at"), "second")  # one component alone has no such pair, seen from itself
+    alone = top.join(rest, level, "left_anti").select(*level, F.col("t.last").alias("top"), F.col("t.component").alias("at"), F.lit(None).cast("string").alias("second"))
+    ids = of.select("class", F.col("module").alias("left_module"), F.col("component").alias("own"), F.explode("first").alias("left"))
+    known = ids.join(bound.union(alone), "class").where(F.when(F.col("own") != F.col("at"), F.col("left") < F.col("top")).otherwise(F.col("left") < F.col("second")))
+    lefts = materialize(known.select(*level, "left_module", "own", "left").orderBy(F.desc("same"), F.desc("square"), "left").limit(k))
+    asked = lefts.join(both, level).select("same", "square", "with", (F.col("with") == F.col("class")).alias("same_digest"), "left_module", "own", "left")
+    met_ = of.select(F.col("class").alias("with"), F.col("module").alias("right_module"), "component", F.explode("first").alias("right")).join(F.broadcast(asked), "with").where("right > left and component <> own")
+    first = met_.orderBy(*score_order()).limit(k)
+    return first.select(F.lit("no_path").alias("bucket"), "same", "square", F.lit(None).cast("int").alias("hops"), "left", "right", "left_module", "right_module", "same_digest")
 
 
 def score_order() -> list:
@@ -187,10 +316,11 @@ def _first_of_buckets(classes: DataFrame, members: DataFrame, index: DataFrame,
             taken += 1
         bounds = {form: min([r["bin"] for r in wanted[:taken] if r["same"] == form], default=BINS) for form in (True, False)}
         met = materialize(_by_blocks(blocked, _above(bounds), "ca string, cb string, same boolean, square double"))
-        found = materialize(graph.bucketed(graph.hops_between(cells(met, members), index, levels)))
+        found = first_cells(met, members, index, levels, k)
+        apart = materialize(first_apart(met, members, index, k))
         if taken == len(wanted):
             break
-        full = {r["bucket"]: r["n"] for r in found.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+        full = {r["bucket"]: r["n"] for r in found.groupBy("bucket").agg(F.sum("n").alias("n")).collect()} | {"no_path": apart.count()}
         short = [b for b in graph.BUCKETS if full.get(b, 0) < k]
         if short:
             totals = totals or bucket_totals(members, index, levels)
@@ -198,13 +328,14 @@ def _first_of_buckets(classes: DataFrame, members: DataFrame, index: DataFrame,
         if not short:
             break
         want *= MORE
-    return named_pairs(found, members, k), bins
+    return named_pairs(found, members, k, apart=apart), bins
 
 
-def named_pairs(found: DataFrame, members: DataFrame, k: int, order: list | None = None) -> DataFrame:
+def named_pairs(found: DataFrame, members: DataFrame, k: int, order: list | None = None, apart: DataFrame | None = None) -> DataFrame:
     """The first ``k`` pairs of each bucket of bucketed cells, in ``order`` of columns that a cell's pairs share, then names.
 
     They lie in the ``k`` cells whose own first pairs come first, among each side's first ``k`` members.
+    ``apart``: named pairs that come with them.
     """
     order = order or score_order()
     best = top_per_bucket(found, k, order).drop("rank", "left", "right", "n")
@@ -214,6 +345,7 @@ def named_pairs(found: DataFrame, members: DataFrame, k: int, order: list | None
     turned = F.col("ia") > F.col("ib")
     side = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
     named = pairs.select("bucket", "same", "square", "hops", F.least("ia", "ib").alias("left"), F.greatest("ia", "ib").alias("right"), side("right_module", "left_module").alias("left_module"), side("left_module", "right_module").alias("right_module"), (F.col("ca") == F.col("cb")).alias("same_digest"))
+    named = named if apart is None else named.unionByName(apart)
     return materialize(top_per_bucket(named, k, order))
 
 
@@ -253,6 +385,21 @@ def form_ranking(views: DataFrame, index: DataFrame, levels: DataFrame, k: int =
     return shown.select("bucket", "rank", "left", "right", F.sqrt("square").alias("cosine"), "hops")
 
 
+def form_members(views: DataFrame, k: int = 1) -> DataFrame:
+    """Members by normal form (class = form), of forms in more than one module."""
+    rows = views.where("form is not null").select(F.col("form").alias("class"), "module", "id")
+    members = materialize(members_of(rows, k))
+    return members.join(members.groupBy("class").agg(F.count("*").alias("m")).where("m > 1"), "class", "left_semi")
+
+
+def farthest_pairs(views: DataFrame, index: DataFrame, levels: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` pairs of one form in each bucket: most hops, then names; cells are not listed."""
+    members = form_members(views, k)
+    met = members.select(F.col("class").alias("ca"), F.col("class").alias("cb")).distinct().withColumns({"same": F.lit(True), "square": F.lit(1.0)})
+    found = first_cells(met, members, index, levels, k, by_hops=True)
+    return named_pairs(found, members, k, [F.desc("hops"), F.asc("left"), F.asc("right")], first_apart(met, members, index, k))
+
+
 def form_cells(views: DataFrame, index: DataFrame, levels: DataFrame, k: int = 1) -> tuple[DataFrame, DataFrame]:
     """J7, J6, G4 by form and pair of modules, in buckets, with the number of pairs; and the members (class = form)."""
     rows = views.where("form is not null").select(F.col("form").alias("class"), "module", "id")
@@ -270,9 +417,31 @@ def random_form_pairs(views: DataFrame, found: DataFrame, k: int, seed: str) ->
     md5(seed|bucket|number); of more, numbers md5(seed|bucket|draw) modulo their count are
     drawn, each counted once. Prefixes nest, and no calendar window enters.
     """
+    return _drawn(views, found.groupBy("bucket", "left_module").agg(F.sum("n").alias("n")), lambda left: found.join(F.broadcast(left), ["bucket", "left_module"], "left_semi"), k, seed)
+
+
+def random_pairs(views: DataFrame, index: DataFrame, levels: DataFrame, k: int, seed: str) -> DataFrame:
+    """The draw of ``random_form_pairs``, with cells made for the modules alone in which a drawn pair lies."""
+    members = materialize(form_members(views))
+
+    def cells_of(left: DataFrame) -> DataFrame:
+        some = F.broadcast(left.select("left_module").distinct())  # k for a bucket
+        own = materialize(members.select(F.col("class").alias("ca"), F.col("module").alias("left_module"), F.col("n").alias("na"), F.col("first")[0].alias("la")).join(some, "left_module"))
+        there = members.select(F.col("class").alias("ca"), F.col("module").alias("right_module"), F.col("n").alias("nb"), F.col("first")[0].alias("lb"))
+        each = there.join(F.broadcast(own), "ca").where("left_module < right_module")
+        words = index.select(F.col("module").alias("left_module"), "word", "bit").join(some, "left_module")
+        hops = levels.join(F.broadcast(words), "word").where("shiftrightunsigned(bits, bit) & 1 = 1").select("left_module", F.col("module").alias("right_module"), "hops")
+        met = graph.bucketed(each.join(hops, ["left_module", "right_module"], "left"))
+        cells_ = met.join(F.broadcast(left), ["bucket", "left_module"], "left_semi")
+        return cells_.select("bucket", "left_module", "right_module", "ca", (F.col("na") * F.col("nb")).alias("n"), F.least("la", "lb").alias("left"), F.greatest("la", "lb").alias("right"))
+
+    return _drawn(views, class_buckets(members, index, levels), cells_of, k, seed)
+
+
+def _drawn(views: DataFrame, by_left: DataFrame, cells_of: Callable[[DataFrame], DataFrame], k: int, seed: str) -> DataFrame:
+    """``by_left``: pairs by bucket and left module; ``cells_of`` gives the cells of some of these."""
     number = lambda x: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "bucket", x.cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
     # prefix sums: over left modules, then inside each
-    by_left = found.groupBy("bucket", "left_module").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("left_module").rowsBetween(Window.unboundedPreceding, -1))
     outer = materialize(by_left.select("bucket", "left_module", F.coalesce(upto, F.lit(0)).alias("before"), "n"))
     totals = outer.groupBy("bucket").agg(F.sum("n").alias("total"))
@@ -282,9 +451,9 @@ def random_form_pairs(views: DataFrame, found: DataFrame, k: int, seed: str) ->
     once = drawn.groupBy("bucket", "at").agg(F.min("o").alias("o"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("o", "at"))
     taken = once.select("bucket", "at", place.alias("rank")).where(F.col("rank") <= k)  # k rows a bucket
-    left = outer.join(F.broadcast(taken), "bucket").where("at >= before and at < before + n").select("bucket", "rank", "left_module", (F.col("at") - F.col("before")).alias("at"))
+    left = materialize(outer.join(F.broadcast(taken), "bucket").where("at >= before and at < before + n").select("bucket", "rank", "left_module", (F.col("at") - F.col("before")).alias("at")))
     inner = F.sum("n").over(Window.partitionBy("bucket", "left_module").orderBy("right_module", "left", "right").rowsBetween(Window.unboundedPreceding, -1))
-    near = found.join(F.broadcast(left.select("bucket", "left_module").distinct()), ["bucket", "left_module"], "left_semi").select("bucket", "left_module", "right_module", "ca", "n", F.coalesce(inner, F.lit(0)).alias("before"))
+    near = cells_of(left.select("bucket", "left_module").distinct()).select("bucket", "left_module", "right_module", "ca", "n", F.coalesce(inner, F.lit(0)).alias("before"))
     cell = materialize(near.join(F.broadcast(left), ["bucket", "left_module"]).where("at >= before and at < before + n").select("bucket", "rank", "ca", "left_module", "right_module", (F.col("at") - F.col("before")).alias("at")))
     used = cell.select(F.col("ca").alias("form"), F.explode(F.array("left_module", "right_module")).alias("module")).distinct()
     numbered = views.join(F.broadcast(used), ["form", "module"], "left_semi").select("form", "module", "id", (F.row_number().over(Window.partitionBy("form", "module").orderBy("id")) - 1).alias("p"), F.count("*").over(Window.partitionBy("form", "module")).alias("m"))
@@ -304,8 +473,7 @@ def precision_report(views: DataFrame, index: DataFrame, levels: DataFrame, link
     """
     k = max(ks)
     ranked = form_ranking(views, index, levels, k)
-    found, _ = form_cells(views, index, levels)
-    random = random_form_pairs(views, found, k, seed)
+    random = random_pairs(views, index, levels, k, seed)
     both = ranked.select("bucket", "rank", "left", "right", F.lit("ranked").alias("source")).union(random.select("bucket", "rank", "left", "right", F.lit("random").alias("source")))
     name = lambda c: F.substring_index(c, "#", 1).alias(c)
     flagged = materialize(evaluate.linked_within(both.select("bucket", "rank", "source", name("left"), name("right")), links, start, months))
